@@ -4,21 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwlight.llm import oracle
+from cwlight.llm import oracle, pieces, pii, secrets, warc
 from cwlight.llm.near_dup import near_duplicates
+from cwlight.llm.substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer files lie on this machine and on the workers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op5_pii": op5_pii,
+    "op6_substring": op6_substring,
+    "op8_warc": op8_warc,
+    "op9_pieces": op9_pieces,
     "op10_minhash": op10_minhash,
 }
 ORACLE = {
+    "op6_substring": oracle.SUBSTRING,
+    "op8_warc": oracle.WARC,
     "op10_minhash": oracle.NEAR_DUP,
 }
