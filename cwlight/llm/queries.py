@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwlight.llm import oracle, pieces, pii, secrets, warc
+from cwlight.llm import langid, oracle, pieces, pii, secrets, warc
 from cwlight.llm.near_dup import near_duplicates
 from cwlight.llm.substring import remove_repeats
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op3_secrets": op3_secrets,
     "op5_pii": op5_pii,
     "op6_substring": op6_substring,
