@@ -42,15 +42,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, byte after the last, row bounds) of the words of consecutive rows.
 
-    Words of row r are bounds[r]:bounds[r + 1].
+    Words of row r are bounds[r]:bounds[r + 1].  With ``plain``, ASCII signs
+    part words as blanks do.
     """
     n = len(offsets) - 1
     if lower:
         raw = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << np.uint8(5))
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    if plain:
+        blank = ~((raw >= 128) | ((raw >= 48) & (raw <= 57)) | (((raw | 32) >= 97) & ((raw | 32) <= 122)))
     solid = np.concatenate([[False], ~blank, [False]])
     inner = offsets[1:-1]
     first = solid[1:-1] & ~solid[:-2]
@@ -70,6 +73,21 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     return mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * ODD), starts, ends, bounds
 
 
+def stems(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: int) -> np.ndarray:
+    """Hash of the first ``letters`` characters of each word of UTF-8 bytes; a shorter word is its own stem."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = np.minimum(ends - starts, 4 * letters)
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(begin - starts, size)
+    byte = raw[at]
+    lead = np.cumsum((byte & 0xC0) != 0x80)
+    nth = lead - np.repeat(lead[begin], size)
+    value = BYTE[byte] * powers(4 * letters)[0][at - np.repeat(starts, size)]
+    value[nth >= letters] = 0
+    return mix(np.add.reduceat(value, begin) ^ ODD)
+
+
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive words, by its first word (rows not told apart)."""
     n = len(hashes)
