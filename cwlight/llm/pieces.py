@@ -20,6 +20,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,8 +95,8 @@ class Encoder:
         return " ".join([x[0] for x in found] + [str(end)]), sum([x[1] for x in found]) + 1, decoded[1:]
 
 
-def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every row of ``docs``.
+def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) of every row of ``docs``.
 
     ``model_path`` must name the same file on every worker.
     """
@@ -112,11 +113,15 @@ def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = True) -> Da
                     sha.append(hashlib.sha256(x.encode()).hexdigest())
                     back.append(hashlib.sha256(t.encode()).hexdigest())
                     if with_ids:
-                        ids.append([int(i) for i in x.split()])
+                        ids.append(np.fromstring(x, np.int32, sep=" "))
+                    if with_text:
                         decoded.append(t)
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+                if with_ids:
+                    columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                if with_text:
+                    columns["decoded"] = pa.array(decoded, pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

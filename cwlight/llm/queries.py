@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwlight.llm import langid, oracle, pieces, pii, secrets, toxicity, warc
+from cwlight.llm import decontam, langid, oracle, pieces, pii, secrets, toxicity, warc
 from cwlight.llm.near_dup import near_duplicates
 from cwlight.llm.substring import remove_repeats
 
@@ -40,12 +40,16 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return pieces.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, with_text=False)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_substring": op6_substring,
+    "op7_decontam": op7_decontam,
     "op8_warc": op8_warc,
     "op9_pieces": op9_pieces,
     "op10_minhash": op10_minhash,
