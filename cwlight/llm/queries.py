@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwlight.llm import decontam, langid, oracle, pieces, pii, secrets, toxicity, warc
+from cwlight.llm import ann, decontam, langid, oracle, pieces, pii, secrets, toxicity, warc
 from cwlight.llm.near_dup import near_duplicates
 from cwlight.llm.substring import remove_repeats
 
@@ -24,6 +24,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_nearest": op2_nearest,
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
