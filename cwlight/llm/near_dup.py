@@ -10,8 +10,9 @@
 4. The packed bits give a collision-corrected similarity by bit counts; pairs
    far below the threshold go, the rest are confirmed on the full sets.
 5. Members of large buckets that are still apart from their bucket's main
-   component are searched exactly: a pair of enough overlap shares one of the
-   rarest shingles of both sets, early enough for the overlap to fit.
+   component are searched exactly: with shingles in one order, those of the
+   most connected members last, a pair of enough overlap shares one early
+   enough in both sets for the overlap to fit.
 6. Components are found by rounds of label passing with shortcuts.
 
 Two similar texts miss all 32 bands with probability (1 - s**4)**32, that is
@@ -35,7 +36,9 @@ from cwlight.llm.wordhash import grams, mix, words
 
 HASHES, BANDS, BITS = 128, 32, 4
 #: All pairs are tried in buckets of up to this many members.
-SMALL = 24
+SMALL = 64
+#: Bounds of what the driver holds to order the search in larger buckets.
+LEADERS, LEADER_SHINGLES = 256, 4096
 #: Standard deviations by which the estimate may fall short of the threshold.
 SLACK = 5.0
 SIGNATURE = "doc_id long, n_shingles long, node long, check long, bands array<long>, packed array<long>"
@@ -191,21 +194,42 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.join(jump, labels.c == jump.r, "left").select("node", F.coalesce("up", "c").alias("c"))
 
 
-def _rare_first_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
+    """(node, c, apart, n, p, s): the first shingles of each set, those of ``common`` last, p from 1."""
+    shared = members.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        for batch in batches:
+            at, place, shingle, size = [], [], [], []
+            for i, held in enumerate(batch.column(3)):
+                s = np.frombuffer(held.values.buffers()[1], np.int64)[held.values.offset : held.values.offset + len(held.values)].view(np.uint64)
+                k = np.searchsorted(shared.value, s)
+                late = shared.value[np.minimum(k, len(shared.value) - 1)] == s if len(shared.value) else np.zeros(len(s), bool)
+                reach = len(s) - -(-len(s) * percent // 100) + 1
+                first = np.concatenate([s[~late], s[late]])[:reach]
+                at.append(np.full(len(first), i))
+                place.append(np.arange(1, len(first) + 1))
+                shingle.append(first)
+                size.append(np.full(len(first), len(s)))
+            if at:
+                own = batch.select(["node", "c", "apart"]).take(pa.array(np.concatenate(at)))
+                rest = [pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(shingle).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *rest], names=["node", "c", "apart", "n", "p", "s"])
+
+    return members.join(sets, "node").select("node", "c", "apart", "shingles").mapInArrow(run, "node long, c long, apart boolean, n long, p long, s long")
+
+
+def _ordered_pairs(members: DataFrame, sets: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
     """Pairs across components among ``members`` (node, c, apart) that may overlap enough.
 
-    With shingles in one order for all sets, rarest first, an overlap of
+    With shingles in one order for all sets, an overlap of
     t = ceil(percent * (|a| + |b|) / (100 + percent)) leaves each pair a first
     common shingle at places pa and pb with 1 + min(|a| - pa, |b| - pb) >= t
-    (places from 1), so joining on prefixes under that condition is exact.
-    Only rows marked ``apart`` search.
+    (places from 1), so joining on prefixes under that condition is exact,
+    whatever the order; with frequent shingles last it meets few pairs.  Only
+    rows marked ``apart`` search.
     """
-    own = members.join(sets, "node").select("node", "c", "apart", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = own.join(often, "s", "left").select("node", "c", "apart", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("k"))
-    ordered = known.groupBy("node", "c", "apart", "n").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    reach = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
-    prefix = ordered.select("node", "c", "apart", "n", F.posexplode(F.slice("ks", F.lit(1), reach)).alias("p", "k")).where("k.df > 1").select("node", "c", "apart", "n", (F.col("p") + 1).alias("p"), F.col("k.s").alias("s"))
+    prefix = cut(_prefixes(members, sets, percent, common))
     x = prefix.where("apart").select(*(F.col(k).alias(f"{k}x") for k in ("node", "c", "n", "p")), "s")
     y = prefix.select(*(F.col(k).alias(f"{k}y") for k in ("node", "c", "apart", "n", "p")), "s")
     need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100.0 + percent))
@@ -215,6 +239,16 @@ def _rare_first_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Data
     return hits.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
+def _common(middle: DataFrame, sets: DataFrame) -> np.ndarray:
+    """Shingles of the most connected members of the largest buckets: at most ``LEADERS * LEADER_SHINGLES``.
+
+    They only order the search that follows, so the bound drops no pair.
+    """
+    top = middle.groupBy(F.col("middle").alias("node")).agg(F.max("degree").alias("degree")).orderBy(F.desc("degree"), "node").limit(LEADERS)
+    rows = sets.join(top, "node").select(F.slice("shingles", 1, LEADER_SHINGLES).alias("s")).collect()
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r["s"], np.int64) for r in rows)]).view(np.uint64))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, any others)."""
     sigs = cut(signatures(docs, width))
@@ -230,8 +264,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
     few = low.select("key", F.col("node").alias("a")).join(low.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     large = cut(shared.where(F.col("n") > small).join(degree, "node"))
-    middle = large.groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("middle"))
-    star = large.join(middle, "key").where("node != middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
+    middle = large.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("middle"), (-F.col("m.d")).alias("degree"))
+    star = large.select("key", "node").join(middle, "key").where("node != middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
     packed = reps.select("node", "packed")
     pairs = few.union(star).distinct()
     pairs = pairs.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("qa")), "a").join(packed.select(F.col("node").alias("b"), F.col("packed").alias("qb")), "b")
@@ -247,10 +281,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
     placed = large.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
     tally = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     main = tally.groupBy("key").agg(F.min(F.struct(-F.col("n"), F.col("c"))).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.c").alias("main"))
-    split = placed.join(main, "key").groupBy("node", "c").agg(F.max(F.col("c") != F.col("main")).alias("apart"))
-    more = cut(confirm(_rare_first_pairs(cut(split), sets, percent), sets, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    split = cut(placed.join(main, "key").groupBy("node", "c").agg(F.max(F.col("c") != F.col("main")).alias("apart")))
+    if not split.isEmpty():
+        more = cut(confirm(_ordered_pairs(split, sets, percent, _common(middle, sets)), sets, percent))
+        if not more.isEmpty():
+            found = components(links.union(more))
 
     tree = classes.join(found, "node", "left").select("node", "check", "rep", F.coalesce("c", "node").alias("c"))
     least = tree.groupBy("c").agg(F.min("rep").alias("component_id"))
