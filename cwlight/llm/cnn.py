@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTHS, PAD = (1, 2, 3), 2
+WIDTHS, PAD = (1, 2, 3), 3
 
 
 def padded(ids: np.ndarray, bounds: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ class TextCNN:
             n = len(ids) - w + 1
             c = sum(e[j : j + n] @ k[j] for j in range(w))
             for a, b in zip(starts, ends):
-                best = c[a : min(b, n)].argmax(axis=0) + a
+                best = c[a : b - w + 1].argmax(axis=0) + a
                 where.append(best)
                 pooled.append(c[best, np.arange(self.filters)])
         docs = len(starts)
@@ -117,6 +117,7 @@ class TextCNN:
             c = g[:, column : column + f].copy()
             for j in range(1, w):
                 c[:-j] += g[j:, column + j * f : column + (j + 1) * f]
+                c[at[1:] - j] = -np.inf  # it would reach into the next document
             column += w * f
             pooled.append(np.maximum.reduceat(c, starts))
         r = np.maximum(np.concatenate(pooled, axis=1) + self.offset, 0)
