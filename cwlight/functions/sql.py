@@ -6,26 +6,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cwlight.functions import kernels
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def tddr(values: pd.Series, fs: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else kernels.tddr(np.asarray(v, float), f) for v, f in zip(values, fs)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def wavelet_repair(values: pd.Series, iqr: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else kernels.wavelet_repair(np.asarray(v, float), q) for v, q in zip(values, iqr)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def bandpass(values: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else kernels.bandpass(np.asarray(v, float), f, (a, b)) for v, f, a, b in zip(values, fs, low, high)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def snr_db(values: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     def one(v: np.ndarray, f: float, a: float, b: float) -> float:
         return kernels.snr_db(np.asarray(v, float), f, (a, b), [(f / len(v), a), (b, f / 2)])
@@ -33,7 +34,7 @@ def snr_db(values: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) ->
     return pd.Series([None if v is None else one(v, f, a, b) for v, f, a, b in zip(values, fs, low, high)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def peak_power(x: pd.Series, y: pd.Series, fs: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else kernels.peak_power(np.asarray(a, float), np.asarray(b, float), f) for a, b, f in zip(x, y, fs)])
 
