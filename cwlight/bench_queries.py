@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cwlight.functions import optics
+from cwlight.functions import kernels, optics
 from cwlight.operators import geometry, measurements, motion, quality, short_separation
 from cwlight.operators.mbll import mbll
 from cwlight.operators.optical_density import intensity_to_od
@@ -292,18 +292,50 @@ def spline_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.spline_correct(rec.vector_samples(spark, sf_dir).join(clean, ["recording", "channel"], "left_semi"), mask, FS), 6)
 
 
+def _zero_phase_sql(b: list[float], a: list[float], ends: str) -> str:
+    """A table ``filtered`` with each vector channel filtered forwards and backwards, by recursion over samples."""
+    pad = 2 * len(b) if ends == "zeros" else 0
+    gain = sum(b) / sum(a) if ends == "hold" else 0.0
+    total = N + pad
+
+    def tap(k: int, of: str, first: str) -> str:
+        return f"CASE WHEN i >= {k} THEN {of}[i + 1 - {k}] ELSE {first} END"
+
+    drive = " + ".join(f"({x!r}) * ({tap(k, 'xs', 'xs[1]' if gain or ends == 'hold' else '0')})" for k, x in enumerate(b))
+    back = "".join(f" - ({x!r}) * ({tap(k, 'ys', f'xs[1] * ({gain!r})')})" for k, x in enumerate(a) if k)
+    step = lambda name, source: f"""{name} AS (SELECT recording, channel, 0 AS i, xs, []::DOUBLE[] AS ys FROM {source}
+        UNION ALL SELECT recording, channel, i + 1, xs, list_append(ys, {drive}{back}) FROM {name} WHERE i < {total})"""
+    return f"""arr AS (SELECT recording, channel, list_concat(list(value ORDER BY sample), {[0.0] * pad}::DOUBLE[]) AS xs FROM vec GROUP BY 1, 2),
+      {step("ahead", "arr")}, turned AS (SELECT recording, channel, list_reverse(ys) AS xs FROM ahead WHERE i = {total}),
+      {step("back", "turned")}, filtered AS (SELECT recording, channel, unnest(range(1, {N + 1})) AS sample, unnest(list_reverse(ys)[1:{N}]) AS value FROM back WHERE i = {total})"""
+
+
+def _band_sql(name: str, digits: int) -> str:
+    b, a = (x.tolist() for x in kernels.butterworth(3, short_separation.BANDS[name], FS))
+    return f"WITH RECURSIVE {VEC}, {_zero_phase_sql(b, a, 'zeros')} SELECT recording, channel, sample, round(value, {digits}) + 0.0 AS value FROM filtered"
+
+
+#: The narrow Mayer band is the worst conditioned, so it is compared to fewer digits.
+DIGITS = {"mayer": 4, "respiration": 6, "cardiac": 6}
+
+
 def _band(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(short_separation.bandpass(rec.vector_samples(spark, sf_dir), FS, name), 6)
+        return _rounded(short_separation.bandpass(rec.vector_samples(spark, sf_dir), FS, name), DIGITS[name])
 
     return run
 
 
 for _name in short_separation.BANDS:
-    QUERIES[f"bandpass_{_name}"] = _band(_name)
+    QUERIES[f"bandpass_{_name}"], ORACLE[f"bandpass_{_name}"] = _band(_name), _band_sql(_name, DIGITS[_name])
+
+
+def _sci_sql() -> str:
+    b, a = (x.tolist() for x in kernels.butterworth(3, (0.7, 1.5), FS))
+    core = CORE.removeprefix(f"{VEC}, ").replace("FROM vec v", "FROM filtered v")
+    return f"WITH RECURSIVE {VEC}, {_zero_phase_sql(b, a, 'hold')}, {core} SELECT recording, channel, win::INT AS \"window\", round(score, 6) + 0.0 AS score FROM scored"
 
 
-@query()
 def sci_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality.scalp_coupling(_whole(spark, sf_dir), _channels(spark, sf_dir), FS, N, SIZE, STEP), 6)
 
@@ -318,6 +350,9 @@ CORE = f"""{VEC}, {CH}, {FULL}, w AS (SELECT v.recording, pair, v.channel, sampl
       scored AS (SELECT ch.recording, ch.channel, ch.pair, win, score FROM core JOIN ch ON core.recording = ch.recording AND core.pair = ch.pair)"""
 
 
+QUERIES["sci_windows"], ORACLE["sci_windows"] = sci_windows, _sci_sql()
+
+
 def _core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coupling(_whole(spark, sf_dir), _channels(spark, sf_dir), N, SIZE, STEP)
 
