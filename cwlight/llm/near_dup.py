@@ -258,13 +258,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
     reps = full.join(heads, ["node", "check", "doc_id"], "left_semi").dropDuplicates(["node"])
 
     member = reps.select("node", F.explode("bands").alias("key"))
-    counts = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Small sides are written first: a join of two plain exchanges is one whose large keys Spark can split.
+    counts = cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = cut(member.join(counts, "key"))
     low = shared.where(F.col("n") <= small).select("key", "node")
     few = low.select("key", F.col("node").alias("a")).join(low.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     large = cut(shared.where(F.col("n") > small).join(degree, "node"))
-    middle = large.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("middle"), (-F.col("m.d")).alias("degree"))
+    middle = cut(large.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("middle"), (-F.col("m.d")).alias("degree")))
     star = large.select("key", "node").join(middle, "key").where("node != middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
     packed = reps.select("node", "packed")
     pairs = few.union(star).distinct()
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
 
     placed = large.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
     tally = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = tally.groupBy("key").agg(F.min(F.struct(-F.col("n"), F.col("c"))).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.c").alias("main"))
+    main = cut(tally.groupBy("key").agg(F.min(F.struct(-F.col("n"), F.col("c"))).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.c").alias("main")))
     split = cut(placed.join(main, "key").groupBy("node", "c").agg(F.max(F.col("c") != F.col("main")).alias("apart")))
     if not split.isEmpty():
         more = cut(confirm(_ordered_pairs(split, sets, percent, _common(middle, sets)), sets, percent))
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
             found = components(links.union(more))
 
     tree = classes.join(found, "node", "left").select("node", "check", "rep", F.coalesce("c", "node").alias("c"))
-    least = tree.groupBy("c").agg(F.min("rep").alias("component_id"))
+    least = cut(tree.groupBy("c").agg(F.min("rep").alias("component_id")))
     named = tree.join(least, "c").select("node", "check", "component_id")
     out = sigs.join(named, ["node", "check"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
