@@ -42,6 +42,7 @@ def with_types(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     firsts = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = cut(firsts)  # a plain side: Spark can then split a payload shared by many pages, or broadcast this
     rows = rows.join(firsts, "digest", "left")
     again = F.col("page_id") > F.col("first")
     return rows.select("page_id", "url", "payload", "digest", "size", F.when(again, F.col("first")).alias("refers_to"))
