@@ -22,18 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwlight.llm.common import held_out, pick_per_class, pieces, text_buffer
+from cwlight.llm.common import cut, held_out, pick_per_class, pieces, text_buffer
 from cwlight.llm.gru import ByteTagger
 
 PER_CLASS, CUTS, SPAN, HIDDEN = 256, 4, 64, 8
 SEGMENT, BLOCK_BYTES = 128, 1 << 18
+#: Sampled ids that are broadcast at most.
+FEW = 1 << 16
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample(docs: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, bytes]]:
     """(language, bytes) segments to learn from; at most ``per_class * CUTS`` a language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    ids = pick_per_class(rows, "lang", per_class)
+    ids = cut(pick_per_class(rows, "lang", per_class))
+    # With few languages the ids are small enough to go to the texts; else both are shuffled.
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
     body = F.encode("text", "UTF-8")
     room = F.greatest(F.octet_length("text") - SPAN, F.lit(0))
     spread = F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda i: F.substring(body, (room * i / F.lit(max(1, CUTS - 1))).cast("int") + 1, F.lit(SPAN)))
