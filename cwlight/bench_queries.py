@@ -433,7 +433,7 @@ def stim_events_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EV}, t AS (SELECT recording, channel, sample, CASE WHEN channel % 5 = 0 AND sample = 3 THEN 0.25 ELSE (sample - 1) / 10.0 END::DOUBLE AS t FROM ev),
       d AS (SELECT recording, channel, t - lag(t) OVER (PARTITION BY recording, channel ORDER BY sample) AS d FROM t), m AS (SELECT recording, channel, d, median(d) OVER (PARTITION BY recording, channel) AS s FROM d WHERE d IS NOT NULL)
-      SELECT recording, channel, round(any_value(s), 9) AS step_seconds, min(d) > 0 AND max(abs(d - s)) <= greatest(1e-9, 1e-6 * any_value(s)) AS uniform FROM m GROUP BY 1, 2""")
+      SELECT recording, channel, round(any_value(s), 9) AS step_seconds, min(d) > 0 AND max(abs(d - s)) <= greatest(1e-12, 1e-9 * any_value(s)) AS uniform FROM m GROUP BY 1, 2""")
 def uniform_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when((F.col("channel") % 5 == 0) & (F.col("sample") == 3), 0.25).otherwise((F.col("sample") - 1) / 10.0)
     return _rounded(measurements.uniform_step(rec.event_samples(spark, sf_dir).withColumn("t", t)))

@@ -42,23 +42,27 @@ def extinction_segments(grid: DataFrame, step: float | None = 2.0) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.orderBy("nm")
-    rows = grid.select("nm", "hbo", "hbr", *(F.lead(c).over(w).alias(f"{c}_next") for c in ("nm", "hbo", "hbr")))
+    ends = [F.lag("nm").over(w).isNull().alias("lowest"), F.lead("nm", 2).over(w).isNull().alias("highest")]
+    rows = grid.select("nm", "hbo", "hbr", *(F.lead(c).over(w).alias(f"{c}_next") for c in ("nm", "hbo", "hbr")), *ends)
     return rows if step is None else rows.withColumn("nm_next", F.when(F.col("nm_next") - F.col("nm") <= step, F.col("nm_next")))
 
 
-def extinction(queries: DataFrame, grid: DataFrame, unit: str = "m-1 M-1") -> DataFrame:
+def extinction(queries: DataFrame, grid: DataFrame, unit: str = "m-1 M-1", extrapolate: bool = False) -> DataFrame:
     """``queries`` (wavelength_nm, any others) with hbo and hbr, linear between grid rows.
 
     The grid is a fixed table of a few hundred rows, so it is broadcast.  A
-    wavelength off the grid raises an error.
+    wavelength off the grid raises an error, or with ``extrapolate`` follows the
+    slope at that end; a coefficient below zero always raises one.
     """
     if unit not in ("m-1 M-1", "cm-1 M-1"):
         raise ValueError("unit must be 'm-1 M-1' or 'cm-1 M-1'")
     factor = NATURAL if unit == "m-1 M-1" else 1.0
     x = F.col("wavelength_nm").cast("double")
     hit = (x == F.col("nm")) | ((x > F.col("nm")) & (x < F.col("nm_next")))
+    if extrapolate:
+        hit = hit | (F.col("lowest") & (x < F.col("nm"))) | (F.col("highest") & (x > F.col("nm_next")))
     joined = queries.join(F.broadcast(extinction_segments(grid)), hit, "left")
     t = F.when(x == F.col("nm"), F.lit(0.0)).otherwise((x - F.col("nm")) / (F.col("nm_next") - F.col("nm")))
     value = lambda c: (F.col(c) + F.when(t == 0, 0.0).otherwise(t * (F.col(f"{c}_next") - F.col(c)))) * factor
-    checked = lambda c: _checked(value(c), F.col("nm").isNotNull(), "wavelength outside the extinction grid")
+    checked = lambda c: _checked(_checked(value(c), value(c) >= 0, "extinction below zero"), F.col("nm").isNotNull(), "wavelength outside the extinction grid")
     return joined.select(*queries.columns, checked("hbo").alias("hbo"), checked("hbr").alias("hbr"))

@@ -26,8 +26,9 @@ def distances(channels: DataFrame, probe: DataFrame, unit: str = "m", dims: int
     for role, tag in (("source", "s"), ("detector", "d")):
         place = probe.where(F.col("role") == role).select("recording", F.col("idx").alias(role), *((F.col(a) * factor).alias(f"{tag}{a}") for a in axes))
         out = out.join(place, ["recording", role], "left")
-    missing = F.isnull("sx") | F.isnull("dx")
-    distance = F.when(missing, F.raise_error(F.lit("a channel names an unknown source or detector")).cast("double")).otherwise(_norm(*(F.col(f"d{a}") - F.col(f"s{a}") for a in axes)))
+    apart = _norm(*(F.col(f"d{a}") - F.col(f"s{a}") for a in axes))
+    wrong = F.raise_error(F.lit("a channel names an unknown source or detector, or one whose place is not finite")).cast("double")
+    distance = F.when(apart.isNotNull() & ~F.isnan(apart) & (apart < float("inf")), apart).otherwise(wrong)
     middle = [((F.col(f"s{a}") + F.col(f"d{a}")) / 2).alias(f"midpoint_{a}_m") for a in axes]
     return out.select(*channels.columns, distance.alias("distance_m"), *middle)
 

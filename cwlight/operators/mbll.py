@@ -2,9 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cwlight.functions import optics
+
+
+def with_pathlength(channels: DataFrame, factor: float | dict[float, float] = 6.0, age_years: float | None = None, model: str = "scholkmann2013", extrapolate: bool = False) -> DataFrame:
+    """``channels`` with pathlength_factor: one for all, one for each wavelength, or by a model of age.
+
+    A wavelength that ``factor`` does not name raises an error.
+    """
+    nm = F.col("wavelength_nm").cast("double")
+    if age_years is not None:
+        models = {"scholkmann2013": optics.dpf_scholkmann, "duncan1996": optics.dpf_duncan}
+        if model not in models:
+            raise ValueError(f"model must be one of {sorted(models)}")
+        value = models[model](nm, F.lit(float(age_years)), extrapolate)
+    else:
+        given = factor if isinstance(factor, dict) else {None: factor}
+        if not given or not all(0 < x < float("inf") for x in given.values()):
+            raise ValueError("pathlength factors must be positive and finite")
+        if isinstance(factor, dict):
+            named = F.create_map(*(F.lit(float(x)) for kv in factor.items() for x in kv))[nm]
+            value = F.when(named.isNotNull(), named).otherwise(F.raise_error(F.lit("a wavelength without a pathlength factor")).cast("double"))
+        else:
+            value = F.lit(float(factor))
+    return channels.withColumn("pathlength_factor", value)
+
+
+def agreed_distances(channels: DataFrame) -> DataFrame:
+    """``channels`` with each pair's mean distance_m; wavelengths of a pair that disagree on it raise an error."""
+    pair = Window.partitionBy("recording", "pair")
+    least, most = F.min("distance_m").over(pair), F.max("distance_m").over(pair)
+    agree = most - least <= F.greatest(F.lit(1e-12), 1e-8 * most)
+    wrong = F.raise_error(F.lit("the wavelengths of a pair disagree on its distance")).cast("double")
+    return channels.withColumn("distance_m", F.when(agree, F.avg("distance_m").over(pair)).otherwise(wrong))
+
 
 def pair_weights(channels: DataFrame, condition_limit: float = 1e8) -> DataFrame:
     """(recording, channel, pair, w_hbo, w_hbr): least-squares weights of each wavelength of a pair, to micromolar.
@@ -14,7 +48,7 @@ def pair_weights(channels: DataFrame, condition_limit: float = 1e8) -> DataFrame
     by two and solved in closed form, whatever the number of wavelengths.
     """
     path = F.col("distance_m") * F.col("pathlength_factor")
-    rows = channels.select("recording", "channel", "pair", "wavelength_nm", (F.col("hbo") * path).alias("eo"), (F.col("hbr") * path).alias("er"))
+    rows = agreed_distances(channels).select("recording", "channel", "pair", "wavelength_nm", (F.col("hbo") * path).alias("eo"), (F.col("hbr") * path).alias("er"))
     sums = rows.groupBy("recording", "pair").agg(
         F.sum(F.col("eo") * F.col("eo")).alias("oo"), F.sum(F.col("eo") * F.col("er")).alias("co"), F.sum(F.col("er") * F.col("er")).alias("rr"),
         F.count_distinct("wavelength_nm").alias("nw"), F.count(F.lit(1)).alias("n"),

@@ -42,6 +42,14 @@ def events(stims: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(line)).drop("stim_index", "row")
 
 
+def stim_labels(stims: DataFrame) -> DataFrame:
+    """``stims`` (data, data_labels, any others) with a label for every number of a row: start, duration, value, then extras."""
+    first = F.array(*map(F.lit, ("starttime", "duration", "value")))
+    usual = F.transform(F.sequence(F.lit(1), F.size("data")), lambda i: F.when(i <= 3, F.try_element_at(first, i)).otherwise(F.concat(F.lit("extra"), (i - 3).cast("string"))))
+    named = F.coalesce("data_labels", usual)
+    return stims.withColumn("data_labels", F.when(F.size(named) == F.size("data"), named).otherwise(F.raise_error(F.lit("a stimulus needs a label for every number")).cast("array<string>")))
+
+
 def time_axis(recordings: DataFrame, rows: str = "n_rows") -> DataFrame:
     """(recording, sample, time_seconds) from compact (start, step) or full times, in the recording's unit.
 
@@ -54,7 +62,7 @@ def time_axis(recordings: DataFrame, rows: str = "n_rows") -> DataFrame:
     return out.select("recording", (F.col("at") + 1).cast("long").alias("sample"), (F.col("t") * F.col("factor")).alias("time_seconds"))
 
 
-def uniform_step(times: DataFrame, relative: float = 1e-6, least: float = 1e-9) -> DataFrame:
+def uniform_step(times: DataFrame, relative: float = 1e-9, least: float = 1e-12) -> DataFrame:
     """(key columns, step_seconds, uniform) from (recording, channel, sample, t): the median step, and whether all steps keep to it."""
     line = Window.partitionBy("recording", "channel").orderBy("sample")
     steps = times.withColumn("d", F.col("t") - F.lag("t").over(line)).where("d IS NOT NULL")

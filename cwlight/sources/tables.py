@@ -69,6 +69,21 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     return channels.groupBy("recording").agg(F.sha2(joined, 256).alias("fingerprint"))
 
 
+def bound(derived: DataFrame, source: DataFrame) -> DataFrame:
+    """``derived`` (recording, any others), such as a mask or scores, with the fingerprint of the signal it was made from."""
+    return derived.join(fingerprint(source), "recording")
+
+
+def still_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
+    """The rows of ``bound``, if ``source`` is still the signal they were made from; else an error.
+
+    The check is a filter, so no later choice of columns takes it away.
+    """
+    now = fingerprint(source).withColumnRenamed("fingerprint", "now")
+    stale = F.raise_error(F.lit("made from another signal, or from an older state of it")).cast("boolean")
+    return derived.join(now, "recording", "left").where(F.when(F.col("now") == F.col("fingerprint"), F.lit(True)).otherwise(stale)).drop("now", "fingerprint")
+
+
 def missing_tags(tags: DataFrame, recordings: DataFrame) -> DataFrame:
     """(recording, name) of required tags that a recording does not carry."""
     names = F.explode(F.array(*map(F.lit, REQUIRED_TAGS))).alias("name")

@@ -163,15 +163,21 @@ def live(samples: DataFrame, plan: Plan) -> DataFrame:
 
 
 class Feedback:
-    """A live query from start to stop.  It cannot be started twice, or stepped once it has stopped."""
+    """A live query from start to stop.  It cannot be started twice, or stepped once it has stopped.
 
-    def __init__(self, samples: DataFrame, plan: Plan, name: str, checkpoint: str) -> None:
+    Updates go to a table in memory, or to Parquet files in ``folder``: with the
+    checkpoint, Spark's file sink keeps each update once, also over restarts.
+    """
+
+    def __init__(self, samples: DataFrame, plan: Plan, name: str, checkpoint: str, folder: str | None = None) -> None:
         self.updates, self.name, self.checkpoint, self.query, self.status = live(samples, plan), name, checkpoint, None, "created"
+        self.folder = folder
 
     def start(self) -> Feedback:
         if self.status != "created":
             raise RuntimeError(f"cannot start: {self.status}")
-        self.query = self.updates.writeStream.outputMode("append").format("memory").queryName(self.name).option("checkpointLocation", self.checkpoint).start()
+        out = self.updates.writeStream.outputMode("append").queryName(self.name).option("checkpointLocation", self.checkpoint)
+        self.query = out.format("memory").start() if self.folder is None else out.format("parquet").option("path", self.folder).start()
         self.status = "running"
         return self
 
@@ -188,7 +194,9 @@ class Feedback:
 
     def state(self, last: int = 512) -> DataFrame:
         """The last updates, newest first."""
-        return self.updates.sparkSession.table(self.name).orderBy("time", ascending=False).limit(last)
+        spark = self.updates.sparkSession
+        rows = spark.table(self.name) if self.folder is None else spark.read.schema(self.updates.schema).parquet(self.folder)
+        return rows.orderBy("time", ascending=False).limit(last)
 
     def stop(self) -> None:
         if self.query is not None and self.status == "running":

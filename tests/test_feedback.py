@@ -50,3 +50,16 @@ def test_stream_equals_replay(spark, tmp_path):
     assert got == want and len(got) == 10 and "stopped" in repr(live)
     with pytest.raises(RuntimeError):
         live.start()
+
+
+def test_updates_in_files_come_once_over_restarts(spark, tmp_path):
+    t, x = source()
+    rows = spark.createDataFrame([("s", float(a), [float(v) for v in b]) for a, b in zip(t, x)], "stream string, t double, channels array<double>")
+    places = {k: str(tmp_path / k) for k in ("in", "ck", "out")}
+    for name, lo, hi in (("one", 0, 1.85), ("two", 1.85, 9)):
+        rows.where(f"t >= {lo} AND t < {hi}").coalesce(1).write.parquet(f"{places['in']}/{name}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(places["in"])
+        live = Feedback(stream, PLAN, f"feedback_{name}", places["ck"], places["out"]).start().step()
+        live.stop()
+    got = sorted(r.sequence for r in live.state().where("skipped IS NULL").collect())
+    assert got == list(range(10))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cwlight.functions import optics
 from cwlight.operators import geometry, measurements, motion, quality, short_separation
-from cwlight.operators.mbll import mbll
+from cwlight.operators.mbll import agreed_distances, mbll, with_pathlength
 from cwlight.operators.optical_density import intensity_to_od
 
 SAMPLES = "recording long, channel long, sample long, value double"
@@ -149,3 +149,45 @@ def test_labels_events_and_times(spark):
     times = spark.createDataFrame([(1, 4, "ms", [0.0, 100.0]), (2, 2, "s", [0.0, 3.0])], "recording long, n_rows int, time_unit string, time array<double>")
     got = [(r.recording, r.sample, round(r.time_seconds, 9)) for r in measurements.time_axis(times).orderBy("recording", "sample").collect()]
     assert got == [(1, 1, 0.0), (1, 2, 0.1), (1, 3, 0.2), (1, 4, 0.3), (2, 1, 0.0), (2, 2, 3.0)]
+
+
+def test_extinction_beyond_the_grid(spark):
+    grid = spark.createDataFrame([(700.0, 10.0, 1.0), (702.0, 12.0, 2.0), (704.0, 16.0, 5.0)], "nm double, hbo double, hbr double")
+    ask = lambda *nm: spark.createDataFrame([(float(x),) for x in nm], "wavelength_nm double")
+    got = {r.wavelength_nm: (r.hbo, r.hbr) for r in optics.extinction(ask(699, 700, 704, 706), grid, "cm-1 M-1", extrapolate=True).collect()}
+    assert got == {699.0: (9.0, 0.5), 700.0: (10.0, 1.0), 704.0: (16.0, 5.0), 706.0: (20.0, 8.0)}
+    for rows in (optics.extinction(ask(706), grid), optics.extinction(ask(690), grid, extrapolate=True)):
+        with pytest.raises(PySparkException):
+            rows.collect()
+
+
+def test_pathlengths_and_pair_distances(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 760, 0.03), (1, 2, 1, 850, 0.03)], "recording long, channel long, pair long, wavelength_nm int, distance_m double")
+    factors = lambda *a, **k: [r.pathlength_factor for r in with_pathlength(rows, *a, **k).orderBy("channel").collect()]
+    assert factors() == [6.0, 6.0] and factors({760: 6.5, 850: 5.5}) == [6.5, 5.5]
+    assert np.allclose(factors(age_years=30), [223.3 + 0.05624 * 30**0.8493 - 5.723e-7 * w**3 + 0.001245 * w**2 - 0.9025 * w for w in (760, 850)])
+    with pytest.raises(PySparkException):
+        factors({760: 6.5})
+    for bad in ({"factor": 0.0}, {"factor": {}}, {"age_years": 30, "model": "none"}):
+        with pytest.raises(ValueError):
+            factors(**bad)
+    near = rows.withColumn("distance_m", F.col("distance_m") + F.when(F.col("channel") == 2, 1e-11).otherwise(0.0))
+    assert len({r.distance_m for r in agreed_distances(near).collect()}) == 1
+    with pytest.raises(PySparkException):
+        agreed_distances(rows.withColumn("distance_m", F.col("channel") * 0.01)).collect()
+
+
+def test_labels_of_stimulus_numbers(spark):
+    schema = "data array<double>, data_labels array<string>"
+    got = measurements.stim_labels(spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0], None), ([1.0, 2.0, 3.0], ["a", "b", "c"])], schema)).collect()
+    assert [r.data_labels for r in got] == [["starttime", "duration", "value", "extra1", "extra2"], ["a", "b", "c"]]
+    with pytest.raises(PySparkException):
+        measurements.stim_labels(spark.createDataFrame([([1.0, 2.0, 3.0], ["a"])], schema)).collect()
+
+
+def test_places_must_be_finite(spark):
+    channels, probe = geometry_rows(spark)
+    with pytest.raises(PySparkException):
+        geometry.distances(channels, probe.withColumn("x", F.lit(float("nan")))).collect()
+    with pytest.raises(PySparkException):
+        geometry.distances(channels, probe.where("idx < 3")).collect()

@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cwlight.operators.optical_density import intensity_to_od
-from cwlight.sources import tables
+from cwlight.sources import extinction, tables
 
 
 def recording(spark):
@@ -46,3 +49,37 @@ def test_missing_tags(spark):
     rec = recording(spark)
     got = tables.missing_tags(rec.tags, rec.measurements.select("recording").distinct()).collect()
     assert {r.recording for r in got} == {2} and len(got) == len(tables.REQUIRED_TAGS) - 1
+
+
+def test_stale_results_are_refused(spark):
+    rows = recording(spark).assay("raw")
+    mask = rows.select("recording", "channel", "sample", F.lit(True).alias("masked"))
+    kept = tables.bound(mask, rows)
+    assert sorted(map(tuple, tables.still_bound(kept, rows).collect())) == sorted(map(tuple, mask.collect()))
+    changed = rows.withColumn("value", F.when(F.expr("recording = 1 AND sample = 2"), 0.0).otherwise(F.col("value")))
+    for other in (changed, rows.where("recording = 2")):
+        with pytest.raises(PySparkException):
+            tables.still_bound(kept, other).select("masked").collect()
+
+
+TABLE = "wavelength_nm,hbo2_cm1_M1,hbr_cm1_M1,source,source_version\n760,586,1548.52,a,1\n762,598,1508.44,a,1\n"
+
+
+def test_extinction_table_and_its_digest(spark, tmp_path):
+    path, manifest = tmp_path / "t.csv", tmp_path / "t.sha256"
+    path.write_text(TABLE)
+    manifest.write_text(f"{hashlib.sha256(TABLE.encode()).hexdigest()}  t.csv\n")
+    assert sorted(map(tuple, extinction.read(spark, str(path)).collect())) == [(760.0, 586.0, 1548.52), (762.0, 598.0, 1508.44)]
+    assert extinction.verify(spark, str(path), str(manifest)) == hashlib.sha256(TABLE.encode()).hexdigest()
+    for bad in ("", "abc", "0" * 64):
+        manifest.write_text(bad)
+        with pytest.raises(ValueError):
+            extinction.verify(spark, str(path), str(manifest))
+
+
+@pytest.mark.parametrize("row", ["760,1,1,a,1", "764,-1,1,a,1", "764,,1,a,1", "764,1,NaN,a,1", "-2,1,1,a,1", "764,1,1,b,1", "764,1,1,a,", "764,1,1,a,2"])
+def test_malformed_extinction_tables(spark, tmp_path, row):
+    path = tmp_path / "t.csv"
+    path.write_text(f"{TABLE}{row}\n")
+    with pytest.raises(ValueError):
+        extinction.read(spark, str(path))
