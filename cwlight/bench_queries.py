@@ -35,7 +35,7 @@ def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-EV = "ev AS (SELECT 0::BIGINT AS recording, user_id AS channel, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample, value::DOUBLE AS value FROM events)"
+EV = "ev AS (SELECT 0::BIGINT AS recording, user_id AS channel, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample, value::DOUBLE + 0.01::DOUBLE AS value FROM events)"
 VEC = "vec AS (SELECT vec_id // 24 AS recording, vec_id % 24 AS channel, i AS sample, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) r(i))"
 CH = """ch AS (SELECT *, 0.5 * d AS mid FROM (SELECT vec_id // 24 AS recording, vec_id % 24 AS channel, (vec_id % 24) // 2 AS pair,
         CASE WHEN vec_id % 2 = 0 THEN 760 ELSE 850 END AS nm, [0.008, 0.009, 0.03][((vec_id % 24) // 2) % 3 + 1] AS d FROM embeddings))"""

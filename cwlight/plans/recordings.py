@@ -1,6 +1,7 @@
 """Recordings as views over the tables at hand.
 
-``events``: one channel per user, samples in time order, intensity from value.
+``events``: one channel per user, samples in time order; intensity is the value over
+a dark level of ``DARK``, as values may be 0 and intensities may not.
 ``embeddings``: one channel per vector, 64 samples at 10 Hz; 24 channels make a
 recording, two neighbouring channels a pair at 760 and 850 nm.  Sources stand a
 metre apart; detectors lie 8, 9 or 30 mm from their source in turn.
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 FS, LENGTH, CHANNELS = 10.0, 64, 24
 SPACING = (0.008, 0.009, 0.03)
+DARK = 0.01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("recording"), F.col("user_id").alias("channel"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+    rows = table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("recording"), F.col("user_id").alias("channel"), "ts", "event_id", (F.col("value").cast("double") + DARK).alias("value"))
     line = Window.partitionBy("channel").orderBy("ts", "event_id")
     return rows.select("recording", "channel", F.row_number().over(line).cast("long").alias("sample"), "value")
 
