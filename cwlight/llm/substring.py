@@ -12,8 +12,8 @@ holds one whole block of the grid 0, b, 2b, ... of its document.  So:
    maximal repeats of at least ``window`` words.
 4. Each pack removes the words its repeated windows cover.
 
-Rows of the exchanges are packed cells (one pack, one hash range), so bytes per
-probe are about five and no range grows with how often one passage occurs: a
+Rows of the exchanges are packed cells (one pack, one hash range; see
+``cell_sizes``), so bytes per probe are about five and no range grows with how often one passage occurs: a
 passage in a third of all documents adds one probe per occurrence.  The texts
 themselves are shuffled once; Spark reuses that exchange for all three passes.
 
@@ -25,6 +25,7 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,26 @@ from pyspark.sql import functions as F
 from cwlight.llm.common import text_buffer, total_bytes
 from cwlight.llm.wordhash import grams, words
 
-PACK_BYTES, RANGE_BYTES = 2 << 20, 16 << 20
+#: Bytes of text in a pack and in a hash range, at least; probes in one cell of the two on average, at least.
+PACK_BYTES, RANGE_BYTES, CELL_PROBES = 2 << 20, 16 << 20, 64
 CELL = "part int, pack int, n int, body binary"
 FOUND = "pack int, body binary"
 FILL = np.uint64(0xFFFFFFFFFFFFFFFF)
 GAP = 255
 
 
+def cell_sizes(total: int) -> tuple[int, int]:
+    """Bytes of a pack and of a range for ``total`` bytes of text.
+
+    There are packs times ranges cells, so beyond some 80 GB both grow with the
+    square root of the text; a cell then keeps its probes (one per six bytes or
+    so) and the rows of an exchange grow in proportion to the text.  100 TB give
+    packs of 70 MB and ranges of 550 MB.
+    """
+    grow = max(1.0, math.sqrt(6 * CELL_PROBES * total / (PACK_BYTES * RANGE_BYTES)))
+    return int(PACK_BYTES * grow), int(RANGE_BYTES * grow)
+
+
 def _cells(pack: int, places: np.ndarray, hashes: np.ndarray, parts: int, kind: type) -> pa.Table:
     """One row per hash range: the low bits of each hash, then its distance from the last as one byte.
 
@@ -191,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
     """
     block = (window + 1) // 2
     total = total_bytes(docs)
-    packs, parts = total // PACK_BYTES + 1, total // RANGE_BYTES + 1
+    packs, parts = (total // size + 1 for size in cell_sizes(total))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)).cast("int"))
 

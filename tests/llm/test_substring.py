@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+from cwlight.llm import substring
 from cwlight.llm.queries import ORACLE, QUERIES
 from cwlight.llm.substring import remove_repeats
 from tests.llm.edge import documents
@@ -46,3 +47,22 @@ def test_passages_at_all_offsets_equal_brute_force(spark):
     rows.append((99, " ".join(["la"] * 120)))
     for window in (35, 8, 1):
         assert sorted((tuple(r) for r in remove_repeats(documents(spark, rows), window).collect()), key=repr) == brute(rows, window)
+
+
+def test_sizes_of_cells_do_not_change_the_rows(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(50))
+    rows = [(i, " ".join([passage] * (i % 3) + [f"w{rng.randrange(10**6)}" for _ in range(30)] + [passage] * (i % 2))) for i in range(40)]
+    want = sorted((tuple(r) for r in remove_repeats(documents(spark, rows), 35).collect()), key=repr)
+    monkeypatch.setattr(substring, "CELL_PROBES", 1)
+    for pack, part in ((500, 900), (5000, 300)):
+        monkeypatch.setattr(substring, "PACK_BYTES", pack)
+        monkeypatch.setattr(substring, "RANGE_BYTES", part)
+        assert sorted((tuple(r) for r in remove_repeats(documents(spark, rows), 35).collect()), key=repr) == want == brute(rows, 35)
+
+
+def test_cells_grow_with_the_square_root():
+    assert substring.cell_sizes(30 * 10**9) == (substring.PACK_BYTES, substring.RANGE_BYTES)
+    for total in (10**12, 10**14):
+        pack, part = substring.cell_sizes(total)
+        assert total / 6 / (total / pack * (total / part)) >= 0.99 * substring.CELL_PROBES
