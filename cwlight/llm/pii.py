@@ -1,9 +1,12 @@
 """Personal data: fixed patterns, and candidates judged by boosted trees.
 
 The fixed patterns give the base spans.  Beside them, high-recall generators
-propose overlapping spans (numbers with separators, account numbers, addresses
-of machines); boosted trees score each by its format and by the words before it,
-and a span is selected where the score passes its kind's threshold.  Thresholds
+propose overlapping spans (numbers with separators, account numbers); boosted
+trees score each by its format and by the words before it, and a span is
+selected where the score passes its kind's threshold.  A run of numbers, such as
+a list or a row of a table, has no greatest length: its shapes are sought in the
+run, between its commas and colons, between its blanks, and at each of its
+groups.  Thresholds
 are set on held-out examples to a precision of ``PRECISION``; of overlapping
 selected spans the best scored stays, and base spans go before all others.
 
@@ -12,7 +15,7 @@ No table marks personal data, so the trees learn from examples composed here,
 numbers that look alike (versions, orders, amounts, dates, measures).
 
 Every pattern is linear in the text: a run of digits or of address characters
-is entered once, at its start.
+is entered once, at its start, and the shapes sought in a run are bounded.
 
 Defined cases: a null text counts as empty.  Columns other than doc_id and text
 are ignored.
@@ -21,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +53,16 @@ SHAPES = {
     "ssn": re.compile(r"[0-9]{3}([ -])[0-9]{2}\1[0-9]{4}"),
     "card": re.compile(r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}"),
 }
+#: Where one number of a list may end, and shapes that may begin at any group: behind no digit, a digit and its sign, or a country.
+PARTS = (re.compile(r"[^,:]+"), re.compile(r"[^\x20]+"))
+GROUPS = [
+    (kind, re.compile(rf"(?<![0-9(+])(?<![0-9][./-])(?<!\+[0-9]\x20)(?<!\+[0-9][0-9]\x20)(?<!\+[0-9][0-9][0-9]\x20)(?=({shape})(?![0-9]))"))
+    for kind, shape in (
+        ("phone", r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4}"),
+        ("card", r"[0-9]{4}(?:[ -]?[0-9]{4}){3}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}"),
+    )
+]
 #: Words before a number that speak for or against it.
 WORDS = {
     "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "contact", "reach", "telefon", "handy", "móvil", "téléphone"),
@@ -104,13 +118,24 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of the generators."""
-    out = []
+    out: dict[Span, None] = {}
     for m in NUMBER.finditer(text) if DIGIT.search(text) else ():
-        if m.end() - m.start() <= 48:
+        at = m.start()
+        if m.end() - at < 9:  # no shape is shorter than 8, none of 8 can be cut
+            parts = [(at, m[0])]
+        else:
+            parts = [(at, m[0]), *((at + x.start(), x[0]) for part in PARTS for x in part.finditer(m[0]) if len(x[0]) < len(m[0]))]
+            for kind, group in GROUPS:
+                out.update(((at + x.start(1), at + x.end(1), kind), None) for x in group.finditer(m[0]))
+        for start, part in parts:
             for kind, shape in SHAPES.items():
-                out += [(m.start() + x.start(), m.start() + x.end(), kind) for x in shape.finditer(m[0])]
-    out += [(m.start(), m.end(), "iban") for m in ACCOUNT.finditer(text)]
-    return out
+                out.update(((start + x.start(), start + x.end(), kind), None) for x in shape.finditer(part))
+    out.update(((m.start(), m.end(), "iban"), None) for m in ACCOUNT.finditer(text))
+    # The last figure of a clock is no part of the number behind it.
+    last: dict[int, int] = {}
+    for a, b, _ in out:
+        last[b] = max(a, last.get(b, a))
+    return [s for s in out if s[0] == last[s[1]] or text[s[0] - 1 : s[0]] != ":" or not DIGIT.match(text, s[0] - 2 if s[0] > 1 else s[0] - 1)]
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -175,12 +200,34 @@ def _examples(n: int, seed: int = 7) -> tuple[list[tuple[str, Span]], np.ndarray
             word = pick(WORDS["against"]) if rng.random() < 0.5 else pick(neutral)
         text = f"{pick(neutral)} {word}{pick([' ', ': ', ' no. '])}{value} {pick(neutral)}"
         for s in candidates(text):
-            if label == 0 or s[2] == kind and s[1] - s[0] >= len(value) - 1:
+            # A whole value proposed as another kind is an example against that kind.
+            if label == 0 or s[1] - s[0] >= len(value) - 1:
                 rows.append((text, s))
-                labels.append(label)
+                labels.append(label * (s[2] == kind))
     return rows[:n], np.array(labels[:n])
 
 
+class Apart:
+    """Ranges that do not overlap, in order, so that a text with many spans costs a search for each."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def cover(self, a: int, b: int) -> None:
+        """Adds a range; one that overlaps others must come behind their starts."""
+        if self.free(a, b):
+            i = bisect_left(self.starts, a)
+            self.starts.insert(i, a)
+            self.ends.insert(i, b)
+        else:
+            self.ends[-1] = max(self.ends[-1], b)
+
+
 class Judge:
     """Boosted trees and a threshold for each kind."""
 
@@ -202,16 +249,21 @@ class Judge:
         """The spans to add for each text, apart from those already taken."""
         rows, x = [], []
         for i, (text, base) in enumerate(zip(texts, taken)):
+            used = Apart()
+            for a, b, _ in sorted(base):
+                used.cover(a, b)
             for s in candidates(text):
-                if not any(s[0] < b and a < s[1] for a, b, _ in base):
+                if used.free(s[0], s[1]):
                     rows.append((i, s))
                     x.append(features(text, s))
         out: list[list[Span]] = [[] for _ in texts]
         if rows:
             score = sigmoid(self.trees.margin(np.array(x)))
+            held = [Apart() for _ in texts]
             for j in np.argsort(-score, kind="stable").tolist():
                 i, (a, b, k) = rows[j]
-                if score[j] >= self.threshold[k] and not any(a < d and c < b for c, d, _ in out[i]):
+                if score[j] >= self.threshold[k] and held[i].free(a, b):
+                    held[i].cover(a, b)
                     out[i].append((a, b, k))
         return out
 
