@@ -1,11 +1,18 @@
 """Toxic documents by a convolutional text classifier.
 
 Learning: a bounded sample of labelled rows (``PER_CLASS`` of each label at most,
-of up to ``LEARN_BYTES`` bytes each) is gathered and fitted on the driver; a
-quarter of it is kept apart to calibrate.  A word is hashed to two buckets, its
+of up to ``LEARN_BYTES`` bytes each) is gathered and three quarters of it are
+fitted on the driver.  A word is hashed to two buckets, its
 own and that of its first ``STEM`` letters; buckets seen in fewer than ``SEEN``
-sampled texts share one.  For each language the
-threshold parts the labels of the calibration rows best; a text's own threshold
+sampled texts share one.
+
+Calibration: every labelled row that is neither held out nor a copy of a fitted
+text is scored, whatever its length and however many there are; all that comes
+back is a count for each predicted language, label and score bin.  For each
+language the threshold parts these labels best.  All languages together stand
+beside each language as ``PRIOR`` toxic rows, so a language with few toxic rows
+moves from the common threshold by what its rows say, and none by a switch.  A
+text's own threshold
 is the mean of these, weighted by the language probabilities that the model
 reads from the text, and its score is moved so that 0.7 stands there.
 
@@ -19,6 +26,8 @@ doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +40,9 @@ from cwlight.llm.wordhash import stems, words
 PER_CLASS, LEARN_BYTES, BUCKETS, SEEN, PIECE = 1024, 16_384, 1 << 16, 3, 1 << 20
 STEM = 4
 CUT = 0.7
+#: Score bins of 1 / FINE each, from -SPAN to SPAN, and the toxic rows that all languages count for in each.
+FINE, SPAN, PRIOR = 32, 64, 20
+BINS = 2 * SPAN * FINE
 
 
 def word_ids(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,27 +53,36 @@ def word_ids(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (both >> np.uint64(40)).astype(np.int64) % BUCKETS, bounds
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic), one row for each labelled document."""
+    return labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str, str]]:
     """(label, language, text) of at most ``per_class`` rows of each label."""
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     fit = F.octet_length("text") <= LEARN_BYTES
     rows = docs.where(~held_out() & (F.length("text") > 0) & fit).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    ids = pick_per_class(rows.select("doc_id").join(known, "doc_id"), "toxic", per_class)
+    ids = pick_per_class(rows.select("doc_id").join(known(labels), "doc_id"), "toxic", per_class)
     # Two labels: at most 2 * per_class ids, so that the texts need not be shuffled for them.
     chosen = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
     return [(r["toxic"], r["lang"], r["text"]) for r in sorted(chosen, key=lambda r: r["doc_id"])]
 
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float | None:
-    """The middle of the gap that gives the best F-measure, precision counting twice."""
-    if not y.any() or y.all():
-        return None
-    order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
-    k = int(f.argmax())
-    return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(((z + SPAN) * FINE).astype(np.int64), 0, BINS - 1)
+
+
+def mark(text) -> bytes:
+    """A digest of the bytes of a text."""
+    return blake2b(text, digest_size=16).digest()
+
+
+def best_cut(counts: np.ndarray) -> float:
+    """The middle of the gap that gives the best F-measure, precision counting twice, from weights (label, score bin)."""
+    at = np.flatnonzero(counts.sum(axis=0))[::-1]
+    hits, taken = np.cumsum(counts[1, at]), np.cumsum(counts[:, at].sum(axis=0))
+    k = int((1.25 * hits / (taken + 0.25 * hits[-1])).argmax())
+    return float((at[k] + at[min(k + 1, len(at) - 1)] + 1) / 2 / FINE - SPAN)
 
 
 class Classifier:
@@ -96,17 +117,28 @@ class Classifier:
         train = np.flatnonzero(own)
         self.net.fit([docs[i] for i in train], y[train], lang[train])
         self.tables = self.net.tables().astype(np.float32)
+        self.fitted = {mark(rows[i][2].encode()) for i in train}
         z, p = self._margins(docs)
-        # The rows kept apart decide; where a language has too few, all languages do.
-        everyone = best_cut(z[apart], y[apart])
-        everyone = best_cut(z, y) if everyone is None else everyone
-        self.threshold = np.full(max(1, len(names)), 0.0 if everyone is None else everyone)
         guess = p.argmax(axis=1)
-        for k in range(len(names)):
-            of = apart & (guess == k)
-            cut = best_cut(z[of], y[of]) if y[of].sum() >= 20 and (1 - y[of]).sum() >= 20 else None
-            if cut is not None:
-                self.threshold[k] = cut
+        self.threshold = np.zeros(max(1, len(names)))
+        whole, part = (np.zeros((len(self.threshold), 2, BINS)) for _ in range(2))
+        np.add.at(whole, (guess, y, bins(z)), 1)
+        np.add.at(part, (guess[apart], y[apart], bins(z[apart])), 1)
+        # Until the table's counts come, the rows kept apart decide; where these lack a label, the fitted ones too.
+        self.calibrate(part if part.sum(axis=(0, 2)).all() else whole)
+
+    def calibrate(self, counts: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> None:
+        """Sets the thresholds from counts (language, label, score bin) and what a row of each label stands for."""
+        if counts.sum(axis=(0, 2)).all():
+            own = counts * np.array(weights)[None, :, None]
+            prior = own.sum(axis=0) * (PRIOR / counts[:, 1].sum())
+            self.threshold = np.array([best_cut(x + prior) for x in own])
+
+    def placed(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(predicted language, score bin) of each text, before any threshold."""
+        ids, bounds = word_ids(raw, offsets)
+        z, p = self.net.scores(self.tables, self.rename[ids], bounds)
+        return p.argmax(axis=1), bins(z)
 
     def _margins(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return self.net.scores(self.tables, np.concatenate([*docs, np.zeros((0, 2), np.int64)]), np.cumsum([0, *map(len, docs)]))
@@ -118,9 +150,44 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def calibration(docs: DataFrame, labels: DataFrame, model: Classifier) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (language, label, score bin) of all labelled rows that are not held out, without copies of fitted texts.
+
+    Fitting takes a larger share of one label than of the other, so beside them
+    stands how many rows of its label each counted row stands for.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(1))
+            guess, at, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for a, b in pieces(offsets, PIECE):
+                g, z = shared.value.placed(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                guess.append(g)
+                at.append(z)
+                own += [mark(raw[offsets[i] : offsets[i + 1]]) in shared.value.fitted for i in range(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x), pa.int32()) for x in (guess, at)), pa.array(own, pa.bool_())], names=["doc_id", "guess", "at", "fitted"])
+
+    # Labels join the scores, not the texts, so that no text is shuffled.
+    rows = docs.where(~held_out() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, guess int, at int, fitted boolean").join(known(labels), "doc_id")
+    counts, whole = np.zeros((len(model.threshold), 2, BINS)), np.zeros(2)
+    for r in scored.groupBy("guess", "toxic", "at", "fitted").agg(F.count(F.lit(1)).alias("n")).collect():
+        whole[r["toxic"]] += r["n"]
+        if not r["fitted"]:
+            counts[r["guess"], r["toxic"], r["at"]] += r["n"]
+    return counts, whole / np.maximum(1, counts.sum(axis=(0, 2)))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     rows = sample(docs, labels)
-    return Classifier(rows) if len({v for v, _, _ in rows}) == 2 else None
+    if len({v for v, _, _ in rows}) < 2:
+        return None
+    model = Classifier(rows)
+    model.calibrate(*calibration(docs, labels, model))
+    model.fitted = set()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
