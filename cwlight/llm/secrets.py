@@ -4,7 +4,9 @@ The fixed patterns give the base spans.  The method adds values that stand in a
 wider credential context (a key, pass phrase, bearer or connection string) and
 that would be hard to guess: the least sum of log2 guesses over all ways to cut
 a value into dictionary words, dates, repeats, sequences, keyboard walks and
-brute-force spans reaches ``MIN_BITS``.
+brute-force spans reaches ``MIN_BITS``.  A value of letters only is cheaper
+where it reads as prose: where all its letter pairs are usual inside words.  A
+keyword may be the last part of a joined name (DB_PWD, rsaPrivateKey).
 
 The search is linear in the text: context is found by one pass of a pattern
 without nested repeats, a value ends at the first blank or quote, and the
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words before a value that make it a credential, wider than the base pattern's.
 CONTEXT = re.compile(
-    r"(?i:\b(?:pwd|pass|pass[ _-]?phrase|pass[ _-]?code|password|passwd|pin|secret|secret[ _-]?key|private[ _-]?key|access[ _-]?key|api[ _-]?key|auth|auth[ _-]?token|token|bearer|authorization|credentials?|client[ _-]?secret|signing[ _-]?key)"
+    r"(?:(?<![^\W_])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:pwd|pass|pass[ _-]?phrase|pass[ _-]?code|password|passwd|pin|secret|secret[ _-]?key|private[ _-]?key|access[ _-]?key|api[ _-]?key|auth|auth[ _-]?token|token|bearer|authorization|credentials?|client[ _-]?secret|signing[ _-]?key)"
     r"(?:[\"']?[ \t]{0,4}(?:[:=]|=>)[ \t]{0,4}(?:bearer[ \t]{1,4})?[\"'`]?|[ \t]{1,4}[\"'`]))([^\s\"'`,;<>]{6,})"
 )
 #: Every match of ASSIGN or CONTEXT holds one of these.
@@ -64,6 +67,15 @@ def _alphabet(ch: str) -> float:
     return math.log2(33) if ch.isascii() else math.log2(100)
 
 
+#: Each letter with those that follow it inside English, German, French and Spanish words.
+FOLLOWS = (
+    "aabcdeghijklmnopqrstuvwyz badeilorsuy cacehiklmopqrtuv dabdehilnorstuw eabcdefghijklmnopqrstuvwxyz fabcefghiklnoprstuvz gabceghiklnoprstuvwz habceghiklmnopqrstuvwyz iabcdefghijlmnopqrstuvwxz "
+    "ja keistw labcdegijlmnoqrstuwy mabeimopsu nabcdefghijklmnopqrstuvwz oabcdefghijklmnopqrstuvwz paefiloprstu qu rabcdeghijklmnopqrstuvwyz "
+    "sabcdeghijlmnopqrstuwy tabceghiklmnopqrstuvwyz uabceghiklmnopqrstuvwxz vaeio waehior xaceilmopqrtvxy yabdehilnoprstw zabcdeghijklmnopqrstuvz "
+).split()
+PAIRS = {(w[0], b) for w in FOLLOWS for b in w[1:]}
+
+
 @lru_cache(maxsize=65536)
 def guess_bits(value: str) -> float:
     """log2 of the guesses for ``value`` by its cheapest segmentation.
@@ -113,6 +125,17 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def prose_bits(value: str) -> float:
+    """log2 of the guesses for letters that read as prose, by Shannon's estimate of some 1.5 bits a letter; infinite for others.
+
+    Accents are left aside; letters beyond a to z follow any other.
+    """
+    plain = "".join(ch for ch in unicodedata.normalize("NFKD", value).lower() if not unicodedata.combining(ch))
+    if not value.isalpha() or any(a.isascii() and b.isascii() and (a, b) not in PAIRS for a, b in zip(plain, plain[1:])):
+        return math.inf
+    return 7 + 1.5 * len(value)
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, non-overlapping within a kind."""
     out = []
@@ -130,7 +153,7 @@ def guessed_spans(text: str, min_bits: float = MIN_BITS) -> list[Span]:
     out = []
     for m in CONTEXT.finditer(text) if any(x in text for x in SIGNS) else ():
         value = m[1].rstrip(".,:;!?)]}")
-        if len(value) >= 6 and guess_bits(value) >= min_bits and not value.isalpha():
+        if len(value) >= 6 and min(guess_bits(value), prose_bits(value)) >= min_bits:
             out.append((m.start(1), m.start(1) + len(value), "guess"))
     return out
 
