@@ -439,11 +439,13 @@ def uniform_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(measurements.uniform_step(rec.event_samples(spark, sf_dir).withColumn("t", t)))
 
 
-PLAN = Plan(fs=FS, regions={"left": (0, 2), "right": (4,)}, contrast={"lateral": {"left": 1.0, "right": -1.0}}, baseline_seconds=2.0, update_seconds=0.2, smoothing_seconds=0.4)
+#: The first and the last channels of each wavelength; together they are all channels of a recording.
+REGIONS = {f"{side}_{nm}": tuple(range(first + at, first + rec.CHANNELS // 2, 2)) for at, nm in enumerate((760, 850)) for side, first in (("left", 0), ("right", rec.CHANNELS // 2))}
+PLAN = Plan(fs=FS, regions=REGIONS, contrast={f"lateral_{nm}": {f"left_{nm}": 1.0, f"right_{nm}": -1.0} for nm in (760, 850)}, baseline_seconds=2.0, update_seconds=0.2, smoothing_seconds=0.4)
 
 
 @query()
 def feedback_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _whole(spark, sf_dir).where(F.col("channel") < 6)
+    rows = _whole(spark, sf_dir)
     packed = rows.groupBy("recording", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("channels"))
     return _rounded(replay(packed.select(F.col("recording").cast("string").alias("stream"), ((F.col("sample") - 1) / FS).alias("t"), "channels"), PLAN), 6)
