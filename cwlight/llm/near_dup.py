@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cwlight.llm.common import cut, pieces, text_buffer
 from cwlight.llm.wordhash import grams, mix, words
@@ -249,8 +250,8 @@ def _common(middle: DataFrame, sets: DataFrame) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r["s"], np.int64) for r in rows)]).view(np.uint64))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, any others)."""
+def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows; (node, check, rep, c) of every class of equal sets: smallest doc_id and label of the component)."""
     sigs = cut(signatures(docs, width))
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("node", "check").agg(F.min("doc_id").alias("rep")))
@@ -289,6 +290,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
             found = components(links.union(more))
 
     tree = classes.join(found, "node", "left").select("node", "check", "rep", F.coalesce("c", "node").alias("c"))
+    return sigs, tree
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, any others)."""
+    sigs, tree = _classed(docs, width, percent, small)
     least = cut(tree.groupBy("c").agg(F.min("rep").alias("component_id")))
     named = tree.join(least, "c").select("node", "check", "component_id")
     out = sigs.join(named, ["node", "check"], "left")
@@ -296,7 +303,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, small: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(row, doc_id, node, check): the rows of ``docs`` as structs, with the fingerprint of their shingle sets."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = StructType([*rows.schema.fields[:2], StructField("node", LongType()), StructField("check", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(s) for s in shingle_sets(batch.column(2), width)], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` without the documents whose component holds a smaller doc_id."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of every component, and all rows without doc_id or without a word.
+
+    It is the row with the smallest doc_id; where rows share that, the one with
+    the least set fingerprint, then the least text, then any of the equal ones.
+    """
+    _, tree = _classed(docs, width, percent, SMALL)
+    stays = tree.groupBy("c").agg(F.min(F.struct("rep", "node", "check")).alias("m")).select(F.col("m.rep").alias("doc_id"), "m.node", "m.check")
+    word = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    apart = docs.where(F.col("doc_id").isNull() | ~word)
+    # Of equal sets under one doc_id one row goes on; it is chosen before the shuffle too, so a row said a thousand times costs one.
+    line = Window.partitionBy("doc_id", "node", "check").orderBy("row.text")
+    first = fingerprints(docs.where(F.col("doc_id").isNotNull() & word), width).withColumn("nth", F.row_number().over(line)).where("nth = 1")
+    return first.join(cut(stays), ["doc_id", "node", "check"], "left_semi").select("row.*").union(apart)

@@ -91,3 +91,15 @@ def test_one_of_each_group_stays(spark):
     docs = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words are here now")])
     out = near_dup.keep_one(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 3}
+
+
+def test_one_row_of_each_component_stays_where_ids_repeat(spark):
+    a, b, near = (" ".join(f"{k}{i}" for i in range(60)) for k in "abn")
+    b2 = b.replace("b59", "other")
+    rows = [(3, a), (7, a), (7, b), (9, b2), (11, near), (11, near), (11, near.upper()), (5, None), (5, None), (6, " "), (None, a), (None, a)]
+    docs = documents(spark, rows)
+    out = near_dup.keep_one(docs)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    assert got == sorted([(3, a), (7, b), (11, near.upper()), (5, None), (5, None), (6, " "), (None, a), (None, a)], key=repr)
+    assert near_dup.keep_one(documents(spark, [])).count() == 0
