@@ -3,17 +3,26 @@
 The fixed patterns give the base spans.  The method adds values that stand in a
 wider credential context (a key, pass phrase, bearer or connection string) and
 that would be hard to guess: the least sum of log2 guesses over all ways to cut
-a value into dictionary words, dates, repeats, sequences, keyboard walks and
-brute-force spans reaches ``MIN_BITS``.  A value of letters only is cheaper
-where it reads as prose: where all its letter pairs are usual inside words.  A
-keyword may be the last part of a joined name (DB_PWD, rsaPrivateKey).
+a value into words, dates, repeats, sequences, keyboard walks and brute-force
+spans reaches ``MIN_BITS``.  A keyword may be the last part of a joined name
+(DB_PWD, rsaPrivateKey).  A value that is an address of the web without a user
+part is none.
+
+Words are ranked by the number of documents that hold them, counted in Spark
+over the whole corpus: the ``WORDS`` most frequent of those in at least
+``SEEN`` documents, that is at most ``WORDS`` * ``LOOKBACK`` characters, go to
+the tasks.  Letters that are no known word but read as prose, all their pairs
+being usual inside words, cost some 1.5 bits a letter (Shannon's estimate) and
+what tells such a run.
 
 The search is linear in the text: context is found by one pass of a pattern
 without nested repeats, a value ends at the first blank or quote, and the
-dynamic program looks back at most ``LOOKBACK`` characters.
+dynamic program looks back at most ``LOOKBACK`` characters (a run of one kind,
+also to its start); it stops where no end of the value can be cheap any more.
 
-Defined cases: a null text counts as empty.  Columns other than doc_id and text
-are ignored.
+Defined cases: a null text counts as empty; repeated rows are judged alike; a
+long value costs time in proportion.  Columns other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,23 +53,33 @@ SIGNS = (":", "=", '"', "'", "`")
 #: Bits of guessing that make a value a secret.
 MIN_BITS = 42.0
 LOOKBACK = 40
-#: Frequent words of pass phrases and prose, most frequent first.
+#: Words taken from the corpus at most, and the documents each must stand in.
+WORDS, SEEN = 20_000, 5
+#: Frequent words of pass phrases and prose, most frequent first; they stand before those of the corpus.
 COMMON = (
     "the of and to in is for that with this from you are not was have all can will your password pass admin login user test "
     "welcome hello qwerty letmein monkey dragon master secret token key root guest default change changeme example sample demo "
     "value string none null true false required optional here below above field name mail phone number code world love money "
     "summer winter spring autumn monday sunday january june july december house green blue black white red apple orange"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 #: Rows of the usual keyboards.
 ROWS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn"]
 NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
 LEET = str.maketrans("@4380157$", "aaeooists")
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+#: Days with or without marks between their parts, in two orders, and years.
+DATES = [
+    re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])", re.ASCII),
+    re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.ASCII),
+    re.compile(r"(?:19|20)\d\d", re.ASCII),
+]
+DATE_BITS = math.log2(365 * 120)
+#: Signs that usually stand between words.
+MARKS = "-_./"
+ADDRESS = re.compile(r"(?i:https?|ftp)://[^@]*$")
 
 
 def _alphabet(ch: str) -> float:
-    if ch.isdigit():
+    if "0" <= ch <= "9":
         return math.log2(10)
     if "a" <= ch <= "z" or "A" <= ch <= "Z":
         return math.log2(26)
@@ -76,66 +95,94 @@ FOLLOWS = (
 PAIRS = {(w[0], b) for w in FOLLOWS for b in w[1:]}
 
 
-@lru_cache(maxsize=65536)
-def guess_bits(value: str) -> float:
-    """log2 of the guesses for ``value`` by its cheapest segmentation.
+def ranks(words: list[str]) -> dict[str, int]:
+    """Rank of each word from 1, the fixed words first."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
+RANK = ranks([])
+
+
+def usual(a: str, b: str) -> bool:
+    """Whether two letters follow each other inside words; accents are left aside, letters beyond a to z follow any other."""
+    if not (a.isalpha() and b.isalpha()):
+        return False
+    if not (a.isascii() and b.isascii()):
+        a, b = (unicodedata.normalize("NFKD", x)[0] for x in (a, b))
+    return not (a.isascii() and b.isascii()) or (a, b) in PAIRS
+
+
+def segments(value: str, low: str, plain: str, j: int, runs: dict[str, int], known: dict[str, int], dates: dict[int, list[int]]) -> Iterator[tuple[int, float]]:
+    """(start, bits) of every span that ends at ``j`` and is a word, date, repeat, sequence, walk, prose or a sign between words.
+
+    ``runs`` holds where each run of one kind that reaches ``j`` starts; ``low``
+    and ``plain`` are the value in lower case and with letters for look-alikes.
+    """
+    for kind, price in (("same", 3.0), ("walk", 6.0), ("step", 4.0)):
+        first = runs[kind]
+        for i in {first, *range(max(first, j - LOOKBACK), j - 2)} if j - first >= 3 else ():
+            yield i, price + _alphabet(value[i]) + math.log2(j - i)
+    first = runs["prose"]
+    for i in {first, *range(max(first, j - LOOKBACK), j - 3)} if j - first >= 4 else ():
+        yield i, 6 + 1.45 * (j - i)
+    if value[j - 1] in MARKS:
+        yield j - 1, 2.0
+    for i in dates.get(j, ()):
+        yield i, DATE_BITS
+    for i in range(max(0, j - LOOKBACK), j - 2):
+        rank = known.get(low[i:j])
+        if rank is None and (rank := known.get(plain[i:j])) is not None:
+            rank *= 8
+        if rank is not None:
+            case = value[i:j]
+            extra = 0.0 if case == low[i:j] else 1.0 if case in (low[i:j].upper(), low[i:j].capitalize()) else float(j - i)
+            yield i, math.log2(rank + 1) + extra
+    for size in range(2, min(LOOKBACK, j) // 2 + 1):  # a unit said again
+        if value[j - size : j] == value[j - 2 * size : j - size]:
+            yield j - size, math.log2(2 * size)
+
+
+def guess_bits(value: str, known: dict[str, int] = RANK, enough: float = math.inf) -> float:
+    """log2 of the guesses for ``value`` by its cheapest segmentation; where that must reach ``enough``, some bound of at least that.
 
     best[j] is the least over i < j of best[i] + cost(i, j) + 1, the one bit
     telling where a segment ends.  A brute-force span pays its characters once
     and the one bit once, however long it is, so it is carried as a second
-    state; spans of the other kinds reach back ``LOOKBACK`` characters, repeats
-    and walks as far as they run.
+    state.
     """
     n = len(value)
-    low = value.lower()
+    low = value.lower() if len(value.lower()) == len(value) else value
     plain = low.translate(LEET)
-    dates = {}
-    for m in DATE.finditer(value):
-        dates[m.end()] = min(dates.get(m.end(), n), m.start())
-    best = [0.0] + [math.inf] * n
+    dates: dict[int, list[int]] = {}
+    for i in range(n):
+        for pattern in DATES if "0" <= value[i] <= "9" else ():
+            if m := pattern.match(value, i):
+                dates.setdefault(m.end(), []).append(i)
+    best = [0.0]
     brute = math.inf  # the cheapest way in which a brute-force span is open at j
-    same = walk = step = 0  # starts of the runs that end at j
+    runs = dict.fromkeys(("same", "walk", "step", "prose"), 0)
     for j in range(1, n + 1):
         brute = min(brute, best[j - 1] + 1) + _alphabet(value[j - 1])
-        cost = brute
         if j > 1:
             a, b = low[j - 2], low[j - 1]
-            same = same if a == b else j - 1
-            walk = walk if (a, b) in NEXT else j - 1
             delta = ord(b) - ord(a)
-            if abs(delta) != 1 or (j - step > 2 and delta != ord(low[j - 2]) - ord(low[j - 3])):
-                step = j - 1 if abs(delta) != 1 else j - 2
-        for start, price in ((same, 3.0), (walk, 6.0), (step, 4.0)):
-            if j - start >= 3:
-                cost = min(cost, best[start] + 1 + price + _alphabet(value[start]) + math.log2(j - start))
-        if j in dates:
-            cost = min(cost, best[dates[j]] + 1 + math.log2(365 * 120))
-        for i in range(max(0, j - 12), j - 2):
-            rank = RANK.get(low[i:j])
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
-                rank *= 8
-            if rank is not None:
-                case = value[i:j]
-                extra = 0.0 if case == low[i:j] else 1.0 if case in (low[i:j].upper(), low[i:j].capitalize()) else float(j - i)
-                cost = min(cost, best[i] + 1 + math.log2(rank + 1) + extra)
-        for size in range(2, min(LOOKBACK, j) // 2 + 1):  # a unit said again
-            if value[j - size : j] == value[j - 2 * size : j - size]:
-                cost = min(cost, best[j - size] + 1 + math.log2(2 * size))
-        best[j] = cost
+            if a != b:
+                runs["same"] = j - 1
+            if (a, b) not in NEXT:
+                runs["walk"] = j - 1
+            if abs(delta) != 1:
+                runs["step"] = j - 1
+            elif j - runs["step"] > 2 and delta != ord(a) - ord(low[j - 3]):
+                runs["step"] = j - 2
+            if not usual(a, b):
+                runs["prose"] = j - 1
+        best.append(min([brute, *(best[i] + 1 + bits for i, bits in segments(value, low, plain, j, runs, known, dates))]))
+        # Every way to the end of the value passes one of these.
+        if enough < math.inf and min(brute, *best[-LOOKBACK:], *(best[i] for i in runs.values())) >= enough:
+            return enough
     return best[n]
 
 
-def prose_bits(value: str) -> float:
-    """log2 of the guesses for letters that read as prose, by Shannon's estimate of some 1.5 bits a letter; infinite for others.
-
-    Accents are left aside; letters beyond a to z follow any other.
-    """
-    plain = "".join(ch for ch in unicodedata.normalize("NFKD", value).lower() if not unicodedata.combining(ch))
-    if not value.isalpha() or any(a.isascii() and b.isascii() and (a, b) not in PAIRS for a, b in zip(plain, plain[1:])):
-        return math.inf
-    return 7 + 1.5 * len(value)
-
-
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, non-overlapping within a kind."""
     out = []
@@ -148,20 +195,38 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def guessed_spans(text: str, min_bits: float = MIN_BITS) -> list[Span]:
+def guessed_spans(text: str, min_bits: float = MIN_BITS, known: dict[str, int] = RANK) -> list[Span]:
     """Values in credential context whose guess cost reaches ``min_bits``."""
     out = []
     for m in CONTEXT.finditer(text) if any(x in text for x in SIGNS) else ():
         value = m[1].rstrip(".,:;!?)]}")
-        if len(value) >= 6 and min(guess_bits(value), prose_bits(value)) >= min_bits:
+        if len(value) >= 6 and not ADDRESS.match(value) and guess_bits(value, known, min_bits) >= min_bits:
             out.append((m.start(1), m.start(1) + len(value), "guess"))
     return out
 
 
-def scan(docs: DataFrame, min_bits: float = MIN_BITS, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: counts, digest of the base spans, all spans[, redacted text]."""
+def frequent_words(docs: DataFrame, most: int = WORDS, seen: int = SEEN) -> list[str]:
+    """The words that stand in most documents, most frequent first: at most ``most``, each in ``seen`` documents or more.
+
+    A word is what is left of a run without blanks when the signs around it are
+    taken off, if that is 3 to ``LOOKBACK`` letters; case is left aside.
+    """
+    runs = F.split(F.lower(F.col("text").cast("string")), r"\s+")
+    word = F.regexp_replace(F.col("run"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    words = docs.select(F.explode(F.array_distinct(runs)).alias("run")).where(F.col("run").rlike(r"^[^\p{L}\p{N}]*\p{L}{3,%d}[^\p{L}\p{N}]*$" % LOOKBACK))
+    counts = words.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def scan(docs: DataFrame, min_bits: float = MIN_BITS, with_text: bool = False, words: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: counts, digest of the base spans, all spans[, redacted text].
+
+    ``words`` are known words, most frequent first; by default those of ``docs`` (``frequent_words``).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(frequent_words(docs) if words is None else words))
 
     def run(batches):
+        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -169,7 +234,7 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS, with_text: bool = False) -
                 for text in part.column(1).to_pylist():
                     text = text or ""
                     base = base_spans(text)
-                    spans = base + guessed_spans(text, min_bits)
+                    spans = base + guessed_spans(text, min_bits, known)
                     found = listed(base, KINDS)
                     kinds = [k for _, _, k in base]
                     values = [*(kinds.count(k) for k in BASE), digest(found), listed(spans, KINDS), len(spans) - len(base)]
