@@ -8,29 +8,36 @@ diagonals.  Diagonals are counted in bands of twice that width that overlap by
 half, so one band holds them all; bands with enough hits are verified by
 semi-global alignment within the band.
 
+Every occurrence counts.  Occurrences of one item that overlap are one region:
+the stretch that those with the fewest edits among them cover.
+
 The items are a stated query set.  They are read in blocks of at most
 ``BLOCK_BYTES``; every block is a broadcast of that bound and one pass over the
-documents, so any number of items works.
+documents, and its rows are written before the next block is read, so the driver
+holds one block however many items there are.  Within a task, hits are counted
+in slices of about ``HITS``, so that a text and an item that repeat one letter
+take time but no memory.
 
 Defined cases: null and empty texts match nothing; items whose plain form is
 shorter than ``LEAST`` bytes say too little and match nothing; repeated items
-and rows are all reported.  Columns other than doc_id, text and item_id, text
-are ignored.
+and rows are all reported, also with a null id.  Columns other than doc_id, text
+and item_id, text are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwlight.llm.common import pieces, text_buffer
+from cwlight.llm.common import cut, pieces, text_buffer
 from cwlight.llm.wordhash import grams, mix
 
-Q, RATE, LEAST, BLOCK_BYTES, PIECE = 12, 0.05, 32, 4 << 20, 1 << 20
+Q, RATE, LEAST, BLOCK_BYTES, PIECE, HITS = 12, 0.05, 24, 4 << 20, 1 << 20, 1 << 20
+FAR = 1 << 30
 MATCH = "doc_id long, item_id long, start long, end long, edits int"
 
 
@@ -91,28 +98,39 @@ class Index:
         real = (k < len(self.keys)) & (self.keys[np.minimum(k, len(self.keys) - 1)] == h[at])
         at, k = at[real], k[real]
         count = self.stop[k] - self.start[k]
-        post = np.repeat(self.start[k] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum())) if len(k) else np.zeros(0, np.int64)
-        item = self.item[post]
-        diagonal = np.repeat(at, count) - self.place[post] + (1 << 30)
-        shift = self.shift[item]
+        ends = np.cumsum(count)
+        cuts = np.unique(np.searchsorted(ends, np.arange(HITS, int(ends[-1]) + HITS, HITS))) if len(k) else np.zeros(0, int)
+        total: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        a = 0
+        for b in (np.minimum(cuts, len(k) - 1) + 1).tolist():
+            n, first = count[a:b], self.start[k[a:b]]
+            post = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            item, diagonal = self.item[post], np.repeat(at[a:b], n) - self.place[post] + FAR
+            shift = self.shift[item]
+            for half in (0, 1):
+                key, n_key = np.unique((item << 34) | ((diagonal + (half << shift >> 1)) >> shift), return_counts=True)
+                total[half] = _added(*total[half], key, n_key)
+            a = b
         found_item, found_band = [], []
-        for half in (0, 1):
-            band = (diagonal + (half << shift >> 1)) >> shift
-            key, n = np.unique((item << 34) | band, return_counts=True)
+        for half, (key, n) in enumerate(total):
             i = key >> 34
             good = n >= self.need[i]
-            i, b = i[good], (key & ((1 << 34) - 1))[good]
+            i, band = i[good], (key & ((1 << 34) - 1))[good]
             found_item.append(i)
-            found_band.append((b << self.shift[i]) - (half << self.shift[i] >> 1) - (1 << 30))
+            found_band.append((band << self.shift[i]) - (half << self.shift[i] >> 1) - FAR)
         return np.concatenate(found_item), np.concatenate(found_band)
 
     def aligned(self, item: int, text: np.ndarray, low: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best occurrence in ``text`` on diagonals from ``low`` on, if within budget."""
+        """(edits, start, end) of the best occurrence in ``text`` on diagonals from ``low`` on, if within budget.
+
+        Of exact ones, which overlap if there are several, the stretch they cover.
+        """
         pattern, k, width = self.texts[item], int(self.edits[item]), 1 << int(self.shift[item])
         body = text.tobytes()
-        exact = body.find(pattern.tobytes(), max(0, low), max(0, low + width) + len(pattern))
+        bounds = max(0, low), max(0, low + width) + len(pattern)
+        exact = body.find(pattern.tobytes(), *bounds)
         if exact >= 0:
-            return 0, exact, exact + len(pattern)
+            return 0, exact, body.rfind(pattern.tobytes(), *bounds) + len(pattern)
         lo, span = low - k, width + 2 * k + 1
         far = np.int64(1 << 20)
         col = np.arange(span)
@@ -136,12 +154,36 @@ class Index:
         return (edits, int(pack[j] & (one - 1)) - (1 << 20), len(pattern) + lo + j) if edits <= k else None
 
 
-def _matches(index: Index, raw: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """(row, place of the item) -> (edits, start, end in bytes of the row): the best occurrence of each pair."""
+def _added(key: np.ndarray, n: np.ndarray, more: np.ndarray, n_more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of two sets of distinct keys, added up."""
+    if not len(key):
+        return more, n_more
+    both, at = np.unique(np.concatenate([key, more]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([n, n_more])).astype(np.int64)
+
+
+def regions(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Occurrences (edits, start, end), each group that overlaps as one: the fewest edits, and what those with so few cover."""
+    out: list[list[int]] = []  # edits, start, end, end of the group
+    for edits, start, end in sorted(found, key=lambda x: (x[1], x[2])):
+        if not out or start >= out[-1][3]:
+            out.append([edits, start, end, end])
+            continue
+        last = out[-1]
+        if edits < last[0]:
+            last[:3] = edits, start, end
+        elif edits == last[0]:
+            last[2] = max(last[2], end)
+        last[3] = max(last[3], end)
+    return [(e, a, b) for e, a, b, _ in out]
+
+
+def _matches(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, place of the item, start, end in bytes of the row, edits) of every region."""
     text, bounds, at = plain(raw, offsets)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
     if len(text) < Q or not len(index.keys):
-        return best
+        return []
     for item, band in set(zip(*(x.tolist() for x in index.candidates(text, bounds)))):
         # The band may reach over the edge of a row: every row it touches is tried.
         width, size = 1 << int(index.shift[item]), int(index.size[item])
@@ -154,33 +196,46 @@ def _matches(index: Index, raw: np.ndarray, offsets: np.ndarray) -> dict[tuple[i
             lo, hi = max(a, band - 2 * width), min(b, band + size + 3 * width)
             got = index.aligned(item, text[lo:hi], band - lo) if hi > lo else None
             if got and got[2] > got[1]:
-                first, last = at[lo + got[1]] - offsets[row], at[lo + got[2] - 1] + 1 - offsets[row]
-                found = (got[0], int(first), int(last))
-                best[row, item] = min(best.get((row, item), found), found)
-    return best
+                found.setdefault((row, item), set()).add((got[0], lo + got[1], lo + got[2]))
+    out = []
+    for (row, item), places in sorted(found.items()):
+        for edits, a, b in regions(list(places)):
+            out.append((row, item, int(at[a] - offsets[row]), int(at[b - 1] + 1 - offsets[row]), edits))
+    return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The items, in lists of at most ``most`` bytes (a longer item stands alone)."""
-    out, held, size = [], [], 0
+def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items, in lists of at most ``most`` bytes (a longer item stands alone), one list at a time."""
+    held, size = [], 0
     rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     for r in rows.toLocalIterator():
         n = len(r["text"].encode())
         if held and size + n > most:
-            out.append(held)
+            yield held
             held, size = [], 0
         held.append((r["item_id"], r["text"]))
         size += n
-    return [*out, held] if held else out
+    if held:
+        yield held
+
+
+def _passes(benchmark: DataFrame, one_pass) -> Iterator[DataFrame]:
+    """``one_pass(index)`` for each block of items; with several blocks each result is written before the next block is read."""
+    spark, held, many = benchmark.sparkSession, blocks(benchmark), False
+    items = next(held, None)
+    while items is not None:
+        shared = spark.sparkContext.broadcast(Index(items))
+        items = next(held, None)
+        many = many or items is not None
+        out = one_pass(shared)
+        yield cut(out) if many else out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item that occurs in it: place in code points (end exclusive) and edits."""
+    """One row per region of a document in which an item occurs: place in code points (end exclusive) and edits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def passed(items: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
-
+    def one_pass(shared) -> DataFrame:
         def run(batches):
             index = shared.value
             for batch in batches:
@@ -188,7 +243,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out: list[list] = [[] for _ in range(5)]
                 for a, b in pieces(offsets, PIECE):
                     held = raw[offsets[a] : offsets[b]]
-                    for (row, item), (edits, first, last) in sorted(_matches(index, held, offsets[a : b + 1] - offsets[a]).items()):
+                    for row, item, first, last, edits in _matches(index, held, offsets[a : b + 1] - offsets[a]):
                         body = raw[offsets[a + row] : offsets[a + row + 1]]
                         lead = (body & 0xC0) != 0x80
                         start = int(lead[:first].sum())
@@ -199,24 +254,28 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, MATCH)
 
-    found = [passed(items) for items in blocks(benchmark)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], MATCH)
+    found = None
+    for out in _passes(benchmark, one_pass):
+        found = out if found is None else found.unionByName(out)
+    return docs.sparkSession.createDataFrame([], MATCH) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in whose text an item occurs; each row is judged by its own text."""
     out = docs.withColumn("text", F.col("text").cast("string"))
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
-        def run(batches, shared=shared):
+    def one_pass(shared) -> DataFrame:
+        def run(batches):
             for batch in batches:
                 raw, offsets = text_buffer(batch.column("text"))
                 keep = np.ones(batch.num_rows, bool)
                 for a, b in pieces(offsets, PIECE):
-                    for row, _ in _matches(shared.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    for row, *_ in _matches(shared.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                         keep[a + row] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        return out.mapInArrow(run, out.schema)
+
+    for left in _passes(benchmark, one_pass):
+        out = left
     return out
