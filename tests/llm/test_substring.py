@@ -66,3 +66,54 @@ def test_cells_grow_with_the_square_root():
     for total in (10**12, 10**14):
         pack, part = substring.cell_sizes(total)
         assert total / 6 / (total / pack * (total / part)) >= 0.99 * substring.CELL_PROBES
+
+
+def pack_of(texts):
+    import pyarrow as pa
+
+    return substring._Pack(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+
+
+def test_a_frequent_passage_is_one_probe_of_each_pack():
+    import numpy as np
+
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
+    other = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    tables = [pack_of([f"{other()} {passage}" if i % 3 == 0 else other() for i in range(60)]) for _ in range(5)]
+    cells = [substring.block_probes(k, p, 18, 35, 1) for k, p in enumerate(tables)]
+    owners, keys = [], []
+    for k, c in enumerate(cells):
+        owner, _, (key,) = substring._opened(c, [np.uint32])
+        owners.append(np.full(len(owner), k))
+        keys.append(key >> np.uint32(2))
+    counts = Counter(np.concatenate(keys).tolist())
+    assert max(counts.values()) == 5 and sum(v == 5 for v in counts.values()) == 43  # 60 - 17 runs, once a pack
+    # The pack finds all its places from the first one.
+    p = tables[0]
+    told = np.flatnonzero(np.isin(p.hashes, p.hashes[p.ends - p.starts > 0][40:41]))[:1]
+    windows = substring.repeated_windows(p, told, 35)
+    assert len(windows) == 20 and (p.hashes[windows] == p.hashes[told[0]]).all()
+
+
+def test_windows_that_agree_in_one_hash_only_are_kept_apart(monkeypatch):
+    import numpy as np
+
+    import pyarrow as pa
+
+    second = np.array([2, 4, 6], np.uint64)
+    cells = [substring._cells(k, np.array([10], np.int64), np.array([1 << 40], np.uint64), [np.array([7], np.uint64), second[k : k + 1]], 1) for k in range(3)]
+    assert substring._window_hits(pa.concat_tables(cells)).num_rows == 0
+    again = substring._cells(3, np.array([5], np.int64), np.array([1 << 40], np.uint64), [np.array([7], np.uint64), second[:1]], 1)
+    assert sorted(substring._window_hits(pa.concat_tables([*cells, again]))["pack"].to_pylist()) == [0, 3]
+
+
+def test_repeated_rows_are_dealt_into_many_packs(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CELL_PROBES", 1)
+    monkeypatch.setattr(substring, "PACK_BYTES", 2000)
+    monkeypatch.setattr(substring, "RANGE_BYTES", 2000)
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = documents(spark, [(1, text)] * 40 + [(2, "w1 w2")])
+    out = remove_repeats(docs, 35, with_text=False)
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(1, 50)] * 40 + [(2, 0)]
+    assert "ReusedExchange" in out._jdf.queryExecution().toString()
