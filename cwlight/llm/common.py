@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is empty, as in tests on one machine, a new local one."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a new local one on a local master and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="cwlight-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -76,6 +78,11 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has at most ``most`` rows; Spark shuffles it otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def total_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])

@@ -8,9 +8,12 @@ probabilities are the mean over all its positions.  Each byte of a text counts
 once, and no context crosses a segment's edge, so a long text needs no more
 memory than a short one.
 
-Defined cases: a text that is null or holds no letter is ``und`` with score 0;
-with nothing to learn from, every text is.  A language seen in the sample only
-can be predicted.  Columns other than doc_id, text and lang are ignored.
+Defined cases: a text that is null or holds no letter (of any script; number
+signs such as a half are none) is ``und`` with score 0; with nothing to learn
+from, every text is.  A language seen in the sample only can be predicted; of
+equally likely ones the first by name is.  Of rows that share a doc_id and a
+language one is learned from, that with the least segments; every row is
+predicted by its own text.  Columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -22,26 +25,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwlight.llm.common import cut, held_out, pick_per_class, pieces, text_buffer
+from cwlight.llm.common import cut, held_out, pick_per_class, pieces, small, text_buffer
 from cwlight.llm.gru import ByteTagger
 
 PER_CLASS, CUTS, SPAN, HIDDEN = 256, 4, 64, 8
 SEGMENT, BLOCK_BYTES = 128, 1 << 18
 #: Sampled ids that are broadcast at most.
 FEW = 1 << 16
+#: Letters and number signs such as a half; ``str.isalpha`` tells them apart.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def sample(docs: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, bytes]]:
     """(language, bytes) segments to learn from; at most ``per_class * CUTS`` a language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     ids = cut(pick_per_class(rows, "lang", per_class))
     # With few languages the ids are small enough to go to the texts; else both are shuffled.
-    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    ids = small(ids, FEW)
     body = F.encode("text", "UTF-8")
     room = F.greatest(F.octet_length("text") - SPAN, F.lit(0))
     spread = F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda i: F.substring(body, (room * i / F.lit(max(1, CUTS - 1))).cast("int") + 1, F.lit(SPAN)))
-    chosen = rows.join(ids, ["lang", "doc_id"]).select("lang", "doc_id", spread.alias("cuts")).dropDuplicates(["lang", "doc_id"])
+    chosen = rows.join(ids, ["lang", "doc_id"]).select("lang", "doc_id", spread.alias("cuts")).groupBy("lang", "doc_id").agg(F.min("cuts").alias("cuts"))
     return [(r["lang"], bytes(c)) for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["doc_id"])) for c in r["cuts"]]
 
 
@@ -93,7 +101,7 @@ def predict(docs: DataFrame, names: list[str], net: ByteTagger | None) -> DataFr
             label, score = [], []
             texts = batch.column(2)
             for a, b in pieces(offsets, 4 << 20):
-                worded = [t is not None and LETTER.search(t) is not None for t in texts.slice(a, b - a).to_pylist()]
+                worded = [has_letter(t) for t in texts.slice(a, b - a).to_pylist()]
                 p = pooled(net, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if net else np.zeros((b - a, 1))
                 best = p.argmax(axis=1)
                 label += [names[k] if w and net else "und" for w, k in zip(worded, best)]

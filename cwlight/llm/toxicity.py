@@ -19,7 +19,9 @@ reads from the text, and its score is moved so that 0.7 stands there.
 Prediction: every word of every text is convolved; texts go through in pieces
 of about ``PIECE`` bytes.
 
-Defined cases: null and empty texts get the score of a text without words; with
+Defined cases: a doc_id labelled both ways counts as toxic; of rows that share a
+doc_id the one with the least text (then language) is learned from, and every
+row is scored by its own text; null and empty texts get the score of a text without words; with
 no label of one kind in the sample every score is 0.  Columns other than
 doc_id, text and lang are ignored.
 """
@@ -64,7 +66,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
     rows = docs.where(~held_out() & (F.length("text") > 0) & fit).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     ids = pick_per_class(rows.select("doc_id").join(known(labels), "doc_id"), "toxic", per_class)
     # Two labels: at most 2 * per_class ids, so that the texts need not be shuffled for them.
-    chosen = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
+    least = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("m"))
+    chosen = least.select("doc_id", "toxic", "m.text", "m.lang").collect()
     return [(r["toxic"], r["lang"], r["text"]) for r in sorted(chosen, key=lambda r: r["doc_id"])]
 
 

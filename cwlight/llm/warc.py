@@ -10,11 +10,12 @@ in a table of the shared folder, so that it lives in any store Spark writes to;
 Reading: one archive at a time, front to back.  Compressed bytes go through
 zlib in chunks, each member ends where zlib says so, a header block ends at its
 empty line, Content-Length frames the block, and the digests are compared with
-the bytes read.
+the bytes read; a revisit's with those of the response it refers to.
 
 Defined cases: null html is an empty payload; a null page_id is written as
 ``urn:page:null`` and read back as null; repeated rows of one page_id are all
-responses unless a smaller page_id holds the same payload.  Columns other than
+responses unless a smaller page_id holds the same payload; a page is held whole
+in memory, so a very large one costs its size.  Columns other than
 page_id, url and html are ignored.
 """
 
@@ -29,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cwlight.llm.common import cut
+from cwlight.llm.common import cut, small
 
 ARCHIVE_BYTES, CHUNK, REVISIT_BYTES = 8 << 20, 1 << 16, 100
+#: Digests of shared payloads (some 100 bytes each) that are broadcast at most.
+FEW = 1 << 16
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -42,8 +45,9 @@ def with_types(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     firsts = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    firsts = cut(firsts)  # a plain side: Spark can then split a payload shared by many pages, or broadcast this
-    rows = rows.join(firsts, "digest", "left")
+    # Few enough digests go to the pages, so that no payload is shuffled for them; beyond that a payload shared by many
+    # pages is a large key of a plain join, which Spark can split.
+    rows = rows.join(small(cut(firsts), FEW), "digest", "left")
     again = F.col("page_id") > F.col("first")
     return rows.select("page_id", "url", "payload", "digest", "size", F.when(again, F.col("first")).alias("refers_to"))
 
@@ -177,9 +181,23 @@ def read_archives(rows: DataFrame, with_payload: bool = True) -> DataFrame:
     return rows.select("body").mapInArrow(run, schema)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """``records``, an error where a revisit has no response of its digest and length under the page it refers to.
+
+    Only ids, digests and lengths are joined.
+    """
+    keys = ["payload_digest", "payload_bytes", "refers_to"]
+    is_response = F.col("record_type") == "response"
+    told = records.where(is_response).select("payload_digest", "payload_bytes", F.col("page_id").alias("refers_to"), F.lit(True).alias("found")).distinct()
+    revisits = records.where(~is_response).join(told, keys, "left")
+    wrong = F.raise_error(F.lit("a revisit refers to no response with its payload")).cast("string")
+    revisits = revisits.withColumn("record_type", F.when(F.col("found"), F.col("record_type")).otherwise(wrong))
+    return records.where(is_response).unionByName(revisits.select(*records.columns))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Pages written as archives into the shared folder and read back."""
-    return read_archives(cut(archives(pages)), with_payload=False)
+    return resolved(cut(read_archives(cut(archives(pages)), with_payload=False)))
 
 
 def export(rows: DataFrame, folder: str) -> DataFrame:

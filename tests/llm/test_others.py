@@ -188,3 +188,66 @@ def test_token_rows(spark):
     assert len(got) == 12 and all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest() for r in got)
     assert {tuple(r.ids) for r in got if r.doc_id in (2, 3)} == {(2,)}
     assert encode_decode(documents(spark, []), tokenizer_path()).count() == 0
+
+
+def test_a_revisit_must_find_its_response(spark):
+    pages = spark.createDataFrame([(1, "u", "same " * 40), (2, "u", "same " * 40), (3, "u", "other " * 40)], "page_id long, url string, html string")
+    records = warc.read_archives(warc.archives(pages), with_payload=False)
+    assert sorted((r.page_id, r.refers_to) for r in warc.resolved(records).collect()) == [(1, None), (2, 1), (3, None)]
+    with pytest.raises(Exception, match="refers to no response"):
+        warc.resolved(records.where("page_id <> 1")).collect()
+
+
+def offset_rows(n, spread):
+    rng = np.random.default_rng(3)
+    return [(i, (1e6 + spread * rng.normal(size=8)).tolist()) for i in range(n)]
+
+
+def lists(frame):
+    out = {}
+    for r in frame.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_vectors_far_from_the_origin_equal_brute_force(spark):
+    rows = offset_rows(300, 1e-4)
+    got = lists(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, target=1.0))
+    want = brute(rows, 10, 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
+    assert hits >= 0.9 * 10 * len(want)
+    score = {q: {i: d for i, d in brute(rows, 299, 20)[q]} for q in want}
+    assert all(d == score[q][i] for q, w in got.items() for i, d in w)
+
+
+def test_equidistant_vectors_come_by_their_ids(spark):
+    rows = [(i, [float(j == i) for j in range(120)]) for i in range(120)]
+    got = lists(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=40, target=1.0))
+    assert set(got) == {0, 40, 80} and all(d == 2**0.5 for w in got.values() for _, d in w)
+    # Every answer is the first by id of what was compared; with all compared it is the brute-force one.
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    full = ann.nearest(frame, k=119, every=40)
+    assert lists(full) == {q: w for q, w in brute(rows, 119, 40).items()}
+
+
+def test_recall_and_compared_pairs_at_two_sizes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 256)
+    monkeypatch.setattr(ann, "BLOCK_BITS", 8)
+    rng = np.random.default_rng(1)
+    share = []
+    for n in (2000, 8000):
+        centres = rng.normal(size=(n // 50, 24))
+        x = centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, 24))
+        rows = [(i, v) for i, v in enumerate(x.tolist())]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect()
+        want = brute(rows, 10, 100)
+        hits = sum(len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in w}) for q, w in want.items())
+        assert hits >= 0.9 * 10 * len(want)
+        share.append(np.mean([r.compared for r in got]) / n)
+    assert share[0] < 0.5 and share[1] < 0.6 * share[0]
+
+
+def test_repeated_ids_and_signed_zeros(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (2, [-0.0, 1.0]), (20, [0.0, 1.0]), (20, [5.0, 1.0]), (3, [4.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, every=20).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(20, 1, 1, 0.0), (20, 1, 3, 1.0), (20, 2, 1, 5.0), (20, 2, 2, 0.0)]
