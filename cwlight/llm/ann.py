@@ -112,13 +112,19 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _nodes(rows: DataFrame, k: int, every: int) -> DataFrame:
-    """(id, h1, h2, width, v, ids, asks): one row per distinct vector, with its ``k + 1`` smallest ids; written to the shared folder."""
+    """(id, h1, h2, width, v, ids, asks): one row per distinct vector, with its ``k + 1`` smallest vec_ids; ids count from 0."""
     asks = F.pmod("vec_id", F.lit(every)) == 0
     line = Window.partitionBy("h1", "h2", "asks").orderBy("vec_id")
     first = rows.withColumn("asks", asks).withColumn("n", F.dense_rank().over(line)).where(F.col("n") <= k + 1)
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
     nodes = first.groupBy("h1", "h2").agg(F.first("v").alias("v"), ids.alias("ids"), F.bool_or("asks").alias("asks"))
-    return cut(nodes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.size("v").alias("width"), "v", "ids", "asks"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("at"), "h1", "h2", F.size("v").alias("width"), "v", "ids", "asks"))
+    # Ids without gaps, so that blocks are full however the table is dealt: one row per partition tells how many nodes come before it.
+    task = F.shiftright("at", 33).alias("task")
+    tally = nodes.groupBy(task).agg(F.count(F.lit(1)).alias("all"))
+    before = tally.select("task", (F.sum("all").over(Window.orderBy("task")) - F.col("all")).alias("before"))
+    numbered = nodes.withColumn("task", task).join(F.broadcast(before), "task")
+    return numbered.select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), "h1", "h2", "width", "v", "ids", "asks")
 
 
 def _runs(nodes: DataFrame, models: list[tuple[int, Curves]]) -> DataFrame:
