@@ -131,3 +131,60 @@ def F_text():
     from pyspark.sql import functions as F
 
     return F.when(F.col("id") % 50 == 0, "rare").otherwise("usual").alias("lang")
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Precision and recall on the held-out labelled rows of a table large enough to learn from."""
+    import os
+
+    import pytest
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    truth = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    got = QUERIES["op4_toxicity"](spark, folder).where("held_out").join(truth, "doc_id").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    precision, recall = hit / (got.predicted == 1).sum(), hit / (got.toxic == 1).sum()
+    print(f"toxicity on {len(got)} held-out rows, {(got.toxic == 1).sum()} toxic: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.9 and recall >= 0.8
+
+
+def test_convolution_gradients_equal_differences():
+    net = cnn.TextCNN(12, 2, dim=3, filters=2, seed=5)
+    rng = np.random.default_rng(2)
+    net.offset[:] = rng.normal(0, 0.2, net.offset.shape)  # a window of padding stands at 0, the kink of the rectifier
+    docs = [rng.integers(0, 12, (n, 2)) for n in (6, 4, 5)]
+    ids, bounds = cnn.padded(np.concatenate(docs), np.cumsum([0, 6, 4, 5]), net.buckets)
+    y, lang = np.array([1, 0, 1], np.float32), np.array([0, 1, -1])
+
+    def loss():
+        _, _, h, mean = net._forward(ids, bounds[:-1])
+        p = 1 / (1 + np.exp(-(np.maximum(h, 0) @ net.out + net.bias)))
+        s = mean @ net.lang
+        q = np.exp(s - s.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        rows = lang >= 0
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() / 3 - np.log(q[rows, lang[rows]]).sum() / 3
+
+    for p in net.parameters():  # differences need more digits than the network keeps
+        assert p.dtype == np.float32
+    for name in ("words", "offset", "out", "bias", "lang"):
+        setattr(net, name, getattr(net, name).astype(float))
+    net.kernel = [k.astype(float) for k in net.kernel]
+    for p, g in zip(net.parameters(), net.step(ids, bounds[:-1], y, lang)):
+        for at in list(np.ndindex(p.shape))[::3]:
+            if p is net.words and at[0] == net.buckets:
+                continue
+            old, eps = p[at], 1e-5
+            p[at] = old + eps
+            up = loss()
+            p[at] = old - eps
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / (2 * eps) - g[at]) < 1e-4, at
+
+
+def test_letters_are_not_number_signs():
+    assert all(langid.has_letter(t) for t in ("a", "½ é", "日本", "١ ب"))
+    assert not any(langid.has_letter(t) for t in (None, "", "½", "² ① 3", "_ 12", "😀"))
