@@ -137,71 +137,59 @@ NEAREST = f"""{CH}, near AS (SELECT t.recording, t.channel AS target, s.channel
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings with all 24 channels; the last one may be cut off."""
-    return geometry.short_map(_placed(spark, sf_dir)).join(_complete(spark, sf_dir), "recording", "left_semi")
+    return geometry.short_map(_placed(spark, sf_dir))
 
 
-def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.vector_channels(spark, sf_dir).groupBy("recording").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == rec.CHANNELS).select("recording")
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.vector_samples(spark, sf_dir).join(_complete(spark, sf_dir), "recording", "left_semi")
-
-
-FULL = "full_ AS (SELECT vec_id // 24 AS recording FROM embeddings GROUP BY 1 HAVING count(*) = 24)"
-
-
-@query(f"WITH {NEAREST}, {FULL} SELECT recording, target, short, round(between_m, 9) AS between_m FROM near SEMI JOIN full_ USING (recording)")
+@query(f"WITH {NEAREST} SELECT recording, target, short, round(between_m, 9) AS between_m FROM near")
 def short_nearest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(geometry.nearest_short(_mapped(spark, sf_dir)))
 
 
 def _regress_sql(lag: int) -> str:
-    return f"""WITH {VEC}, {NEAREST}, {FULL},
+    return f"""WITH {VEC}, {NEAREST},
       j AS (SELECT v.recording, v.channel, v.sample, v.value, x.value AS x FROM vec v LEFT JOIN near n ON v.recording = n.recording AND v.channel = n.target
-            LEFT JOIN vec x ON x.recording = v.recording AND x.channel = n.short AND x.sample = v.sample - {lag} SEMI JOIN full_ f ON v.recording = f.recording),
+            LEFT JOIN vec x ON x.recording = v.recording AND x.channel = n.short AND x.sample = v.sample - {lag}),
       b AS (SELECT recording, channel, regr_slope(value, x) AS slope, avg(x) AS m FROM j WHERE x IS NOT NULL GROUP BY 1, 2)
       SELECT j.recording, j.channel, j.sample, round(CASE WHEN x IS NULL THEN value ELSE value - (x - m) * slope END, 6) + 0.0 AS value FROM j LEFT JOIN b ON j.recording = b.recording AND j.channel = b.channel"""
 
 
 @query(_regress_sql(0))
 def short_regress_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(short_separation.regress_nearest(_whole(spark, sf_dir), _mapped(spark, sf_dir), FS), 6)
+    return _rounded(short_separation.regress_nearest(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), FS), 6)
 
 
 @query(_regress_sql(3))
 def short_regress_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(short_separation.regress_nearest(_whole(spark, sf_dir), _mapped(spark, sf_dir), FS, 0.3), 6)
+    return _rounded(short_separation.regress_nearest(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), FS, 0.3), 6)
 
 
 @query()
 def short_regress_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(short_separation.regress_all(_whole(spark, sf_dir), _mapped(spark, sf_dir), FS), 6)
+    return _rounded(short_separation.regress_all(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), FS), 6)
 
 
-SHORTS = f"{VEC}, {CH}, {FULL}, s AS (SELECT v.recording, pair, nm, sample, value FROM vec v JOIN ch ON v.recording = ch.recording AND v.channel = ch.channel SEMI JOIN full_ f ON v.recording = f.recording WHERE d < 0.01)"
+SHORTS = f"{VEC}, {CH}, s AS (SELECT v.recording, pair, nm, sample, value FROM vec v JOIN ch ON v.recording = ch.recording AND v.channel = ch.channel WHERE d < 0.01)"
 
 
 @query(f"WITH {SHORTS} SELECT recording, 'short_S' || pair || '_D' || pair || '_wl' || nm AS \"column\", sample, round(value, 9) + 0.0 AS value FROM s")
 def design_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(short_separation.design_columns(_whole(spark, sf_dir), _mapped(spark, sf_dir), "all"))
+    return _rounded(short_separation.design_columns(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), "all"))
 
 
 @query(f"WITH {SHORTS} SELECT recording, 'short_mean_wl' || nm AS \"column\", sample, round(avg(value), 9) + 0.0 AS value FROM s GROUP BY ALL")
 def design_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(short_separation.design_columns(_whole(spark, sf_dir), _mapped(spark, sf_dir), "mean"))
+    return _rounded(short_separation.design_columns(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), "mean"))
 
 
 @query(f"""WITH {SHORTS}, m AS (SELECT recording, nm, sample, avg(value) AS value FROM s GROUP BY ALL)
            SELECT recording, 'short_mean_wl' || nm AS \"column\", sample, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) + 0.0 AS value FROM m WINDOW w AS (PARTITION BY recording, nm)""")
 def design_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(short_separation.standardized(short_separation.design_columns(_whole(spark, sf_dir), _mapped(spark, sf_dir), "mean")), 6)
+    return _rounded(short_separation.standardized(short_separation.design_columns(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), "mean")), 6)
 
 
 @query()
 def design_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = short_separation.design_columns(_whole(spark, sf_dir), _mapped(spark, sf_dir), "mean")
+    mean = short_separation.design_columns(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), "mean")
     return _rounded(short_separation.with_bands(mean, FS, {"respiration": short_separation.BANDS["respiration"]}), 6)
 
 
@@ -337,14 +325,10 @@ def _sci_sql() -> str:
 
 
 def sci_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(quality.scalp_coupling(_whole(spark, sf_dir), _channels(spark, sf_dir), FS, N, SIZE, STEP), 6)
-
-
-def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.vector_channels(spark, sf_dir).join(_complete(spark, sf_dir), "recording", "left_semi")
+    return _rounded(quality.scalp_coupling(rec.vector_samples(spark, sf_dir), rec.vector_channels(spark, sf_dir), FS, N, SIZE, STEP), 6)
 
 
-CORE = f"""{VEC}, {CH}, {FULL}, w AS (SELECT v.recording, pair, v.channel, sample, value, unnest(range(1, 4)) AS win FROM vec v JOIN ch ON v.recording = ch.recording AND v.channel = ch.channel SEMI JOIN full_ f ON v.recording = f.recording),
+CORE = f"""{VEC}, {CH}, w AS (SELECT v.recording, pair, v.channel, sample, value, unnest(range(1, 4)) AS win FROM vec v JOIN ch ON v.recording = ch.recording AND v.channel = ch.channel),
       i AS (SELECT * FROM w WHERE sample BETWEEN (win - 1) * 16 + 1 AND (win - 1) * 16 + 32),
       core AS (SELECT a.recording, a.pair, a.win, corr(a.value, b.value) AS score FROM i a JOIN i b ON a.recording = b.recording AND a.pair = b.pair AND a.win = b.win AND a.sample = b.sample AND a.channel < b.channel GROUP BY 1, 2, 3),
       scored AS (SELECT ch.recording, ch.channel, ch.pair, win, score FROM core JOIN ch ON core.recording = ch.recording AND core.pair = ch.pair)"""
@@ -354,7 +338,7 @@ QUERIES["sci_windows"], ORACLE["sci_windows"] = sci_windows, _sci_sql()
 
 
 def _core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.coupling(_whole(spark, sf_dir), _channels(spark, sf_dir), N, SIZE, STEP)
+    return quality.coupling(rec.vector_samples(spark, sf_dir), rec.vector_channels(spark, sf_dir), N, SIZE, STEP)
 
 
 @query(f"WITH {CORE} SELECT recording, channel, win::INT AS \"window\", round(score, 9) + 0.0 AS score FROM scored")
@@ -382,7 +366,7 @@ def snr_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def peak_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(quality.peak_power(_whole(spark, sf_dir), _channels(spark, sf_dir), FS, N, SIZE, STEP), 6)
+    return _rounded(quality.peak_power(rec.vector_samples(spark, sf_dir), rec.vector_channels(spark, sf_dir), FS, N, SIZE, STEP), 6)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,12 +378,12 @@ JUDGED = f"WITH {CORE}, j AS (SELECT *, score >= -0.3 AS ok FROM scored), c AS (
 
 @query(f"{JUDGED} SELECT recording, channel, passed, metrics, failed_windows FROM c")
 def prune_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.prune(_judged(spark, sf_dir), _channels(spark, sf_dir), "mark")
+    return quality.prune(_judged(spark, sf_dir), rec.vector_channels(spark, sf_dir), "mark")
 
 
 @query(f"{JUDGED} SELECT recording, channel, passed, metrics, failed_windows FROM c QUALIFY bool_and(passed) OVER (PARTITION BY recording, pair)")
 def prune_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.prune(_judged(spark, sf_dir), _channels(spark, sf_dir), "drop")
+    return quality.prune(_judged(spark, sf_dir), rec.vector_channels(spark, sf_dir), "drop")
 
 
 @query(f"{JUDGED} SELECT 'coupling' AS metric, count(DISTINCT (recording, channel)) AS channels, count(DISTINCT win) AS windows, count(*) FILTER (ok) AS passed, count(*) AS scored FROM j")
@@ -446,6 +430,9 @@ PLAN = Plan(fs=FS, regions=REGIONS, contrast={f"lateral_{nm}": {f"left_{nm}": 1.
 
 @query()
 def feedback_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _whole(spark, sf_dir)
-    packed = rows.groupBy("recording", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("channels"))
+    # Streams that carry every channel the plan's regions name; the operator refuses others.
+    named = max(max(r) for r in REGIONS.values())
+    rows = rec.vector_samples(spark, sf_dir)
+    able = rows.select("recording", "channel").distinct().groupBy("recording").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > named)
+    packed = rows.join(able.select("recording"), "recording", "left_semi").groupBy("recording", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("channels"))
     return _rounded(replay(packed.select(F.col("recording").cast("string").alias("stream"), ((F.col("sample") - 1) / FS).alias("t"), "channels"), PLAN), 6)
