@@ -12,11 +12,14 @@ TIME = {"s": 1.0, "ms": 1e-3, "us": 1e-6}
 def labels(measurements: DataFrame) -> DataFrame:
     """Adds ``channel_label``: ``{source}_{detector}_{wavelength}``; repeats get ``_T{type}I{type index}M{position}``.
 
-    Missing source and detector labels are S and D with their index.
+    Missing source and detector labels are S and D with their index; a
+    wavelength is written in full, without a point where it is whole.
     """
     source = F.coalesce("source_label", F.concat(F.lit("S"), F.col("source_index").cast("string")))
     detector = F.coalesce("detector_label", F.concat(F.lit("D"), F.col("detector_index").cast("string")))
-    rows = measurements.withColumn("base", F.concat_ws("_", source, detector, F.format_string("%d", F.col("wavelength_nm").cast("int"))))
+    nm = F.col("wavelength_nm")
+    written = F.when(nm == F.floor(nm), F.floor(nm).cast("string")).otherwise(nm.cast("double").cast("string"))
+    rows = measurements.withColumn("base", F.concat_ws("_", source, detector, written))
     again = F.count(F.lit(1)).over(Window.partitionBy("recording", "base")) > 1
     more = F.format_string("_T%dI%dM%d", "data_type", "data_type_index", "measurement_index")
     return rows.withColumn("channel_label", F.when(again, F.concat("base", more)).otherwise(F.col("base"))).drop("base")
@@ -53,12 +56,17 @@ def stim_labels(stims: DataFrame) -> DataFrame:
 def time_axis(recordings: DataFrame, rows: str = "n_rows") -> DataFrame:
     """(recording, sample, time_seconds) from compact (start, step) or full times, in the recording's unit.
 
-    Two times stand for start and step, unless the recording has two rows.
+    Two times stand for start and step, unless the recording has two rows.  An
+    unknown unit, a step of 0 or less and times that do not increase are errors.
     """
     factor = F.create_map(*(F.lit(x) for kv in TIME.items() for x in kv))[F.col("time_unit")]
+    factor = F.coalesce(factor, F.raise_error(F.lit("unknown unit of time")).cast("double"))
     compact = (F.size("time") == 2) & (F.col(rows) != 2)
     full = F.transform(F.sequence(F.lit(0), F.col(rows) - 1), lambda i: F.col("time")[0] + i * F.col("time")[1])
-    out = recordings.select("recording", factor.alias("factor"), F.posexplode(F.when(compact, full).otherwise(F.col("time"))).alias("at", "t"))
+    times = F.when(compact, full).otherwise(F.col("time"))
+    steps = F.zip_with(F.slice(times, 2, F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, 1, F.greatest(F.size(times) - 1, F.lit(0))), lambda b, a: b > a)
+    times = F.when(F.forall(steps, lambda x: x), times).otherwise(F.raise_error(F.lit("times must increase")).cast("array<double>"))
+    out = recordings.select("recording", factor.alias("factor"), F.posexplode(times).alias("at", "t"))
     return out.select("recording", (F.col("at") + 1).cast("long").alias("sample"), (F.col("t") * F.col("factor")).alias("time_seconds"))
 
 

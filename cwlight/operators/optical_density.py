@@ -25,7 +25,8 @@ def intensity_to_od(
     """(recording, channel, sample, od): ln of the reference less ln of the intensity.
 
     The reference is each channel's mean or median, over all samples or over a
-    closed ``interval`` of seconds, or a given value.  Logarithms are taken
+    closed ``interval`` of seconds, or a given value, which must be positive and
+    finite.  A channel without a sample in the interval is an error.  Logarithms are taken
     apart, so extreme intensities neither overflow nor vanish.
     """
     if baseline not in ("mean", "median"):
@@ -43,7 +44,11 @@ def intensity_to_od(
     rows = samples.select(*KEY, "sample", clean.alias("value"))
     if reference is not None:
         zero = reference if isinstance(reference, Column) else F.lit(float(reference))
+        fine = zero.isNotNull() & (zero > 0) & (zero < float("inf"))
+        zero = F.when(fine, zero).otherwise(F.raise_error(F.lit("a given reference must be positive and finite")).cast("double"))
         return rows.select(*KEY, "sample", (F.ln(zero) - F.ln("value")).alias("od"))
     part = rows if interval is None else rows.where(((F.col("sample") - 1) / fs).between(*interval))
     zero = part.groupBy(*KEY).agg((F.avg("value") if baseline == "mean" else F.median("value")).alias("zero"))
-    return rows.join(zero, KEY).select(*KEY, "sample", (F.ln("zero") - F.ln("value")).alias("od"))
+    empty = F.raise_error(F.lit("the baseline interval holds no sample of a channel")).cast("double")
+    rows = rows.join(zero, KEY, "left").withColumn("zero", F.coalesce("zero", empty))
+    return rows.select(*KEY, "sample", (F.ln("zero") - F.ln("value")).alias("od"))

@@ -74,6 +74,8 @@ def snr(samples: DataFrame, fs: float, n: int, size: int, step: int | None = Non
     bands, count = noise or noise_bands(fs, size, cardiac), windows(n, size, step or size)
     if any(lo < cardiac[1] and hi > cardiac[0] for lo, hi in bands):
         raise ValueError("noise bands must not overlap the cardiac band")
+    if any(a[1] > b[0] for a, b in zip(sorted(bands), sorted(bands)[1:])):
+        raise ValueError("noise bands must not overlap one another")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("sample")["value"].to_numpy(float)
