@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cwlight.llm.common import cut, pieces, text_buffer
+from cwlight.llm.common import small as few_rows
 from cwlight.llm.wordhash import grams, mix, words
 
 HASHES, BANDS, BITS = 128, 32, 4
 #: All pairs are tried in buckets of up to this many members.
 SMALL = 64
+#: Rows that keep_one names (three numbers each) and broadcasts at most.
+FEW = 1 << 18
 #: Bounds of what the driver holds to order the search in larger buckets.
 LEADERS, LEADER_SHINGLES = 256, 4096
 #: Standard deviations by which the estimate may fall short of the threshold.
@@ -322,11 +325,20 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     It is the row with the smallest doc_id; where rows share that, the one with
     the least set fingerprint, then the least text, then any of the equal ones.
     """
-    _, tree = _classed(docs, width, percent, SMALL)
-    stays = tree.groupBy("c").agg(F.min(F.struct("rep", "node", "check")).alias("m")).select(F.col("m.rep").alias("doc_id"), "m.node", "m.check")
+    sigs, tree = _classed(docs, width, percent, SMALL)
+    keys = ["doc_id", "node", "check"]
+    stays = tree.groupBy("c").agg(F.min(F.struct("rep", "node", "check")).alias("m")).select(F.col("m.rep").alias("doc_id"), "m.node", "m.check", F.lit(True).alias("stays"))
+    found = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(stays, keys, "left")
+    # Rows that go, and those of which one goes on; where they are few, no text is shuffled for them.
+    told = cut(found.where("stays IS NULL OR n > 1").select(*keys, F.coalesce("stays", F.lit(False)).alias("stays")))
     word = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     apart = docs.where(F.col("doc_id").isNull() | ~word)
-    # Of equal sets under one doc_id one row goes on; it is chosen before the shuffle too, so a row said a thousand times costs one.
-    line = Window.partitionBy("doc_id", "node", "check").orderBy("row.text")
-    first = fingerprints(docs.where(F.col("doc_id").isNotNull() & word), width).withColumn("nth", F.row_number().over(line)).where("nth = 1")
-    return first.join(cut(stays), ["doc_id", "node", "check"], "left_semi").select("row.*").union(apart)
+    rows = fingerprints(docs.where(F.col("doc_id").isNotNull() & word), width)
+    out = rows.join(few_rows(told.select(*keys), FEW), keys, "left_anti").select("row.*").union(apart)
+    again = told.where("stays").select(*keys)
+    if again.isEmpty():
+        return out
+    # The one row is chosen before the shuffle too, so a row said a thousand times costs one.
+    line = Window.partitionBy(*keys).orderBy("row.text")
+    first = rows.join(few_rows(again, FEW), keys, "left_semi").withColumn("nth", F.row_number().over(line)).where("nth = 1")
+    return out.union(first.select("row.*"))
