@@ -11,32 +11,46 @@ from cwlight.llm.common import shared_folder
 from cwlight.llm.queries import tokenizer_path
 
 
+#: Rows of texts that go to Python at once; Spark's own 10,000 are up to 100 MB of texts, held several times over.
+BATCH_ROWS = 1000
+
+
+def _batches(spark: SparkSession) -> None:
+    """Sets the session to batches of at most ``BATCH_ROWS``, which bounds a task's memory and changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _batches(spark)
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
+    _batches(spark)
     return near_dup.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item occurs go."""
+    _batches(spark)
     return decontam.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
+    _batches(spark)
     return pii.redact(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text, and the digest of what they decode to."""
+    _batches(spark)
     return pieces.encode_decode(docs, tokenizer_path(), with_ids=True, with_text=False)
 
 
