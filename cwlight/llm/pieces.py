@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE = 400_000
+TABLE = 200_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
