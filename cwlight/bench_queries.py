@@ -42,6 +42,24 @@ CH = """ch AS (SELECT *, 0.5 * d AS mid FROM (SELECT vec_id // 24 AS recording,
 R9 = "round({}, 9) + 0.0"
 
 
+def _zero_phase_sql(b: list[float], a: list[float], ends: str, source: str = "vec") -> str:
+    """A table ``filtered`` with each channel of ``source`` filtered forwards and backwards, by recursion over samples."""
+    pad = 2 * len(b) if ends == "zeros" else 0
+    gain = sum(b) / sum(a) if ends == "hold" else 0.0
+    total = N + pad
+
+    def tap(k: int, of: str, first: str) -> str:
+        return f"CASE WHEN i >= {k} THEN {of}[i + 1 - {k}] ELSE {first} END"
+
+    drive = " + ".join(f"({x!r}) * ({tap(k, 'xs', 'xs[1]' if gain or ends == 'hold' else '0')})" for k, x in enumerate(b))
+    back = "".join(f" - ({x!r}) * ({tap(k, 'ys', f'xs[1] * ({gain!r})')})" for k, x in enumerate(a) if k)
+    step = lambda name, source: f"""{name} AS (SELECT recording, channel, 0 AS i, xs, []::DOUBLE[] AS ys FROM {source}
+        UNION ALL SELECT recording, channel, i + 1, xs, list_append(ys, {drive}{back}) FROM {name} WHERE i < {total})"""
+    return f"""arr AS (SELECT recording, channel, list_concat(list(value ORDER BY sample), {[0.0] * pad}::DOUBLE[]) AS xs FROM {source} GROUP BY 1, 2),
+      {step("ahead", "arr")}, turned AS (SELECT recording, channel, list_reverse(ys) AS xs FROM ahead WHERE i = {total}),
+      {step("back", "turned")}, filtered AS (SELECT recording, channel, unnest(range(1, {N + 1})) AS sample, unnest(list_reverse(ys)[1:{N}]) AS value FROM back WHERE i = {total})"""
+
+
 def _od(ref: str, value: str = "value") -> str:
     return f"WITH {EV} SELECT recording, channel, sample, round(ln({ref}) - ln({value}), 9) + 0.0 AS od FROM ev"
 
@@ -163,7 +181,21 @@ def short_regress_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(short_separation.regress_nearest(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), FS, 0.3), 6)
 
 
-@query()
+def _regress_all_sql(most: int) -> str:
+    """Short channels made orthogonal one after the other; each takes its part from all that follow."""
+    steps = ""
+    for k in range(1, most + 1):
+        steps += f""", q{k} AS (SELECT recording, nm, xs AS q FROM c{k - 1} WHERE k = {k}),
+      c{k} AS (SELECT c.recording, c.nm, c.channel, c.k, c.m, CASE WHEN q IS NULL OR c.k <= {k} THEN xs ELSE [xs[i] - list_dot_product(xs, q) / list_dot_product(q, q) * q[i] for i in range(1, {N + 1})] END AS xs
+            FROM c{k - 1} c LEFT JOIN q{k} q ON c.recording = q.recording AND c.nm = q.nm)"""
+    return f"""WITH {VEC}, {CH}, r AS (SELECT recording, channel, nm, CASE WHEN d < 0.01 THEN row_number() OVER (PARTITION BY recording, nm, d < 0.01 ORDER BY channel) END AS k FROM ch),
+      a AS (SELECT recording, channel, avg(value) AS m, list(value ORDER BY sample) AS xs FROM vec GROUP BY 1, 2),
+      c0 AS (SELECT recording, nm, channel, k, m, [x - m for x in xs] AS xs FROM a JOIN r USING (recording, channel)){steps},
+      o AS (SELECT recording, channel, unnest(range(1, {N + 1})) AS sample, unnest(xs) + m AS value FROM c{most} WHERE k IS NULL)
+      SELECT v.recording, v.channel, v.sample, round(coalesce(o.value, v.value), 6) + 0.0 AS value FROM vec v LEFT JOIN o USING (recording, channel, sample)"""
+
+
+@query(_regress_all_sql(rec.CHANNELS // 3))
 def short_regress_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(short_separation.regress_all(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), FS), 6)
 
@@ -187,7 +219,15 @@ def design_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(short_separation.standardized(short_separation.design_columns(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), "mean")), 6)
 
 
-@query()
+def _design_bands_sql(band: str) -> str:
+    b, a = (x.tolist() for x in kernels.butterworth(3, short_separation.BANDS[band], FS))
+    return f"""WITH RECURSIVE {SHORTS}, design AS (SELECT recording, 'short_mean_wl' || nm AS channel, sample, avg(value) AS value FROM s GROUP BY ALL),
+      {_zero_phase_sql(b, a, "zeros", "design")}
+      SELECT recording, channel AS "column", sample, round(value, 6) + 0.0 AS value FROM design
+      UNION ALL SELECT recording, channel || '_{band}', sample, round(value, 6) + 0.0 FROM filtered"""
+
+
+@query(_design_bands_sql("respiration"))
 def design_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = short_separation.design_columns(rec.vector_samples(spark, sf_dir), _mapped(spark, sf_dir), "mean")
     return _rounded(short_separation.with_bands(mean, FS, {"respiration": short_separation.BANDS["respiration"]}), 6)
@@ -256,7 +296,26 @@ def motion_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.intervals(_event_mask(spark, sf_dir), FS))
 
 
-@query()
+def _tddr_sql() -> str:
+    """The weighted mean of the slow part's steps by recursion; steps of equal size everywhere do not occur here."""
+    b, a = (x.tolist() for x in kernels.butterworth(3, 0.5, FS))
+    weights = "[pow(greatest(1 - pow(abs(d - centre) / (4.685 * 1.4826 * spread), 2), 0), 2) for d in step]"
+    spread = "list_median([abs(d - {}) for d in step])"
+    moved = f"list_dot_product({weights}, step) / list_sum({weights})"
+    return f"""WITH RECURSIVE {VEC}, flat AS (SELECT recording, channel, sample, value - avg(value) OVER (PARTITION BY recording, channel) AS value FROM vec),
+      {_zero_phase_sql(b, a, "hold", "flat")},
+      d AS (SELECT recording, channel, sample, value - lag(value) OVER (PARTITION BY recording, channel ORDER BY sample) AS d FROM filtered),
+      l AS (SELECT recording, channel, list(d ORDER BY sample) AS step, avg(d) AS centre FROM d WHERE d IS NOT NULL GROUP BY 1, 2),
+      rounds AS (SELECT recording, channel, 0 AS i, step, centre, {spread.format("centre")} AS spread, false AS done FROM l
+        UNION ALL SELECT recording, channel, i, step, moved, {spread.format("moved")}, abs(moved - centre) < {kernels.ROOT_EPS!r} * greatest(abs(moved), abs(centre))
+        FROM (SELECT recording, channel, i + 1 AS i, step, centre, {moved} AS moved FROM rounds WHERE NOT done AND i < 50)),
+      last AS (SELECT recording, channel, unnest(range(2, {N + 1})) AS sample, unnest({weights}) * (unnest(step) - centre) AS rise FROM rounds QUALIFY i = max(i) OVER (PARTITION BY recording, channel)),
+      level AS (SELECT f.recording, f.channel, f.sample, coalesce(sum(rise) OVER (PARTITION BY f.recording, f.channel ORDER BY f.sample), 0) + flat.value - f.value AS value
+        FROM filtered f JOIN flat USING (recording, channel, sample) LEFT JOIN last USING (recording, channel, sample))
+      SELECT recording, channel, sample, round(level.value - avg(level.value) OVER w + avg(vec.value) OVER w, 6) + 0.0 AS value FROM level JOIN vec USING (recording, channel, sample) WINDOW w AS (PARTITION BY recording, channel)"""
+
+
+@query(_tddr_sql())
 def tddr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.tddr(rec.vector_samples(spark, sf_dir), FS), 6)
 
@@ -268,7 +327,14 @@ def wavelet_db2_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.db2_level(rec.vector_samples(spark, sf_dir), N))
 
 
-@query()
+#: At 64 samples only the finest level is judged: details of the channel and of itself moved by one sample; those
+#: beyond their fences leave the half of the signal that they make up.
+@query(f"""WITH {VEC}, taps(tap, high) AS (SELECT i - 1, [l[4], -l[3], l[2], -l[1]][i] FROM (SELECT [(1 + sqrt(3)) / (4 * sqrt(2)), (3 + sqrt(3)) / (4 * sqrt(2)), (3 - sqrt(3)) / (4 * sqrt(2)), (1 - sqrt(3)) / (4 * sqrt(2))] AS l), range(1, 5) r(i)),
+      met AS (SELECT recording, channel, sample, value, high, moved, (sample + moved - tap + {N}) % {N} AS place FROM vec, taps, range(0, 2) m(moved)),
+      d AS (SELECT recording, channel, moved, place, sum(value * high) AS detail FROM met WHERE place % 2 = 0 GROUP BY 1, 2, 3, 4),
+      q AS (SELECT *, quantile_cont(detail, 0.25) OVER w AS q1, quantile_cont(detail, 0.75) OVER w AS q3 FROM d WINDOW w AS (PARTITION BY recording, channel, moved)),
+      gone AS (SELECT recording, channel, sample, sum(detail * high) / 2 AS part FROM met JOIN q USING (recording, channel, moved, place) WHERE detail < q1 - 1.5 * (q3 - q1) OR detail > q3 + 1.5 * (q3 - q1) GROUP BY 1, 2, 3)
+      SELECT recording, channel, sample, round(value - coalesce(part, 0), 6) + 0.0 AS value FROM vec LEFT JOIN gone USING (recording, channel, sample)""")
 def wavelet_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.wavelet_correct(rec.vector_samples(spark, sf_dir)), 6)
 
@@ -280,24 +346,6 @@ def spline_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.spline_correct(rec.vector_samples(spark, sf_dir).join(clean, ["recording", "channel"], "left_semi"), mask, FS), 6)
 
 
-def _zero_phase_sql(b: list[float], a: list[float], ends: str) -> str:
-    """A table ``filtered`` with each vector channel filtered forwards and backwards, by recursion over samples."""
-    pad = 2 * len(b) if ends == "zeros" else 0
-    gain = sum(b) / sum(a) if ends == "hold" else 0.0
-    total = N + pad
-
-    def tap(k: int, of: str, first: str) -> str:
-        return f"CASE WHEN i >= {k} THEN {of}[i + 1 - {k}] ELSE {first} END"
-
-    drive = " + ".join(f"({x!r}) * ({tap(k, 'xs', 'xs[1]' if gain or ends == 'hold' else '0')})" for k, x in enumerate(b))
-    back = "".join(f" - ({x!r}) * ({tap(k, 'ys', f'xs[1] * ({gain!r})')})" for k, x in enumerate(a) if k)
-    step = lambda name, source: f"""{name} AS (SELECT recording, channel, 0 AS i, xs, []::DOUBLE[] AS ys FROM {source}
-        UNION ALL SELECT recording, channel, i + 1, xs, list_append(ys, {drive}{back}) FROM {name} WHERE i < {total})"""
-    return f"""arr AS (SELECT recording, channel, list_concat(list(value ORDER BY sample), {[0.0] * pad}::DOUBLE[]) AS xs FROM vec GROUP BY 1, 2),
-      {step("ahead", "arr")}, turned AS (SELECT recording, channel, list_reverse(ys) AS xs FROM ahead WHERE i = {total}),
-      {step("back", "turned")}, filtered AS (SELECT recording, channel, unnest(range(1, {N + 1})) AS sample, unnest(list_reverse(ys)[1:{N}]) AS value FROM back WHERE i = {total})"""
-
-
 def _band_sql(name: str, digits: int) -> str:
     b, a = (x.tolist() for x in kernels.butterworth(3, short_separation.BANDS[name], FS))
     return f"WITH RECURSIVE {VEC}, {_zero_phase_sql(b, a, 'zeros')} SELECT recording, channel, sample, round(value, {digits}) + 0.0 AS value FROM filtered"
@@ -364,7 +412,22 @@ def snr_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_snr(spark, sf_dir), 6)
 
 
-@query()
+def _peak_power_sql() -> str:
+    b, a = (x.tolist() for x in kernels.butterworth(3, (0.7, 1.5), FS))
+    n = 2 * SIZE - 1
+    part = "PARTITION BY recording, channel, win"
+    return f"""WITH RECURSIVE {VEC}, {CH}, {_zero_phase_sql(b, a, "hold")},
+      w AS (SELECT f.recording, pair, f.channel, win, sample, value FROM filtered f JOIN ch ON f.recording = ch.recording AND f.channel = ch.channel, range(1, {(N - SIZE) // STEP + 2}) r(win) WHERE sample BETWEEN (win - 1) * {STEP} + 1 AND (win - 1) * {STEP} + {SIZE}),
+      i AS (SELECT *, stddev_samp(value) OVER ({part}) AS sd, max(abs(value)) OVER ({part}) AS most FROM w),
+      u AS (SELECT *, value / sd AS v FROM i WHERE sd > {kernels.ROOT_EPS!r} * greatest(1, most)),
+      c AS (SELECT x.recording, x.pair, x.win, x.sample - y.sample + {SIZE - 1} AS n, sum(x.v * y.v) / {SIZE} AS c FROM u x JOIN u y ON x.recording = y.recording AND x.pair = y.pair AND x.win = y.win AND x.channel < y.channel GROUP BY 1, 2, 3, 4),
+      h AS (SELECT recording, pair, win, n, (c - avg(c) OVER (PARTITION BY recording, pair, win)) * (0.54 - 0.46 * cos(2 * pi() * n / {n - 1})) AS v FROM c),
+      p AS (SELECT recording, pair, win, k, (pow(sum(v * cos(2 * pi() * k * n / {n})), 2) + pow(sum(v * sin(2 * pi() * k * n / {n})), 2)) * CASE k WHEN 0 THEN 1 ELSE 2 END AS p FROM h, range(0, {SIZE}) r(k) GROUP BY 1, 2, 3, 4),
+      peak AS (SELECT recording, pair, win, max(p) / ({FS} * (SELECT sum(pow(0.54 - 0.46 * cos(2 * pi() * j / {n - 1}), 2)) FROM range(0, {n}) r(j))) AS score FROM p GROUP BY 1, 2, 3)
+      SELECT DISTINCT w.recording, w.channel, w.win::INT AS "window", round(coalesce(score, 0), 6) + 0.0 AS score FROM w LEFT JOIN peak ON w.recording = peak.recording AND w.pair = peak.pair AND w.win = peak.win"""
+
+
+@query(_peak_power_sql())
 def peak_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality.peak_power(rec.vector_samples(spark, sf_dir), rec.vector_channels(spark, sf_dir), FS, N, SIZE, STEP), 6)
 
@@ -428,7 +491,13 @@ REGIONS = {f"{side}_{nm}": tuple(range(first + at, first + rec.CHANNELS // 2, 2)
 PLAN = Plan(fs=FS, regions=REGIONS, contrast={f"lateral_{nm}": {f"left_{nm}": 1.0, f"right_{nm}": -1.0} for nm in (760, 850)}, baseline_seconds=2.0, update_seconds=0.2, smoothing_seconds=0.4)
 
 
-@query()
+#: In closed form: chunks of two samples, a baseline of the first 20, and from sample 22 on an update with every chunk.
+@query(f"""WITH {VEC}, able AS (SELECT recording FROM vec GROUP BY 1 HAVING count(DISTINCT channel) = {rec.CHANNELS}),
+      v AS (SELECT recording, sample, CASE WHEN channel % 2 = 0 THEN 'lateral_760' ELSE 'lateral_850' END AS target, avg(value) FILTER (channel < 12) - avg(value) FILTER (channel >= 12) AS v FROM vec JOIN able USING (recording) GROUP BY 1, 2, 3),
+      b AS (SELECT recording, target, avg(v) AS b FROM v WHERE sample <= 20 GROUP BY 1, 2),
+      m AS (SELECT *, (v / 2 + lag(v) OVER w + lag(v, 2) OVER w + lag(v, 3) OVER w + lag(v, 4) OVER w / 2) / 4 AS mean FROM v WINDOW w AS (PARTITION BY recording, target ORDER BY sample))
+      SELECT recording::VARCHAR AS stream, (sample - 22) // 2 AS sequence, round((sample - 1) / 10.0, 6) + 0.0 AS "time", round(2.0 + (sample - 22) / 10.0, 6) + 0.0 AS scheduled, target, round(mean - b, 6) + 0.0 AS value,
+             NULL::VARCHAR AS skipped, 0::BIGINT AS skipped_count FROM m JOIN b USING (recording, target) WHERE sample >= 22 AND sample % 2 = 0""")
 def feedback_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Streams that carry every channel the plan's regions name; the operator refuses others.
     named = max(max(r) for r in REGIONS.values())
