@@ -1,4 +1,8 @@
-"""Signal kernels on numpy arrays: one call handles one channel (or one channel pair) inside a Spark task."""
+"""Signal kernels on numpy arrays, called inside Spark tasks.
+
+Filters and what builds on them take one channel, or several of one length as the
+columns of a matrix: their recursion then takes one step per sample for all.
+"""
 
 from __future__ import annotations
 
@@ -36,15 +40,16 @@ def butterworth(order: int, edges_hz: float | tuple[float, float], fs: float) ->
     return np.real(gain * scale) * np.real(np.poly(z_zeros)), np.real(np.poly(z_poles))
 
 
-def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, past_in: float = 0.0, past_out: float = 0.0) -> np.ndarray:
-    """The direct-form filter, with constant inputs and outputs before the first sample."""
-    taps = np.concatenate([np.full(len(b) - 1, past_in), x])
-    drive = np.convolve(taps, b, "valid") / a[0]
+def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, past_in: float | np.ndarray = 0.0, past_out: float | np.ndarray = 0.0) -> np.ndarray:
+    """The direct-form filter along the first axis, with constant inputs and outputs before the first sample."""
+    before, n = len(b) - 1, len(x)
+    taps = np.concatenate([np.broadcast_to(past_in, (before, *x.shape[1:])), x])
+    drive = sum(tap * taps[before - j : before - j + n] for j, tap in enumerate(b)) / a[0]
     back = -(a[1:] / a[0])[::-1]
     memory = len(back)
-    out = np.empty(memory + len(x))
+    out = np.empty((memory + n, *x.shape[1:]))
     out[:memory] = past_out
-    for i in range(len(x)):
+    for i in range(n):
         out[memory + i] = drive[i] + back @ out[i : i + memory]
     return out[memory:]
 
@@ -53,7 +58,7 @@ def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray, ends: str) -> np.ndar
     """Zero phase.  ``hold``: each pass starts as if its first sample had always been; ``zeros``: from rest, with zeros behind the end."""
     gain = b.sum() / a.sum()
     if ends == "zeros":
-        x = np.concatenate([x, np.zeros(2 * max(len(a), len(b)))])
+        x = np.concatenate([x, np.zeros((2 * max(len(a), len(b)), *x.shape[1:]))])
     n, y = len(x), x
     for _ in range(2):
         start = (y[0], y[0] * gain) if ends == "hold" else (0.0, 0.0)
@@ -67,7 +72,7 @@ def bandpass(x: np.ndarray, fs: float, band: tuple[float, float], order: int = 3
     least = 2 * max(len(a), len(b)) + 1
     if len(x) < least:
         raise ValueError(f"a band filter of order {order} needs {least} samples")
-    return np.zeros(len(x)) if x.min() == x.max() else both_ways(b, a, x, "zeros")
+    return np.where(x.min(axis=0) == x.max(axis=0), 0.0, both_ways(b, a, x, "zeros"))
 
 
 def near_constant(x: np.ndarray) -> bool:
@@ -90,9 +95,16 @@ def _biweight(d: np.ndarray, centre: float, tune: float) -> np.ndarray | None:
 
 def tddr(x: np.ndarray, fs: float, cutoff_hz: float = 0.5, tune: float = 4.685, rounds: int = 50) -> np.ndarray:
     """Temporal derivative distribution repair: steps in the slow part are weighted down by how unusual they are."""
-    mean = x.mean()
-    z = x - mean
+    z = x - x.mean(axis=0)
     slow = z if 2 * cutoff_hz / fs >= 1 - 1e-12 else both_ways(*butterworth(3, cutoff_hz, fs), z, "hold")
+    if x.ndim == 1:
+        return _relevelled(x, slow, tune, rounds)
+    return np.stack([_relevelled(*xs, tune, rounds) for xs in zip(x.T, slow.T)], axis=1)
+
+
+def _relevelled(x: np.ndarray, slow: np.ndarray, tune: float, rounds: int) -> np.ndarray:
+    """One channel with the steps of its slow part weighted; as it is where the steps are all alike."""
+    mean = x.mean()
     step = np.diff(slow)
     centre = step.mean()
     if np.abs(step - centre).max() == 0:
@@ -110,7 +122,7 @@ def tddr(x: np.ndarray, fs: float, cutoff_hz: float = 0.5, tune: float = 4.685,
     if w is None:
         return x
     level = np.concatenate([[0.0], np.cumsum(w * (step - centre))])
-    out = level - level.mean() + (z - slow)
+    out = level - level.mean() + (x - mean - slow)
     return out - out.mean() + mean
 
 
@@ -269,5 +281,8 @@ def peak_power(x: np.ndarray, y: np.ndarray, fs: float) -> float:
     """Highest power density of the cross-correlation of two scaled signals."""
     if near_constant(x) or near_constant(y):
         return 0.0
-    both = np.correlate(x / x.std(ddof=1), y / y.std(ddof=1), "full") / len(x)
+    n = len(x)
+    size = 1 << (2 * n - 1).bit_length()  # circular without overlap
+    ring = np.fft.irfft(np.fft.rfft(x / x.std(ddof=1), size) * np.conj(np.fft.rfft(y / y.std(ddof=1), size)), size)
+    both = np.concatenate([ring[size - n + 1 :], ring[:n]]) / n
     return float(spectrum(both, fs)[1].max())

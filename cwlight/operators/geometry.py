@@ -33,6 +33,25 @@ def distances(channels: DataFrame, probe: DataFrame, unit: str = "m", dims: int
     return out.select(*channels.columns, distance.alias("distance_m"), *middle)
 
 
+def source_detector_distances(channels: DataFrame, probe: DataFrame, length_unit: str, dimension: str = "auto", unit: str = "m") -> DataFrame:
+    """``channels`` with distance, distance_unit and geometry_dimension.
+
+    ``auto`` measures in space where every place of the recording's probe has a
+    z, else in the plane; ``native`` keeps the probe's ``length_unit``.
+    """
+    if dimension not in ("auto", "3d", "2d") or unit not in ("m", "native"):
+        raise ValueError("dimension must be 'auto', '3d' or '2d', and unit 'm' or 'native'")
+    if not length_unit or (unit == "m" and length_unit not in LENGTH):
+        raise ValueError(f"a declared unit of length is needed, for metres one of {sorted(LENGTH)}")
+    factor = LENGTH[length_unit] if unit == "m" else 1.0
+    solid = F.bool_and(F.col("z").isNotNull())
+    use = F.when(solid, "3d").otherwise("2d") if dimension == "auto" else F.lit(dimension)
+    chosen = probe.groupBy("recording").agg(use.alias("geometry_dimension"))
+    flat = probe.join(chosen, "recording").withColumn("z", F.when(F.col("geometry_dimension") == "2d", 0.0).otherwise(F.col("z"))).drop("geometry_dimension")
+    out = distances(channels, flat).withColumns({"distance": F.col("distance_m") * factor, "distance_unit": F.lit("m" if unit == "m" else length_unit)})
+    return out.join(chosen, "recording").select(*channels.columns, "distance", "distance_unit", "geometry_dimension")
+
+
 def short_map(placed: DataFrame, threshold_m: float = 0.01) -> DataFrame:
     """Channels with ``is_short``: a distance strictly below the threshold."""
     if not threshold_m > 0:

@@ -31,6 +31,19 @@ def with_pathlength(channels: DataFrame, factor: float | dict[float, float] = 6.
     return channels.withColumn("pathlength_factor", value)
 
 
+def with_distance(channels: DataFrame, distance_m: float | dict) -> DataFrame:
+    """``channels`` with distance_m given by the caller in place of the probe's: one for all, or one for each pair; a pair not named is an error."""
+    given = distance_m if isinstance(distance_m, dict) else {None: distance_m}
+    if not given or not all(0 < x < float("inf") for x in given.values()):
+        raise ValueError("distances must be positive and finite")
+    if not isinstance(distance_m, dict):
+        return channels.withColumn("distance_m", F.lit(float(distance_m)))
+    table = channels.sparkSession.createDataFrame([(k, float(x)) for k, x in given.items()], ["pair", "given_m"])
+    wrong = F.raise_error(F.concat(F.lit("no distance is given for pair "), F.col("pair").cast("string"))).cast("double")
+    rows = channels.join(table, "pair", "left").withColumn("distance_m", F.coalesce("given_m", wrong))
+    return rows.select(*dict.fromkeys([*channels.columns, "distance_m"]))
+
+
 def agreed_distances(channels: DataFrame) -> DataFrame:
     """``channels`` with each pair's mean distance_m; wavelengths of a pair that disagree on it raise an error."""
     pair = Window.partitionBy("recording", "pair")

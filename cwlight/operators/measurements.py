@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds in one unit of time.
@@ -32,6 +32,37 @@ def checked(measurements: DataFrame) -> DataFrame:
     return measurements.withColumn("measurement_index", F.when(place, F.col("measurement_index")).otherwise(F.raise_error(F.lit("malformed measurement list")).cast("int")))
 
 
+def covered(measurements: DataFrame, probe: DataFrame) -> DataFrame:
+    """The list, if the probe has every source and detector that it names, under the same label where both have one; else an error."""
+    out = measurements
+    label = F.col("label") if "label" in probe.columns else F.lit(None).cast("string")
+    for role in ("source", "detector"):
+        place = probe.where(F.col("role") == role).select("recording", F.col("idx").alias(f"{role}_index"), F.lit(True).alias("there"), label.alias("probe_label"))
+        same = F.coalesce(F.col("probe_label") == F.col(f"{role}_label"), F.lit(True))
+        text = F.format_string(f"recording %s: the probe disagrees on {role} %s", F.col("recording").cast("string"), F.col(f"{role}_index").cast("string"))
+        fine = F.when(F.coalesce("there", F.lit(False)) & same, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+        out = out.join(place, ["recording", f"{role}_index"], "left").where(fine).select(*measurements.columns)
+    return out
+
+
+def renumbered(samples: DataFrame, measurements: DataFrame, stays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, measurements) of the channels in ``stays`` (recording, channel), counted from 1 again in each recording."""
+    kept = measurements.join(stays.select("recording", F.col("channel").alias("measurement_index")).distinct(), ["recording", "measurement_index"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("recording").orderBy("measurement_index"))
+    listed = kept.withColumn("place", place)
+    names = listed.select("recording", F.col("measurement_index").cast("long").alias("channel"), F.col("place").cast("long").alias("place"))
+    moved = samples.join(names, ["recording", "channel"]).withColumn("channel", F.col("place")).select(*samples.columns)
+    return moved, listed.withColumn("measurement_index", F.col("place")).select(*measurements.columns)
+
+
+def whole_stim() -> Column:
+    """A condition that holds for each whole stimulus row (start, duration of 0 or more, value) and is an error for others."""
+    data = F.col("data")
+    fine = (F.size(data) >= 3) & (F.try_element_at(data, F.lit(2)) >= 0) & F.forall(data, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    wrong = F.raise_error(F.lit("a stimulus row needs start, a duration of 0 or more, and value")).cast("boolean")
+    return F.when(F.coalesce(fine, F.lit(False)), F.lit(True)).otherwise(wrong)
+
+
 def events(stims: DataFrame) -> DataFrame:
     """(recording, onset, duration, type, value) from (recording, stim_index, row, name, data), by onset, ties in stored order.
 

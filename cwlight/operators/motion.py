@@ -1,4 +1,4 @@
-"""Motion artifacts: detection by windows, repair by kernels on one channel at a time."""
+"""Motion artifacts: detection by windows, repair by kernels on blocks of channels."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ from decimal import ROUND_HALF_EVEN, Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cwlight.functions import kernels
+from cwlight.sources.tables import current
 
 KEY = ["recording", "channel"]
 SIGNAL = "recording long, channel long, sample long, value double"
+#: Channels of a recording that go to numpy together.
+BLOCK = 16
 
 
 def whole(x: float) -> int:
@@ -61,18 +64,39 @@ def intervals(mask: DataFrame, fs: float) -> DataFrame:
 
 
 def per_channel(samples: DataFrame, kernel, *more: str) -> DataFrame:
-    """``kernel(values, *others)`` of every channel in sample order; Spark deals the channels out.
+    """``kernel(values, *others)`` of all channels; a column is a channel, a row a sample in order.
 
-    One channel of one recording is one group, so a group's size is the length
-    of a recording, not of the table.
+    Spark deals out blocks of at most ``BLOCK`` channels of one recording, so a
+    group grows with the length of a recording, not with the table.  Channels
+    of one length in a block come as one matrix.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        value = kernel(pdf["value"].to_numpy(float), *(pdf[c].to_numpy() for c in more))
-        return pd.DataFrame({"recording": pdf["recording"], "channel": pdf["channel"], "sample": pdf["sample"], "value": value})
+        out = []
+        for n, part in by_length(pdf):
+            part["value"] = kernel(*(part[c].to_numpy(float).reshape(-1, n).T for c in ("value", *more))).T.ravel()
+            out.append(part[[*KEY, "sample", "value"]])
+        return pd.concat(out)
 
-    return samples.select(*KEY, "sample", "value", *more).groupBy(*KEY).applyInPandas(run, SIGNAL)
+    rows = samples.select(*KEY, "sample", "value", *more)
+    return rows.groupBy("recording", block()).applyInPandas(run, SIGNAL)
+
+
+def block() -> Column:
+    """The block of a channel within its recording."""
+    return F.floor(F.col("channel") / BLOCK).alias("block")
+
+
+def by_length(pdf: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    """(length, rows by channel and sample) of the channels of each length."""
+    pdf = pdf.sort_values(["channel", "sample"], ignore_index=True)
+    size = pdf.groupby("channel")["sample"].transform("size")
+    return [(int(n), pdf[size == n].copy()) for n in size.unique()]
+
+
+def each(kernel):
+    """A kernel for one channel, for the columns of matrices."""
+    return lambda *xs: np.stack([kernel(*columns) for columns in zip(*(x.T for x in xs))], axis=1)
 
 
 def tddr(samples: DataFrame, fs: float, cutoff_hz: float = 0.5, tune: float = 4.685, rounds: int = 50) -> DataFrame:
@@ -82,14 +106,14 @@ def tddr(samples: DataFrame, fs: float, cutoff_hz: float = 0.5, tune: float = 4.
 
 def wavelet_correct(samples: DataFrame, iqr: float = 1.5, min_level: int = 4) -> DataFrame:
     """Wavelet coefficients beyond the quartile fences removed."""
-    return per_channel(samples, lambda x: kernels.wavelet_repair(x, iqr, min_level))
+    return per_channel(samples, each(lambda x: kernels.wavelet_repair(x, iqr, min_level)))
 
 
 def spline_correct(samples: DataFrame, mask: DataFrame, fs: float, p: float = 0.99) -> DataFrame:
-    """Spline repair of masked stretches.  Channels without any pass by the kernel."""
-    rows = samples.join(mask, [*KEY, "sample"])
+    """Spline repair of masked stretches.  Channels without any pass by the kernel; a mask of another signal is refused where it is bound."""
+    rows = samples.join(current(mask, samples), [*KEY, "sample"])
     touched = rows.withColumn("any", F.max("masked").over(Window.partitionBy(*KEY)))
-    fixed = per_channel(touched.where("any"), lambda x, bad: kernels.spline_repair(x, np.arange(len(x)) / fs, bad.astype(bool), fs, p), "masked")
+    fixed = per_channel(touched.where("any"), each(lambda x, bad: kernels.spline_repair(x, np.arange(len(x)) / fs, bad.astype(bool), fs, p)), "masked")
     return fixed.unionByName(touched.where("NOT any").select(*KEY, "sample", "value"))
 
 

@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 KEY = ["recording", "channel"]
 
 
+#: Fixed value: the data type of continuous-wave amplitude.
+CONTINUOUS_WAVE = 1
+
+
+def continuous_wave(samples: DataFrame, measurements: DataFrame) -> DataFrame:
+    """``samples``, if every channel is listed (as measurement_index) with data_type 1 and a positive wavelength; else an error naming it."""
+    listed = measurements.select("recording", F.col("measurement_index").cast("long").alias("channel"), "data_type", "wavelength_nm")
+    fine = F.coalesce((F.col("data_type") == CONTINUOUS_WAVE) & (F.col("wavelength_nm") > 0) & (F.col("wavelength_nm") < float("inf")), F.lit(False))
+    text = F.format_string("not continuous-wave amplitude: recording %s, channel %s, data type %s, wavelength %s", *(F.col(c).cast("string") for c in (*KEY, "data_type", "wavelength_nm")))
+    # A filter, so no later choice of columns takes the check away.
+    checked = samples.join(listed, KEY, "left").where(F.when(fine, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+    return checked.select(*samples.columns)
+
+
 def intensity_to_od(
     samples: DataFrame,
     baseline: str = "mean",
@@ -21,13 +35,16 @@ def intensity_to_od(
     reference: float | Column | None = None,
     nonpositive: str = "error",
     replacement: float | None = None,
+    measurements: DataFrame | None = None,
 ) -> DataFrame:
     """(recording, channel, sample, od): ln of the reference less ln of the intensity.
 
     The reference is each channel's mean or median, over all samples or over a
     closed ``interval`` of seconds, or a given value, which must be positive and
-    finite.  A channel without a sample in the interval is an error.  Logarithms are taken
-    apart, so extreme intensities neither overflow nor vanish.
+    finite.  A channel without a sample in the interval is an error, as is, where
+    ``measurements`` are given, one that they do not list as continuous-wave
+    amplitude.  Errors name the channel and sample.  Logarithms are taken apart,
+    so extreme intensities neither overflow nor vanish.
     """
     if baseline not in ("mean", "median"):
         raise ValueError("baseline must be 'mean' or 'median'")
@@ -37,10 +54,13 @@ def intensity_to_od(
         raise ValueError("replacement must be positive where values are replaced")
     if interval is not None and (reference is not None or interval[0] > interval[1]):
         raise ValueError("interval must increase and excludes a given reference")
+    if measurements is not None:
+        samples = continuous_wave(samples, measurements)
     v = F.col("value")
+    wrong = lambda what: F.raise_error(F.format_string(f"intensity must be {what}: recording %s, channel %s, sample %s", *(F.col(c).cast("string") for c in (*KEY, "sample")))).cast("double")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    other = F.lit(replacement) if nonpositive == "replace" else F.raise_error(F.lit("intensity must be positive")).cast("double")
-    clean = F.when(bad, F.raise_error(F.lit("intensity must be finite")).cast("double")).when(v > 0, v).otherwise(other)
+    other = F.lit(replacement) if nonpositive == "replace" else wrong("positive")
+    clean = F.when(bad, wrong("finite")).when(v > 0, v).otherwise(other)
     rows = samples.select(*KEY, "sample", clean.alias("value"))
     if reference is not None:
         zero = reference if isinstance(reference, Column) else F.lit(float(reference))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cwlight.functions import kernels
-from cwlight.operators.motion import KEY, per_channel
+from cwlight.operators.motion import KEY, block, by_length, per_channel
+from cwlight.sources.tables import current
 
 EPS = float(np.finfo(float).eps)
 SCORE = "recording long, channel long, window int, score double"
@@ -44,10 +45,11 @@ def coupling(filtered: DataFrame, channels: DataFrame, n: int, size: int, step:
 
     A near-constant signal scores 0; every wavelength of a pair has its score.
     """
-    rows = in_windows(filtered.join(channels.select(*KEY, "pair"), KEY), n, size, step)
-    x = rows.select("recording", "pair", "window", "sample", F.col("channel").alias("cx"), F.col("value").alias("x"))
-    y = rows.select("recording", "pair", "window", "sample", F.col("channel").alias("cy"), F.col("value").alias("y"))
-    both = x.join(y, ["recording", "pair", "window", "sample"]).where("cx < cy")
+    rows = filtered.join(channels.select(*KEY, "pair"), KEY)
+    x = rows.select("recording", "pair", "sample", F.col("channel").alias("cx"), F.col("value").alias("x"))
+    y = rows.select("recording", "pair", "sample", F.col("channel").alias("cy"), F.col("value").alias("y"))
+    # Samples meet before they are dealt to windows, so each is shuffled once.
+    both = in_windows(x.join(y, ["recording", "pair", "sample"]).where("cx < cy"), n, size, step)
     stats = both.groupBy("recording", "pair", "window", "cx", "cy").agg(
         F.covar_samp("x", "y").alias("c"), *(f(k).alias(f"{name}{k}") for k in "xy" for name, f in (("s", F.stddev_samp), ("m", lambda k: F.max(F.abs(k)))))
     )
@@ -78,11 +80,13 @@ def snr(samples: DataFrame, fs: float, n: int, size: int, step: int | None = Non
         raise ValueError("noise bands must not overlap one another")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("sample")["value"].to_numpy(float)
-        score = [kernels.snr_db(x[w * (step or size) : w * (step or size) + size], fs, cardiac, bands) for w in range(count)]
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "window": np.arange(1, count + 1, dtype=np.int32), "score": score})
+        out = []
+        for m, part in by_length(pdf):
+            for c, x in zip(part["channel"].to_numpy()[::m], part["value"].to_numpy(float).reshape(-1, m)):
+                out += [(part["recording"].iloc[0], c, w + 1, kernels.snr_db(x[w * (step or size) : w * (step or size) + size], fs, cardiac, bands)) for w in range(count)]
+        return pd.DataFrame(out, columns=["recording", "channel", "window", "score"]).astype({"window": np.int32})
 
-    return samples.groupBy(*KEY).applyInPandas(run, SCORE)
+    return samples.groupBy("recording", block()).applyInPandas(run, SCORE)
 
 
 def peak_power(samples: DataFrame, channels: DataFrame, fs: float, n: int, size: int, step: int | None = None, cardiac: tuple[float, float] = (0.7, 1.5), order: int = 3) -> DataFrame:
@@ -113,11 +117,14 @@ def _verdict(require_all: bool) -> Column:
     return F.bool_and("ok") if require_all else F.bool_or("ok")
 
 
-def prune(judgements: DataFrame, channels: DataFrame, action: str = "mark", require_all: bool = True) -> DataFrame:
+def prune(judgements: DataFrame, channels: DataFrame, action: str = "mark", require_all: bool = True, source: DataFrame | None = None) -> DataFrame:
     """One row per channel: passed, metrics, failed_windows; ``drop`` judges whole pairs and gives the rows that stay.
 
-    A metric passes where all its windows do.
+    A metric passes where all its windows do.  Judgements bound to a signal are
+    refused if ``source`` is another.
     """
+    if source is not None:
+        judgements = current(judgements, source)
     if action not in ("mark", "drop"):
         raise ValueError("action must be 'mark' or 'drop'")
     by_metric = judgements.groupBy(*KEY, "metric").agg(F.bool_and("passed").alias("ok"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.format_string("%s:w%04d", "metric", "window")))).alias("failed"))

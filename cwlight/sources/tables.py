@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cwlight.operators import measurements
@@ -90,10 +90,33 @@ def missing_tags(tags: DataFrame, recordings: DataFrame) -> DataFrame:
     return recordings.select("recording", names).join(tags.select("recording", "name"), ["recording", "name"], "left_anti")
 
 
+def current(derived: DataFrame, source: DataFrame) -> DataFrame:
+    """``derived``, checked by ``still_bound`` where it carries a fingerprint."""
+    return still_bound(derived, source) if "fingerprint" in derived.columns else derived
+
+
+def prepared_tags(tags: DataFrame, recordings: DataFrame, length_unit: str = "m") -> DataFrame:
+    """(recording, name, value): every required tag of every recording, times in seconds; an empty or repeated tag is an error.
+
+    Tags that a recording lacks are ``unknown``, its units metres (or
+    ``length_unit``), seconds and Hz.
+    """
+    usual = {**dict.fromkeys(REQUIRED_TAGS[:3], "unknown"), "LengthUnit": length_unit, "TimeUnit": "s", "FrequencyUnit": "Hz"}
+    pairs = F.explode(F.create_map(*(F.lit(x) for kv in usual.items() for x in kv))).alias("name", "usual")
+    wanted = recordings.select("recording").distinct().select("recording", pairs)
+    once = F.count(F.lit(1)).over(Window.partitionBy("recording", "name")) == 1
+    full = F.coalesce(F.length("value") > 0, F.lit(False))
+    text = F.concat(F.lit("an empty or repeated tag: "), F.col("name"))
+    given = tags.where(F.when(full, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))).withColumn("once", once)
+    given = given.where(F.when(F.col("once"), F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))).select("recording", "name", "value")
+    fixed = F.when(F.col("name").isin("LengthUnit", "TimeUnit"), F.col("usual"))
+    return given.join(wanted, ["recording", "name"], "full").select("recording", "name", F.coalesce(fixed, "value", "usual").alias("value"))
+
+
 def read(spark: SparkSession, path: str, contracts: dict[str, dict] | None = None) -> Recording:
-    """The recordings under ``path``, measurement lists checked and labelled."""
+    """The recordings under ``path``, measurement lists checked, held against the probe and labelled."""
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in NAMES[:3]}
-    listed = measurements.labels(measurements.checked(tables["measurements"].drop("channel_label")))
+    listed = measurements.labels(measurements.covered(measurements.checked(tables["measurements"].drop("channel_label")), tables["probe"]))
     more = {}
     for name in NAMES[3:]:
         try:
@@ -105,12 +128,20 @@ def read(spark: SparkSession, path: str, contracts: dict[str, dict] | None = Non
 
 
 def write(rec: Recording, path: str, mode: str = "errorifexists") -> None:
-    """All tables; samples lie in one folder per assay and recording, so that reads of one skip the rest.
+    """All tables; samples lie in one folder per assay, in files by ranges of recordings and channels.
 
-    Spark's commit protocol puts a table in place once all its tasks have ended.
+    Ranges hold about the same number of rows, whatever a recording's length,
+    and a reader of some recordings skips the other files by their statistics.
+    Samples must be finite, the list must agree with the probe, stimuli must be
+    whole rows, and tags are completed.  Spark's commit protocol puts a table in
+    place once all its tasks have ended.
     """
-    rec.samples.repartition("recording", "assay", "channel").sortWithinPartitions("assay", "recording", "channel", "sample").write.mode(mode).partitionBy("assay", "recording").parquet(f"{path}/samples")
-    for name in NAMES[1:]:
-        table = getattr(rec, name)
+    fine = F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
+    text = F.format_string("a sample that is not finite: recording %s, channel %s, sample %s", *(F.col(c).cast("string") for c in ("recording", "channel", "sample")))
+    samples = rec.samples.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+    samples.repartitionByRange("assay", "recording", "channel").sortWithinPartitions("assay", "recording", "channel", "sample").write.mode(mode).partitionBy("assay").parquet(f"{path}/samples")
+    tags = None if rec.tags is None else prepared_tags(rec.tags, rec.measurements)
+    stims = None if rec.stims is None else rec.stims.where(measurements.whole_stim())
+    for name, table in zip(NAMES[1:], (measurements.covered(rec.measurements, rec.probe), rec.probe, stims, tags)):
         if table is not None:
             table.write.mode(mode).parquet(f"{path}/{name}")

@@ -11,7 +11,7 @@ from cwlight.sources import extinction, tables
 def recording(spark):
     samples = spark.createDataFrame([(r, "raw", c, s, float(100 + 10 * s + c)) for r in (1, 2) for c in (1, 2) for s in (1, 2, 3)], "recording long, assay string, channel long, sample long, value double")
     listed = spark.createDataFrame([(r, c, 1, 1, nm, 1, 1, None, None) for r in (1, 2) for c, nm in ((1, 760), (2, 850))], "recording long, measurement_index int, source_index int, detector_index int, wavelength_nm int, data_type int, data_type_index int, source_label string, detector_label string")
-    probe = spark.createDataFrame([(1, "source", 1, 0.0, 0.0, 0.0)], "recording long, role string, idx long, x double, y double, z double")
+    probe = spark.createDataFrame([(r, role, 1, 0.0, 0.0, 0.0) for r in (1, 2) for role in ("source", "detector")], "recording long, role string, idx long, x double, y double, z double")
     tags = spark.createDataFrame([(1, n, "x") for n in tables.REQUIRED_TAGS] + [(2, "SubjectID", "y")], "recording long, name string, value string")
     return tables.Recording(samples, listed, probe, None, tags, {"raw": {"kind": "continuous_wave_intensity"}})
 
