@@ -40,3 +40,24 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
+
+PERIODIC = rf"""
+WITH h AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS ws, doc_id::VARCHAR AS d FROM documents),
+crc AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295::BIGINT, list_reduce(
+          list_prepend(4294967295::BIGINT, list_transform(range(1, len(d) + 1), lambda i: ord(d[i])::BIGINT)),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) AS h FROM h),
+part AS (SELECT doc_id, ws, n, h % 10 = 0 AND n > 0 AS echo, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS q FROM crc),
+w AS (SELECT doc_id, n, CASE WHEN echo THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % q + 1] END) ELSE ws END AS ws FROM part),
+word AS (SELECT doc_id, n, unnest(ws) AS x, unnest(range(0, n)) AS i FROM w),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS p FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+row AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM same),
+stretch AS (SELECT doc_id, min(i) AS s, count(*) + p AS l, p FROM row GROUP BY doc_id, p, k HAVING count(*) + p >= greatest(6, 4 * p)),
+run AS (SELECT doc_id, s, l, min(p) AS p FROM stretch GROUP BY doc_id, s, l),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS t FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l / p DESC, s, p) = 1)
+SELECT d.doc_id, coalesce(listed.n, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, p::BIGINT AS period, (1000 * l // p)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
