@@ -61,3 +61,24 @@ SELECT d.doc_id, coalesce(listed.n, 0)::BIGINT AS n_runs, s::BIGINT AS start, l:
        sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+DIVERGENCE = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT doc_id, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS nl FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(nl) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.nl FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+n AS (SELECT lang, source, sum(c) AS n FROM every GROUP BY lang, source),
+p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (n.n + v.v) AS p, 1 + (1000000000::HUGEINT * (nl + 1)) // (v.n + v.v) AS q
+      FROM every JOIN n USING (lang, source) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 200
+"""

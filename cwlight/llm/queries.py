@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwlight.llm import ann, decontam, langid, oracle, periodic, pieces, pii, secrets, toxicity, warc
+from cwlight.llm import ann, decontam, divergence, langid, oracle, periodic, pieces, pii, secrets, toxicity, warc
 from cwlight.llm.near_dup import near_duplicates
 from cwlight.llm.substring import remove_repeats
 
@@ -64,6 +64,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.runs_in(periodic.with_echoes(_table(spark, sf_dir, "documents")), with_runs=False, with_text=False)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_nearest": op2_nearest,
@@ -76,10 +80,12 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_minhash": op10_minhash,
     "op11_periodic": op11_periodic,
+    "op12_divergence": op12_divergence,
 }
 ORACLE = {
     "op6_substring": oracle.SUBSTRING,
     "op8_warc": oracle.WARC,
     "op10_minhash": oracle.NEAR_DUP,
     "op11_periodic": oracle.PERIODIC,
+    "op12_divergence": oracle.DIVERGENCE,
 }
