@@ -82,3 +82,18 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) /
 SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
 FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 200
 """
+
+JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+sized AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+num AS (SELECT s, row_number() OVER () AS k FROM (SELECT s FROM sh GROUP BY s HAVING count(*) > 1)),
+sn AS (SELECT doc_id, k FROM sh JOIN num USING (s)),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sn a JOIN sn b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN comp USING (doc_id) LEFT JOIN sized USING (doc_id)
+"""

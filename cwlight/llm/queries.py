@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cwlight.llm import ann, decontam, divergence, langid, oracle, periodic, pieces, pii, secrets, toxicity, warc
+from cwlight.llm.jaccard_join import jaccard_components
 from cwlight.llm.near_dup import near_duplicates
 from cwlight.llm.substring import remove_repeats
 
@@ -68,6 +69,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_nearest": op2_nearest,
@@ -81,6 +86,7 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_periodic": op11_periodic,
     "op12_divergence": op12_divergence,
+    "op13_jaccard": op13_jaccard,
 }
 ORACLE = {
     "op6_substring": oracle.SUBSTRING,
@@ -88,4 +94,5 @@ ORACLE = {
     "op10_minhash": oracle.NEAR_DUP,
     "op11_periodic": oracle.PERIODIC,
     "op12_divergence": oracle.DIVERGENCE,
+    "op13_jaccard": oracle.JACCARD,
 }
