@@ -366,6 +366,14 @@ for _name in short_separation.BANDS:
     QUERIES[f"bandpass_{_name}"], ORACLE[f"bandpass_{_name}"] = _band(_name), _band_sql(_name, DIGITS[_name])
 
 
+def bandpass_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The respiration band of channels cut into blocks, none of which a task sees whole."""
+    return _rounded(short_separation.bandpass(rec.vector_samples(spark, sf_dir), FS, "respiration", split=24), DIGITS["respiration"])
+
+
+QUERIES["bandpass_split"], ORACLE["bandpass_split"] = bandpass_split, ORACLE["bandpass_respiration"]
+
+
 def _sci_sql() -> str:
     b, a = (x.tolist() for x in kernels.butterworth(3, (0.7, 1.5), FS))
     core = CORE.removeprefix(f"{VEC}, ").replace("FROM vec v", "FROM filtered v")

@@ -7,10 +7,14 @@ columns of a matrix: their recursion then takes one step per sample for all.
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
+from functools import lru_cache
 
 import numpy as np
 
 ROOT_EPS = math.sqrt(np.finfo(float).eps)
+#: Decimal digits of the powers that join blocks of a filter.
+DIGITS = 60
 
 
 # Filters -------------------------------------------------------------------
@@ -54,6 +58,40 @@ def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, past_in: float | np.n
     return out[memory:]
 
 
+def driven(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Outputs for ``x`` behind its first ``len(b) - 1`` values, which only lead in, and behind the outputs ``state``."""
+    before = len(b) - 1
+    return recursive(np.ones(1), a, sum(tap * x[before - j : len(x) - j] for j, tap in enumerate(b)), 0.0, state)
+
+
+@lru_cache(maxsize=256)
+def _power(back: tuple[float, ...], n: int) -> list[list[Decimal]]:
+    """The ``n``-th power of the matrix that moves a state of past outputs, the newest last, by one sample without input."""
+    m = len(back)
+    turn = lambda x, y: [[sum(x[i][k] * y[k][j] for k in range(m)) for j in range(m)] for i in range(m)]
+    with localcontext() as exact:
+        exact.prec = DIGITS
+        step = [[Decimal(int(j == i + 1)) for j in range(m)] for i in range(m - 1)] + [[Decimal(x) for x in back]]
+        out = [[Decimal(int(i == j)) for j in range(m)] for i in range(m)]
+        while n:
+            if n & 1:
+                out = turn(out, step)
+            step, n = turn(step, step), n >> 1
+    return out
+
+
+def faded(a: np.ndarray, n: int, state: np.ndarray) -> np.ndarray:
+    """The last outputs once ``n`` samples without input have passed, from those before, the newest last.
+
+    Powers of this matrix lose all digits of a double for narrow bands, whose
+    poles nearly meet, so they are taken in decimals.
+    """
+    with localcontext() as exact:
+        exact.prec = DIGITS
+        given = [Decimal(x) for x in np.asarray(state, float).tolist()]
+        return np.array([float(sum(x * y for x, y in zip(row, given))) for row in _power(tuple((-a[1:] / a[0])[::-1].tolist()), n)])
+
+
 def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray, ends: str) -> np.ndarray:
     """Zero phase.  ``hold``: each pass starts as if its first sample had always been; ``zeros``: from rest, with zeros behind the end."""
     gain = b.sum() / a.sum()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cwlight.functions import kernels
+from cwlight.operators import split_filter
 from cwlight.operators.motion import KEY, block, by_length, per_channel
 from cwlight.sources.tables import current
 
@@ -34,9 +35,11 @@ def in_windows(samples: DataFrame, n: int, size: int, step: int) -> DataFrame:
     return rows.withColumn("window", F.explode(F.sequence("first", "last"))).drop("first", "last")
 
 
-def quality_filter(samples: DataFrame, fs: float, low: float = 0.7, high: float = 1.5, order: int = 3) -> DataFrame:
-    """Band filter of whole channels, once, before any window is cut."""
+def quality_filter(samples: DataFrame, fs: float, low: float = 0.7, high: float = 1.5, order: int = 3, split: int | None = None) -> DataFrame:
+    """Band filter of whole channels, once, before any window is cut; with ``split``, by blocks of that many samples."""
     b, a = kernels.butterworth(order, (low, high), fs)
+    if split is not None:
+        return split_filter.both_ways(samples, b, a, "hold", split)
     return per_channel(samples, lambda x: kernels.both_ways(b, a, x, "hold"))
 
 

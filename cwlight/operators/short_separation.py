@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cwlight.functions import kernels
+from cwlight.operators import split_filter
 from cwlight.operators.geometry import nearest_short
 from cwlight.operators.motion import KEY, SIGNAL, per_channel, whole
 
 #: Physiological bands in Hz.
 BANDS = {"mayer": (0.07, 0.13), "respiration": (0.15, 0.40), "cardiac": (0.70, 2.00)}
 TINY = kernels.ROOT_EPS
+#: Parts into which the design columns of a recording are dealt.
+DEAL = 4
 
 
 def exact_lag(lag_seconds: float, fs: float) -> int:
@@ -76,12 +79,24 @@ def regress_all(samples: DataFrame, mapped: DataFrame, fs: float, lag_seconds: f
     return rows.groupBy("recording", "wavelength_nm").applyInPandas(run, SIGNAL)
 
 
-def bandpass(samples: DataFrame, fs: float, band: str = "mayer", range_hz: tuple[float, float] | None = None, order: int = 3) -> DataFrame:
-    """Each channel's zero-phase Butterworth band."""
+def bandpass(samples: DataFrame, fs: float, band: str = "mayer", range_hz: tuple[float, float] | None = None, order: int = 3, split: int | None = None) -> DataFrame:
+    """Each channel's zero-phase Butterworth band.
+
+    With ``split`` a channel is filtered in blocks of that many samples, so that
+    no task holds a whole one; else channels go to tasks whole.
+    """
     edges = range_hz or BANDS[band]
     if not 0 < edges[0] < edges[1] < fs / 2:
         raise ValueError("a band must increase and lie below half the sampling rate")
-    return per_channel(samples, lambda x: kernels.bandpass(x, fs, edges, order))
+    if split is None:
+        return per_channel(samples, lambda x: kernels.bandpass(x, fs, edges, order))
+    b, a = kernels.butterworth(order, edges, fs)
+    least = 2 * max(len(a), len(b)) + 1
+    known = samples.groupBy(*KEY).agg((F.min("value") == F.max("value")).alias("flat"), F.count(F.lit(1)).alias("n"))
+    short = F.raise_error(F.lit(f"a band filter of order {order} needs {least} samples")).cast("boolean")
+    known = known.select(*KEY, F.when(F.col("n") >= least, F.col("flat")).otherwise(short).alias("flat"))
+    out = split_filter.both_ways(samples, b, a, "zeros", split).join(known, KEY)
+    return out.select(*KEY, "sample", F.when(F.col("flat"), 0.0).otherwise(F.col("value")).alias("value"))
 
 
 def design_columns(samples: DataFrame, mapped: DataFrame, aggregation: str = "all") -> DataFrame:
@@ -97,19 +112,24 @@ def design_columns(samples: DataFrame, mapped: DataFrame, aggregation: str = "al
 
 
 def with_bands(design: DataFrame, fs: float, bands: dict[str, tuple[float, float]], order: int = 3) -> DataFrame:
-    """The design with a band-passed copy of each column for each band."""
-    out = design
+    """The design with a band-passed copy of each column for each band.
 
-    def copy(name: str, edges: tuple[float, float]) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("sample")
-            return pdf.assign(column=pdf["column"] + f"_{name}", value=kernels.bandpass(pdf["value"].to_numpy(float), fs, edges, order))
-
-        return design.groupBy("recording", "column").applyInPandas(run, design.schema)
+    Columns of one length in a recording are filtered as one matrix, for all
+    bands, in one group and one read of the design.
+    """
 
-    for name, edges in bands.items():
-        out = out.unionByName(copy(name, edges))
-    return out
+    def copies(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["column", "sample"], ignore_index=True)
+        size = pdf.groupby("column")["sample"].transform("size")
+        out = [pdf]
+        for n in size.unique():
+            part = pdf[size == n]
+            x = part["value"].to_numpy(float).reshape(-1, int(n)).T
+            out += [part.assign(column=part["column"] + f"_{name}", value=kernels.bandpass(x, fs, edges, order).T.ravel()) for name, edges in bands.items()]
+        return pd.concat(out)
+
+    part = F.pmod(F.xxhash64("column"), F.lit(DEAL))
+    return design.groupBy("recording", part).applyInPandas(copies, design.schema)
 
 
 def standardized(design: DataFrame) -> DataFrame:
