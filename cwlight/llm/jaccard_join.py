@@ -49,6 +49,9 @@ from cwlight.llm.near_dup import components, confirm, fingerprint, shingle_sets
 WIDTH = 1 << 23
 #: Light sets hold this many shingles at most.
 LIGHT = 256
+#: What one entry of a list is taken to cost at most: however long the list, it is compared with the middle
+#: member, and with others only while components are apart.
+SCANNED = 16
 #: 64-bit words of a parity map.
 MAP = 16
 #: Ids broadcast at most to choose the texts whose full sets are needed.
@@ -97,7 +100,7 @@ def signed(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> Dat
                     fp.append(fingerprint(s))
                     first.append(s[order])
                     maps.append(parity(s))
-                    scan.append(float(np.maximum(1.0, often[order] - noise).sum()))
+                    scan.append(float(np.clip(often[order] - noise, 1, SCANNED).sum()))
                 fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
