@@ -41,16 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cwlight.llm import sketch
 from cwlight.llm.common import cut, pieces, small, text_buffer, total_bytes
 from cwlight.llm.wordhash import BYTE, ODD, mix, powers
 
 ROWS, TASKS = 3, 4
-PIECE, CELLS = 2 << 20, 1 << 16
+PIECE = 2 << 20
 #: Rows of counts that a task of the second pass holds before it sends them.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Groups that are broadcast to the counts at most.
 FEW = 1 << 16
-COUNTS = "lang string, source string, term string, n long, docs long"
+COUNTS = "lang string, term string, docs long, of array<struct<source: string, n: long>>"
 
 LETTER = np.zeros(256, bool)
 LETTER[np.r_[65:91, 97:123, 128:256]] = True
@@ -121,55 +122,37 @@ def _pieces(batches):
             yield _Piece((raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), batch.column("lang").slice(a, b - a), batch.column("source").slice(a, b - a))
 
 
-def _add(sketch: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-    """Adds ``n`` to the cells ``at``, up to 255."""
-    u, inverse = np.unique(at, return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(u))
-    sketch[u] = np.minimum(sketch[u] + total, 255).astype(np.uint8)
-
-
 def document_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Count-min sketch of the documents that hold each (language, term): ``ROWS`` times ``width`` cells, up to 255."""
-    spark = docs.sparkSession
 
-    def count(batches):
-        sketch = np.zeros(ROWS * width, np.uint8)
+    def fill(batches, counts):
         for piece in _pieces(batches):
             key, n = piece.documents(piece.lang)
             d = max(1, len(piece.words))
-            _add(sketch, cells(piece.keys(key // d, key % d), width).ravel(), np.tile(n, ROWS))
-        body = sketch.reshape(-1, CELLS)
-        for i in np.flatnonzero(body.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([body[i].tobytes()])], names=["part", "body"])
-
-    def merge(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                have = parts.setdefault(i, np.zeros(CELLS, np.uint16))
-                np.minimum(have + np.frombuffer(body.as_buffer(), np.uint8), 255, out=have)
-        for i, have in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([have.astype(np.uint8).tobytes()])], names=["part", "body"])
-
-    schema = "part int, body binary"
-    made = docs.coalesce(max(1, TASKS * spark.sparkContext.defaultParallelism)).mapInArrow(count, schema)
-    out = np.zeros((ROWS * width // CELLS, CELLS), np.uint8)
-    for row in made.repartition("part").mapInArrow(merge, schema).toLocalIterator():
-        out[row["part"]] = np.frombuffer(row["body"], np.uint8)
-    return out.ravel()
-
-
-def _counts(docs: DataFrame, sketch: np.ndarray, width: int, least: int) -> DataFrame:
-    """(lang, source, term, n, docs) as each task counts them, without terms whose estimate is below ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+            sketch.add(counts, cells(piece.keys(key // d, key % d), width).ravel(), np.tile(n, ROWS))
+
+    return sketch.merged(docs, fill, ROWS * width, np.uint8, TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _counts(docs: DataFrame, seen: np.ndarray, width: int, least: int) -> DataFrame:
+    """(lang, term, docs, of) as each task counts them, ``of`` listing (source, n), without terms whose estimate is below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches):
         held, size = [], 0
 
         def total() -> pa.Table:
-            t = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+            t = pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
             return t.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
 
+        def packed(t: pa.Table):
+            """One row for each term, so that a term is sent once for all its sources."""
+            t = t.group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")])
+            for batch in t.to_batches(max_chunksize=1 << 15):
+                sources, n = batch.column("source_list"), batch.column("n_list")
+                of = pa.ListArray.from_arrays(sources.offsets, pa.StructArray.from_arrays([sources.values, n.values], ["source", "n"]))
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("term"), batch.column("docs_sum"), of], names=["lang", "term", "docs", "of"])
+
         for piece in _pieces(batches):
             d, s = max(1, len(piece.words)), max(1, len(piece.sources))
             group = piece.lang * s + piece.source
@@ -184,10 +167,11 @@ def _counts(docs: DataFrame, sketch: np.ndarray, width: int, least: int) -> Data
                 held = [total()]
                 size = len(held[0])
                 if size > HELD // 2:
-                    yield from held[0].to_batches(max_chunksize=1 << 16)
-                    held, size = [], 0
+                    yield from packed(held.pop())
+                    size = 0
+                pa.default_memory_pool().release_unused()
         if size:
-            yield from total().to_batches(max_chunksize=1 << 16)
+            yield from packed(total())
 
     return docs.mapInArrow(run, COUNTS)
 
@@ -196,9 +180,11 @@ def kept_counts(docs: DataFrame, least: int) -> DataFrame:
     """(lang, source, term, n, whole): occurrences in a source and in its language of terms in at least ``least`` documents of the language."""
     if not 1 <= least <= 255:
         raise ValueError("least must lie within 1 and 255")
-    width = 1 << min(24, max(16, (total_bytes(docs) // 32).bit_length()))
+    width = sketch.width_for(total_bytes(docs) // 32, 1 << 16, 1 << 24)
     found = _counts(docs, document_sketch(docs, width), width, least).repartition("lang", "term")
-    exact = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Documents of a row are told once, beside its first source.
+    each = found.select("lang", "term", "docs", F.posexplode("of")).select("lang", "term", "col.source", "col.n", F.when(F.col("pos") == 0, F.col("docs")).otherwise(0).alias("docs"))
+    exact = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     line = Window.partitionBy("lang", "term")
     return exact.select("lang", "source", "term", "n", F.sum("n").over(line).alias("whole"), F.sum("docs").over(line).alias("docs")).where(F.col("docs") >= least).drop("docs")
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from cwlight.llm import divergence as dv
+from cwlight.llm import sketch
 from cwlight.llm.queries import ORACLE, QUERIES
 from tests.llm.edge import ODD
 
@@ -75,7 +76,7 @@ def test_odd_rows_and_empty_tables(spark):
 def test_sketch_never_underestimates_and_drops_lone_terms(spark):
     rows = mixed(2) + [(" ".join("q" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(j, j + 40)), "en", "s1") for j in range(0, 400, 40)]
     width = 1 << 16
-    sketch = dv.document_sketch(frame(spark, rows).na.fill("").repartition(7), width)
+    counts = dv.document_sketch(frame(spark, rows).na.fill("").repartition(7), width)
     true = defaultdict(Counter)
     for text, lang, _ in rows:
         true[lang or ""].update(set(TERM.findall((text or "").translate(LOWER))))
@@ -83,16 +84,16 @@ def test_sketch_never_underestimates_and_drops_lone_terms(spark):
     for lang, seen in true.items():
         piece = dv._Piece((np.frombuffer(" ".join(seen).encode(), np.uint8), np.array([0, len(" ".join(seen).encode())])), pa.array([lang]), pa.array(["s"]))
         words = piece.words.to_pylist()
-        estimate = sketch[dv.cells(piece.keys(np.zeros(len(words), np.int64), np.arange(len(words))), width)].min(axis=0)
+        estimate = counts[dv.cells(piece.keys(np.zeros(len(words), np.int64), np.arange(len(words))), width)].min(axis=0)
         assert all(e >= min(255, seen[w]) for e, w in zip(estimate.tolist(), words))
         low += int((estimate < 3).sum())
     assert low > 300
 
 
 def test_cells_stop_at_their_top():
-    sketch = np.zeros(8, np.uint8)
-    dv._add(sketch, np.array([1, 1, 2]), np.array([200, 100, 7]))
-    assert sketch.tolist() == [0, 255, 7, 0, 0, 0, 0, 0]
+    counts = np.zeros(8, np.uint8)
+    sketch.add(counts, np.array([1, 1, 2]), np.array([200, 100, 7]))
+    assert counts.tolist() == [0, 255, 7, 0, 0, 0, 0, 0]
 
 
 def test_shares_of_counts_beyond_a_long_product(spark):
