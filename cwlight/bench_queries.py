@@ -496,7 +496,7 @@ def uniform_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The first and the last channels of each wavelength; together they are all channels of a recording.
 REGIONS = {f"{side}_{nm}": tuple(range(first + at, first + rec.CHANNELS // 2, 2)) for at, nm in enumerate((760, 850)) for side, first in (("left", 0), ("right", rec.CHANNELS // 2))}
-PLAN = Plan(fs=FS, regions=REGIONS, contrast={f"lateral_{nm}": {f"left_{nm}": 1.0, f"right_{nm}": -1.0} for nm in (760, 850)}, baseline_seconds=2.0, update_seconds=0.2, smoothing_seconds=0.4)
+PLAN = Plan(fs=FS, regions=REGIONS, contrast={f"lateral_{nm}": {**dict.fromkeys(REGIONS, 0.0), f"left_{nm}": 1.0, f"right_{nm}": -1.0} for nm in (760, 850)}, baseline_seconds=2.0, update_seconds=0.2, smoothing_seconds=0.4)
 
 
 #: In closed form: chunks of two samples, a baseline of the first 20, and from sample 22 on an update with every chunk.

@@ -8,13 +8,16 @@ one update leaves a chunk, at its last sample.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from cwlight.streaming.delivery import CAPACITY, ChunkQueue, Ledger
 
 UPDATE = "stream string, sequence long, time double, scheduled double, target string, value double, skipped string, skipped_count long"
 
@@ -34,8 +37,12 @@ class Plan:
         used = [c for cs in self.regions.values() for c in cs]
         if not used or len(used) != len(set(used)):
             raise ValueError("regions must not be empty or share channels")
-        if any(set(w) - set(self.regions) for w in self.contrast.values()):
-            raise ValueError("a contrast names an unknown region")
+        if not self.contrast or any(set(w) != set(self.regions) for w in self.contrast.values()):
+            raise ValueError("each target of a contrast must name every region exactly, with weight 0 where it has none")
+        if not all(np.isfinite(x) for w in self.contrast.values() for x in w.values()):
+            raise ValueError("weights must be finite")
+        if not all(self.regions.values()) or not all([*self.regions, *self.contrast]):
+            raise ValueError("regions need members, regions and targets names")
         if not (0 < self.baseline_seconds <= 1800 and 1 / 120 <= self.update_seconds <= 1 and 0 < self.smoothing_seconds <= 600):
             raise ValueError("baseline, update or smoothing seconds out of range")
 
@@ -149,44 +156,134 @@ def replay(samples: DataFrame, plan: Plan) -> DataFrame:
     return samples.groupBy("stream").applyInPandas(run, UPDATE)
 
 
-def live(samples: DataFrame, plan: Plan) -> DataFrame:
-    """Updates of a streaming DataFrame of the same rows; state is kept per stream, trimmed to the smoothing window."""
+STATES = {"sent": "sent long", "clock": "start double, due double, count long", "baseline": "total array<double>, mean array<double>", "window": "t double, regions array<double>", "waiting": "t double, regions array<double>"}
+#: State with a type for each part needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Stream(StatefulProcessor):
+    """``advance`` over typed state: values (updates sent, clock, baseline) and lists (the smoothing window, samples short of a chunk).
 
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = State(**json.loads(state.get[0])) if state.exists else State()
-        pdf = pd.concat(list(pdfs)).sort_values("t")
-        rows = advance(plan, s, pdf["t"].to_numpy(float), np.stack(pdf["channels"].to_numpy()))
-        state.update((json.dumps(asdict(s)),))
-        yield _table(plan, key[0], rows)
+    All but the number of updates sent is forgotten in time, so a stream that
+    comes back goes on with the next number.
+    """
 
-    return samples.groupBy("stream").applyInPandasWithState(run, UPDATE, "state string", "append", "NoTimeout")
+    def __init__(self, plan: Plan, forget_seconds: float | None) -> None:
+        self.plan, self.ttl = plan, None if forget_seconds is None else int(1000 * forget_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value, listed = handle.getValueState, handle.getListState
+        self.states = {name: (listed if name in ("window", "waiting") else value)(name, schema, None if name == "sent" else self.ttl) for name, schema in STATES.items()}
+
+    def _read(self) -> State:
+        sent, clock, baseline, window, waiting = self.states.values()
+        number = sent.get()[0] if sent.exists() else 0
+        if not clock.exists():
+            return State(sent=number)
+        start, due, count = clock.get()
+        total, mean = baseline.get()
+        near, short = ([(t, list(x)) for t, x in s.get()] if s.exists() else [] for s in (window, waiting))
+        split = lambda rows: ([t for t, _ in rows], [x for _, x in rows])
+        return State(start, list(total), count, None if mean is None else list(mean), due, number, *split(near), *split(short))
+
+    def _write(self, s: State) -> None:
+        sent, clock, baseline, window, waiting = self.states.values()
+        sent.update((s.sent,))
+        clock.update((s.start, s.due, s.count))
+        baseline.update((s.total, s.baseline))
+        for state, times, values in ((window, s.times, s.values), (waiting, s.waiting_times, s.waiting)):
+            if times:
+                state.put(list(zip(times, values)))
+            else:
+                state.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values("t")
+        s = self._read()
+        out = advance(self.plan, s, pdf["t"].to_numpy(float), np.stack(pdf["channels"].to_numpy()))
+        self._write(s)
+        yield _table(self.plan, key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
+def live(samples: DataFrame, plan: Plan, forget_seconds: float | None = None) -> DataFrame:
+    """Updates of a streaming DataFrame of the same rows.
+
+    State is kept per stream and trimmed to the smoothing window; with
+    ``forget_seconds`` a stream silent for so long is forgotten, and one that
+    comes back then starts with a new baseline.  The query must run with ``STORE`` as its state
+    store (``Feedback`` sees to that).
+    """
+    mode = "None" if forget_seconds is None else "ProcessingTime"
+    return samples.groupBy("stream").transformWithStateInPandas(_Stream(plan, forget_seconds), UPDATE, "append", mode)
 
 
 class Feedback:
     """A live query from start to stop.  It cannot be started twice, or stepped once it has stopped.
 
-    Updates go to a table in memory, or to Parquet files in ``folder``: with the
-    checkpoint, Spark's file sink keeps each update once, also over restarts.
+    ``samples`` is a streaming DataFrame, all of which a step works off, or a
+    ``ChunkQueue``, from which a step takes as many chunks as it is told.
+    Updates go to a table in memory, or to a ``Ledger`` in ``folder``: there each
+    comes once, with a receipt, also over restarts and replayed batches.
     """
 
-    def __init__(self, samples: DataFrame, plan: Plan, name: str, checkpoint: str, folder: str | None = None) -> None:
-        self.updates, self.name, self.checkpoint, self.query, self.status = live(samples, plan), name, checkpoint, None, "created"
+    def __init__(self, samples: DataFrame | ChunkQueue, plan: Plan, name: str, checkpoint: str, folder: str | None = None, forget_seconds: float | None = None) -> None:
+        self.queue = samples if isinstance(samples, ChunkQueue) else None
+        # Over a queue, or where streams are forgotten by the clock, each step is a query that ends.
+        self.stepwise = self.queue is not None or forget_seconds is not None
+        if self.stepwise and folder is None:
+            raise ValueError("steps over a queue, and streams that are forgotten, need a folder for their updates")
+        rows = samples if self.queue is None else self.queue.stream()
+        self.updates, self.name, self.checkpoint, self.query, self.status = live(rows, plan, forget_seconds), name, checkpoint, None, "created"
+        # By the clock there is always one more batch to look for what is forgotten, so such a step is one batch.
+        self.trigger = {"availableNow": True} if forget_seconds is None else {"once": True}
         self.folder = folder
+        self.ledger = None if folder is None else Ledger(rows.sparkSession, folder, checkpoint)
+
+    @property
+    def _spark(self) -> SparkSession:
+        return self.updates.sparkSession
+
+    def _run(self, **trigger):
+        """The query, begun with the store that typed state needs; the session keeps its own setting."""
+        out = self.updates.writeStream.outputMode("append").queryName(self.name).option("checkpointLocation", self.checkpoint)
+        out = out.format("memory") if self.ledger is None else out.foreachBatch(self.ledger.commit)
+        key = "spark.sql.streaming.stateStore.providerClass"
+        before = self._spark.conf.get(key, None)
+        self._spark.conf.set(key, STORE)
+        try:
+            return (out.trigger(**trigger) if trigger else out).start()
+        finally:
+            self._spark.conf.unset(key) if before is None else self._spark.conf.set(key, before)
 
     def start(self) -> Feedback:
         if self.status != "created":
             raise RuntimeError(f"cannot start: {self.status}")
-        out = self.updates.writeStream.outputMode("append").queryName(self.name).option("checkpointLocation", self.checkpoint)
-        self.query = out.format("memory").start() if self.folder is None else out.format("parquet").option("path", self.folder).start()
+        if not self.stepwise:
+            self.query = self._run()
         self.status = "running"
         return self
 
-    def step(self) -> Feedback:
-        """Works off all that has arrived."""
+    def step(self, max_chunks: int = CAPACITY) -> Feedback:
+        """Works off all that has arrived or, from a queue, at most ``max_chunks`` chunks, oldest first.
+
+        A queue in which more than its capacity waits, a gap in the clock or in
+        the updates, and another writer in the folder end the loop.
+        """
         if self.status != "running":
             raise RuntimeError(f"cannot step: {self.status}")
+        if not (isinstance(max_chunks, int) and 1 <= max_chunks <= 100_000):
+            raise ValueError("max_chunks must be a whole number from 1 to 100000")
         try:
-            self.query.processAllAvailable()
+            if not self.stepwise:
+                self.query.processAllAvailable()
+            else:
+                if self.queue is not None:
+                    self.queue.admit(max_chunks)
+                self.query = self._run(**self.trigger)
+                self.query.awaitTermination()
         except Exception:
             self.status = "error_stopped"
             raise
@@ -194,13 +291,13 @@ class Feedback:
 
     def state(self, last: int = 512) -> DataFrame:
         """The last updates, newest first."""
-        spark = self.updates.sparkSession
-        rows = spark.table(self.name) if self.folder is None else spark.read.schema(self.updates.schema).parquet(self.folder)
-        return rows.orderBy("time", ascending=False).limit(last)
+        rows = self._spark.table(self.name) if self.ledger is None else self.ledger.updates()
+        return rows.orderBy(F.desc("time"), "stream", "target").limit(last)
 
     def stop(self) -> None:
-        if self.query is not None and self.status == "running":
-            self.query.stop()
+        if self.status == "running":
+            if self.query is not None:
+                self.query.stop()
             self.status = "stopped"
 
     def __repr__(self) -> str:

@@ -35,6 +35,8 @@ def test_plans_are_checked():
         Plan(fs=10, regions={"a": (0,), "b": (0,)}, contrast={})
     with pytest.raises(ValueError):
         Plan(fs=10, regions={"a": (0,)}, contrast={"x": {"b": 1.0}})
+    with pytest.raises(ValueError, match="every region"):
+        Plan(fs=10, regions={"a": (0,), "b": (1,)}, contrast={"x": {"b": 1.0}})
 
 
 def test_stream_equals_replay(spark, tmp_path):
