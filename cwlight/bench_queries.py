@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cwlight.functions import kernels, optics
 from cwlight.operators import geometry, measurements, motion, quality, short_separation
-from cwlight.operators.mbll import mbll
+from cwlight.operators.mbll import mbll, with_distance, with_pathlength
 from cwlight.operators.optical_density import intensity_to_od
 from cwlight.plans import recordings as rec
 from cwlight.streaming.feedback import Plan, replay
@@ -233,18 +233,43 @@ def design_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(short_separation.with_bands(mean, FS, {"respiration": short_separation.BANDS["respiration"]}), 6)
 
 
-@query(f"""WITH {VEC}, {CH}, e(nm, o, r) AS (VALUES (760, 586.0::DOUBLE, 1548.52::DOUBLE), (850, 1058.0::DOUBLE, 691.32::DOUBLE)),
-      c AS (SELECT recording, channel, pair, o * 100 * ln(10.0) * d * 6 AS eo, r * 100 * ln(10.0) * d * 6 AS er FROM ch JOIN e USING (nm)),
+def _mbll_sql(factor: str = "6", distance: str = "d") -> str:
+    return f"""WITH {VEC}, {CH}, e(nm, o, r) AS (VALUES (760, 586.0::DOUBLE, 1548.52::DOUBLE), (850, 1058.0::DOUBLE, 691.32::DOUBLE)),
+      c AS (SELECT recording, channel, pair, o * 100 * ln(10.0) * ({distance}) * ({factor}) AS eo, r * 100 * ln(10.0) * ({distance}) * ({factor}) AS er FROM ch JOIN e USING (nm)),
       p AS (SELECT recording, pair, sum(eo * eo) AS oo, sum(eo * er) AS co, sum(er * er) AS rr FROM c GROUP BY 1, 2 HAVING count(*) = 2),
-      w AS (SELECT c.recording, channel, pair, (rr * eo - co * er) / (oo * rr - co * co) * 1e6 AS wo, (oo * er - co * eo) / (oo * rr - co * co) * 1e6 AS wr FROM c JOIN p USING (recording, pair)),
+      w AS (SELECT c.recording, channel, pair, (rr * eo - co * er) / (oo * rr - co * co) * 1e6 AS wo, (oo * er - co * eo) / (oo * rr - co * co) * 1e6 AS wr FROM c LEFT JOIN p USING (recording, pair)),
       s AS (SELECT w.recording, pair, sample, sum(wo * value) AS hbo, sum(wr * value) AS hbr FROM w JOIN vec v ON w.recording = v.recording AND w.channel = v.channel GROUP BY 1, 2, 3)
-      SELECT recording, pair, sample, round(hbo, 6) + 0.0 AS hbo, round(hbr, 6) + 0.0 AS hbr, round(hbo + hbr, 6) + 0.0 AS hbt FROM s""")
-def mbll_hbo_hbr_hbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+      SELECT recording, pair, sample, round(hbo, 6) + 0.0 AS hbo, round(hbr, 6) + 0.0 AS hbr, round(hbo + hbr, 6) + 0.0 AS hbt FROM s"""
+
+
+def _mbll(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
+    """Every pair has rows; one with a single wavelength has nulls."""
     grid = spark.createDataFrame([(float(k), a, b) for k, (a, b) in optics.EXTINCTION.items()], "nm double, hbo double, hbr double")
-    placed = _placed(spark, sf_dir).withColumn("pathlength_factor", F.lit(6.0))
-    channels = optics.extinction(placed, grid).where("wavelength_nm IS NOT NULL")
-    paired = channels.join(channels.groupBy("recording", "pair").agg(F.count(F.lit(1)).alias("k")).where("k = 2"), ["recording", "pair"], "left_semi")
-    return _rounded(mbll(rec.vector_samples(spark, sf_dir).withColumnRenamed("value", "od"), paired), 6)
+    return _rounded(mbll(rec.vector_samples(spark, sf_dir).withColumnRenamed("value", "od"), optics.extinction(placed, grid), incomplete="null"), 6)
+
+
+@query(_mbll_sql())
+def mbll_hbo_hbr_hbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mbll(spark, sf_dir, with_pathlength(_placed(spark, sf_dir), 6.0))
+
+
+@query(_mbll_sql("CASE nm WHEN 760 THEN 6.25 ELSE 5.5 END"))
+def mbll_factor_by_wavelength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = rec.vector_channels(spark, sf_dir).select("wavelength_nm").distinct().withColumn("pathlength_factor", F.when(F.col("wavelength_nm") == 760, 6.25).otherwise(5.5))
+    return _mbll(spark, sf_dir, with_pathlength(_placed(spark, sf_dir), table))
+
+
+@query(_mbll_sql("5 + channel / 32.0"))
+def mbll_factor_by_measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = rec.vector_channels(spark, sf_dir).select("recording", "channel", (5 + F.col("channel") / 32.0).alias("pathlength_factor"))
+    return _mbll(spark, sf_dir, with_pathlength(_placed(spark, sf_dir), table))
+
+
+@query(_mbll_sql("6", "0.02 + pair / 512.0"))
+def mbll_distance_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = with_pathlength(_placed(spark, sf_dir), 6.0)
+    table = placed.select("recording", "pair").distinct().withColumn("distance_m", 0.02 + F.col("pair") / 512.0)
+    return _mbll(spark, sf_dir, with_distance(placed, table))
 
 
 _AHEAD = "greatest(max(value) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) - value, value - min(value) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"
@@ -339,11 +364,38 @@ def wavelet_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.wavelet_correct(rec.vector_samples(spark, sf_dir)), 6)
 
 
-@query()
+def _spline_sql() -> str:
+    """Samples lie evenly, so one elimination serves the masked stretches of every length; stretches are levelled by running sums."""
+    p, h = 0.99, 1 / FS
+    k, inv = 6 * (1 - p), FS
+    d0, d1, d2 = 6 * k * inv**2 + 4 * p * h, -4 * k * inv**2 + p * h, k * inv**2
+    reach = f"CASE WHEN n < {0.3 * FS} THEN n WHEN n < {3 * FS} THEN {max(1, int(0.3 * FS))} ELSE n // 10 END"
+    return f"""WITH RECURSIVE {GROUPED},
+      elim AS (SELECT 1 AS i, {d0!r}::DOUBLE AS d, 0::DOUBLE AS below, 0::DOUBLE AS l1, 0::DOUBLE AS l2
+        UNION ALL SELECT i + 1, {d0!r} - f1 * f1 * d - f2 * f2 * below, d, f1, f2
+        FROM (SELECT i, d, below, f2, ({d1!r} - f2 * below * l1) / d AS f1 FROM (SELECT *, CASE WHEN i >= 2 THEN {d2!r} / below ELSE 0 END AS f2 FROM elim)) WHERE i < {N}),
+      fac AS (SELECT list(d ORDER BY i) AS d, list(l1 ORDER BY i) AS l1, list(l2 ORDER BY i) AS l2 FROM elim),
+      flag AS (SELECT g.*, v.value, CASE WHEN masked = lag(masked) OVER w THEN 0 ELSE 1 END AS new FROM grouped g JOIN vec v USING (recording, channel, sample) WINDOW w AS (PARTITION BY g.recording, g.channel ORDER BY sample)),
+      seg AS (SELECT recording, channel, k, min(sample) AS a, count(*) AS n, any_value(masked) AS masked, list(value ORDER BY sample) AS y
+        FROM (SELECT *, sum(new) OVER (PARTITION BY recording, channel ORDER BY sample) AS k FROM flag) GROUP BY ALL),
+      fwd AS (SELECT recording, channel, k, n, y, 0 AS i, []::DOUBLE[] AS z FROM seg WHERE masked AND n > 2
+        UNION ALL SELECT recording, channel, k, n, y, i + 1, list_append(z, {inv!r} * (y[i + 3] - 2 * y[i + 2] + y[i + 1])
+          - CASE WHEN i >= 1 THEN l1[i + 1] * z[i] ELSE 0 END - CASE WHEN i >= 2 THEN l2[i + 1] * z[i - 1] ELSE 0 END) FROM fwd, fac WHERE i < n - 2),
+      back AS (SELECT recording, channel, k, n, z, n - 2 AS i, [0, 0]::DOUBLE[] AS u FROM fwd WHERE i = n - 2
+        UNION ALL SELECT recording, channel, k, n, z, i - 1, list_prepend(z[i] / d[i] - CASE WHEN i + 1 <= n - 2 THEN l1[i + 1] * u[1] ELSE 0 END - CASE WHEN i + 2 <= n - 2 THEN l2[i + 2] * u[2] ELSE 0 END, u) FROM back, fac WHERE i > 0),
+      bent AS (SELECT recording, channel, k, list_prepend(0::DOUBLE, u)[1:n] AS u FROM back WHERE i = 0),
+      raw AS (SELECT recording, channel, k, a, n, masked, y, {reach} AS r, CASE WHEN NOT masked THEN y WHEN u IS NULL THEN [0.0 for x in y]
+        ELSE [{k * inv!r} * (CASE WHEN j < n THEN u[j + 1] - u[j] ELSE 0 END - CASE WHEN j > 1 THEN u[j] - u[j - 1] ELSE 0 END) for j in range(1, n + 1)] END AS x
+        FROM seg LEFT JOIN bent USING (recording, channel, k)),
+      ends AS (SELECT *, list_avg(x[1:r]) AS head, list_avg(x[n - r + 1:n]) AS tail, list_avg(y[1:r]) AS clean FROM raw),
+      rise AS (SELECT *, sum(CASE WHEN before IS NOT NULL THEN before - head WHEN masked THEN after - tail ELSE 0 END) OVER (PARTITION BY recording, channel ORDER BY k) AS lift
+        FROM (SELECT *, lag(tail) OVER w AS before, lead(clean) OVER w AS after FROM ends WINDOW w AS (PARTITION BY recording, channel ORDER BY k)))
+      SELECT recording, channel, unnest(range(a, a + n)) AS sample, round(unnest(x) + lift, 6) + 0.0 AS value FROM rise"""
+
+
+@query(_spline_sql())
 def spline_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = motion_mask_grouped(spark, sf_dir)
-    clean = mask.groupBy("recording", "channel").agg(F.bool_and("masked").alias("lost")).where("NOT lost").drop("lost")
-    return _rounded(motion.spline_correct(rec.vector_samples(spark, sf_dir).join(clean, ["recording", "channel"], "left_semi"), mask, FS), 6)
+    return _rounded(motion.spline_correct(rec.vector_samples(spark, sf_dir), motion_mask_grouped(spark, sf_dir), FS, lost="null"), 6)
 
 
 def _band_sql(name: str, digits: int) -> str:
@@ -368,10 +420,10 @@ for _name in short_separation.BANDS:
 
 def bandpass_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The respiration band of channels cut into blocks, none of which a task sees whole."""
-    return _rounded(short_separation.bandpass(rec.vector_samples(spark, sf_dir), FS, "respiration", split=24), DIGITS["respiration"])
+    return _rounded(short_separation.bandpass(rec.vector_samples(spark, sf_dir), FS, "respiration", split=48), 5)
 
 
-QUERIES["bandpass_split"], ORACLE["bandpass_split"] = bandpass_split, ORACLE["bandpass_respiration"]
+QUERIES["bandpass_split"], ORACLE["bandpass_split"] = bandpass_split, _band_sql("respiration", 5)
 
 
 def _sci_sql() -> str:
@@ -457,6 +509,19 @@ def prune_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.prune(_judged(spark, sf_dir), rec.vector_channels(spark, sf_dir), "drop")
 
 
+@query(f"""WITH {CORE.replace("range(1, 4)", "range(1, 2)").replace("+ 32)", "+ 64)")}, {SNR.removeprefix(f"{VEC}, ")},
+      j AS (SELECT recording, channel, pair, s.score >= -0.3 AS a, n.score >= -1.5 AS b FROM scored s JOIN snr n USING (recording, channel)
+        UNION ALL SELECT ch.recording, ch.channel, ch.pair, NULL, n.score >= -1.5 FROM ch JOIN snr n ON n.recording = ch.recording AND n.channel = ch.channel ANTI JOIN scored s ON s.recording = ch.recording AND s.channel = ch.channel)
+      SELECT recording, channel, coalesce(a, false) AND b AS passed, 'coupling,snr' AS metrics, concat_ws(';', CASE WHEN NOT coalesce(a, false) THEN 'coupling:w0001' END, CASE WHEN NOT b THEN 'snr:w0001' END) AS failed_windows FROM j""")
+def prune_two_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coupling and signal to noise over whole recordings; a channel without a partner has no coupling and scores 0 less than the bound."""
+    channels = rec.vector_channels(spark, sf_dir)
+    found = quality.coupling(rec.vector_samples(spark, sf_dir), channels, N, N, N)
+    alone = channels.join(found, ["recording", "channel"], "left_anti").select("recording", "channel", F.lit(1).alias("window"), F.lit(-1.0).alias("score"))
+    both = quality.judged(found.unionByName(alone), "coupling", -0.3).unionByName(quality.judged(_snr(spark, sf_dir), "snr", -1.5))
+    return quality.prune(both, channels, "mark")
+
+
 @query(f"{JUDGED} SELECT 'coupling' AS metric, count(DISTINCT (recording, channel)) AS channels, count(DISTINCT win) AS windows, count(*) FILTER (ok) AS passed, count(*) AS scored FROM j")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.summary(_judged(spark, sf_dir))
@@ -477,6 +542,23 @@ def measurement_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements.labels(measurements.checked(rows)).select("recording", "measurement_index", "channel_label")
 
 
+@query("""WITH m AS (SELECT l_orderkey AS recording, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::INT AS measurement_index,
+                       l_suppkey % 3 + 1 AS s, l_partkey % 2 + 1 AS d, l_linenumber % 3 + 1 AS w FROM lineitem),
+           f AS (SELECT *, min(measurement_index) OVER (PARTITION BY recording, s, d) AS first FROM m)
+           SELECT recording, measurement_index, dense_rank() OVER (PARTITION BY recording ORDER BY first)::BIGINT AS pair, 'S' || s || '_D' || d AS channel_id, [690, 760, 850][w]::DOUBLE AS wavelength_nm FROM f""")
+def pairs_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = rec.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("recording"), F.row_number().over(line).alias("measurement_index"), (F.col("l_suppkey") % 3 + 1).alias("source_index"),
+        (F.col("l_partkey") % 2 + 1).alias("detector_index"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("wavelength_index"),
+    )
+    table = rows.select("recording").distinct().select("recording", F.posexplode(F.array(*map(F.lit, (690.0, 760.0, 850.0)))).alias("at", "wavelength_nm")).select("recording", (F.col("at") + 1).alias("wavelength_index"), "wavelength_nm")
+    found = measurements.pairs(measurements.checked(measurements.with_wavelengths(rows, table)))
+    return found.select("recording", "measurement_index", "pair", "channel_id", "wavelength_nm")
+
+
 @query("""SELECT recording, onset, duration, type, value, row_number() OVER (PARTITION BY recording ORDER BY onset, stim_index, "row")::INT AS position
           FROM (SELECT user_id AS recording, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS stim_index, event_id AS "row", (event_id % 100) / 10.0 AS onset, 0.5::DOUBLE AS duration, event_type AS type, value::DOUBLE AS value FROM events)""")
 def stim_events_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,11 +587,8 @@ PLAN = Plan(fs=FS, regions=REGIONS, contrast={f"lateral_{nm}": {**dict.fromkeys(
       b AS (SELECT recording, target, avg(v) AS b FROM v WHERE sample <= 20 GROUP BY 1, 2),
       m AS (SELECT *, (v / 2 + lag(v) OVER w + lag(v, 2) OVER w + lag(v, 3) OVER w + lag(v, 4) OVER w / 2) / 4 AS mean FROM v WINDOW w AS (PARTITION BY recording, target ORDER BY sample))
       SELECT recording::VARCHAR AS stream, (sample - 22) // 2 AS sequence, round((sample - 1) / 10.0, 6) + 0.0 AS "time", round(2.0 + (sample - 22) / 10.0, 6) + 0.0 AS scheduled, target, round(mean - b, 6) + 0.0 AS value,
-             NULL::VARCHAR AS skipped, 0::BIGINT AS skipped_count FROM m JOIN b USING (recording, target) WHERE sample >= 22 AND sample % 2 = 0""")
+             NULL::VARCHAR AS skipped, 0::BIGINT AS skipped_count FROM m JOIN b USING (recording, target) WHERE sample >= 22 AND sample % 2 = 0
+      UNION ALL SELECT recording::VARCHAR, NULL, NULL, NULL, NULL, NULL, 'missing_channels', {rec.CHANNELS} - count(DISTINCT channel) FROM vec GROUP BY recording HAVING count(DISTINCT channel) < {rec.CHANNELS}""")
 def feedback_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Streams that carry every channel the plan's regions name; the operator refuses others.
-    named = max(max(r) for r in REGIONS.values())
-    rows = rec.vector_samples(spark, sf_dir)
-    able = rows.select("recording", "channel").distinct().groupBy("recording").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > named)
-    packed = rows.join(able.select("recording"), "recording", "left_semi").groupBy("recording", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("channels"))
-    return _rounded(replay(packed.select(F.col("recording").cast("string").alias("stream"), ((F.col("sample") - 1) / FS).alias("t"), "channels"), PLAN), 6)
+    packed = rec.vector_samples(spark, sf_dir).groupBy("recording", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("channels"))
+    return _rounded(replay(packed.select(F.col("recording").cast("string").alias("stream"), ((F.col("sample") - 1) / FS).alias("t"), "channels"), PLAN, missing="skip"), 6)

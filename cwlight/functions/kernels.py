@@ -224,7 +224,10 @@ def wavelet_repair(x: np.ndarray, iqr: float = 1.5, min_level: int = 4) -> np.nd
 
 
 def smoothing_spline(t: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
-    """Values of the cubic smoothing spline at its sites: second derivatives from a five-diagonal system."""
+    """Values of the cubic smoothing spline at its sites ``t``: second derivatives from a five-diagonal system.
+
+    The columns of a matrix ``y`` share the sites, and the elimination.
+    """
     n = len(t)
     if n <= 2 or p == 1:
         return y.copy()
@@ -238,21 +241,22 @@ def smoothing_spline(t: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
         k * inv[1:-2] * inv[2:-1],
     ]
     # Symmetric elimination L D L' with two bands below the diagonal.
-    d, l1, l2 = np.zeros(m), np.zeros(m), np.zeros(m)
-    rhs = np.diff(np.diff(y) * inv)
-    z = np.zeros(m)
+    d, l1, l2 = np.zeros(m + 2), np.zeros(m + 2), np.zeros(m + 2)
+    across = (slice(None),) + (None,) * (y.ndim - 1)
+    z = np.zeros((m + 2, *y.shape[1:]))  # two rows of zeros in front
+    rhs = np.diff(np.diff(y, axis=0) * inv[across], axis=0)
     for i in range(m):
         if i >= 2:
             l2[i] = bands[2][i - 2] / d[i - 2]
         if i >= 1:
             l1[i] = (bands[1][i - 1] - (l2[i] * d[i - 2] * l1[i - 1] if i >= 2 else 0)) / d[i - 1]
         d[i] = bands[0][i] - (l1[i] ** 2 * d[i - 1] if i >= 1 else 0) - (l2[i] ** 2 * d[i - 2] if i >= 2 else 0)
-        z[i] = rhs[i] - (l1[i] * z[i - 1] if i >= 1 else 0) - (l2[i] * z[i - 2] if i >= 2 else 0)
-    u = np.zeros(m + 2)
+        z[i + 2] = rhs[i] - l1[i] * z[i + 1] - l2[i] * z[i]
+    u = np.zeros((n + 2, *y.shape[1:]))  # one row of zeros in front, three behind
     for i in range(m - 1, -1, -1):
-        u[i] = z[i] / d[i] - (l1[i + 1] * u[i + 1] if i + 1 < m else 0) - (l2[i + 2] * u[i + 2] if i + 2 < m else 0)
-    u = np.concatenate([[0.0], u[:m], [0.0]])
-    bend = np.diff(np.concatenate([[0.0], np.diff(u) * inv, [0.0]]))
+        u[i + 1] = z[i + 2] / d[i] - l1[i + 1] * u[i + 2] - l2[i + 2] * u[i + 3]
+    none = np.zeros((1, *y.shape[1:]))
+    bend = np.diff(np.concatenate([none, np.diff(u[:n], axis=0) * inv[across], none]), axis=0)
     return y - k * bend
 
 
@@ -263,27 +267,39 @@ def _reach(n: int, fs: float) -> int:
     return max(1, int(0.3 * fs) if n < 3 * fs else n // 10)
 
 
-def spline_repair(y: np.ndarray, t: np.ndarray, bad: np.ndarray, fs: float, p: float = 0.99) -> np.ndarray:
-    """Masked stretches lose their smooth part; then every stretch is set to the level where the last one ends."""
-    if not bad.any():
-        return y.copy()
-    if bad.all():
+def spline_repair(y: np.ndarray, bad: np.ndarray, fs: float, p: float = 0.99) -> np.ndarray:
+    """Masked stretches lose their smooth part; then every stretch is set to the level where the last one ends.
+
+    Columns are channels.  Masked stretches of one length, of whatever channel,
+    are fitted together.
+    """
+    one = y.ndim == 1
+    y, bad = (y[:, None], bad[:, None]) if one else (y, bad)
+    if bad.all(axis=0).any():
         raise ValueError("spline repair needs at least one clean sample")
-    cuts = np.flatnonzero(np.diff(bad)) + 1
-    stretches = list(zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(y)]])))
     out = y.astype(float).copy()
-    for a, b in stretches:
-        if bad[a]:
-            out[a:b] = y[a:b] - smoothing_spline(t[a:b], y[a:b], p)
-    head = lambda v: v[: _reach(len(v), fs)].mean()
-    tail = lambda v: v[-_reach(len(v), fs) :].mean()
-    for i, (a, b) in enumerate(stretches):
-        if i:
-            out[a:b] += tail(out[stretches[i - 1][0] : a]) - head(out[a:b])
-        elif bad[0]:  # nothing before it: the clean stretch behind gives the level
-            after = y[b : stretches[1][1]]
-            out[a:b] += head(after) - tail(out[a:b])
-    return out
+    edges = [np.concatenate([[0], np.flatnonzero(np.diff(column)) + 1, [len(y)]]).tolist() for column in bad.T]
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for c, cuts in enumerate(edges):
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if bad[a, c]:
+                by_size.setdefault(b - a, []).append((a, c))
+    for size, places in by_size.items():
+        at = np.array([a for a, _ in places]) + np.arange(size)[:, None]
+        column = np.array([c for _, c in places])
+        out[at, column] -= smoothing_spline(np.arange(size) / fs, y[at, column], p)
+    for c, cuts in enumerate(edges):
+        stretches = list(zip(cuts[:-1], cuts[1:]))
+        if len(stretches) == 1:
+            continue
+        head = lambda v: v[: _reach(len(v), fs)].mean()
+        tail = lambda v: v[-_reach(len(v), fs) :].mean()
+        for i, (a, b) in enumerate(stretches):
+            if i:
+                out[a:b, c] += tail(out[stretches[i - 1][0] : a, c]) - head(out[a:b, c])
+            elif bad[0, c]:  # nothing before it: the clean stretch behind gives the level
+                out[a:b, c] += head(y[b : stretches[1][1], c]) - tail(out[a:b, c])
+    return out[:, 0] if one else out
 
 
 # Quality -------------------------------------------------------------------

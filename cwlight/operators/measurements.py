@@ -45,6 +45,36 @@ def covered(measurements: DataFrame, probe: DataFrame) -> DataFrame:
     return out
 
 
+def with_wavelengths(measurements: DataFrame, wavelengths: DataFrame) -> DataFrame:
+    """The list with wavelength_nm from a recording's table (recording, wavelength_index, wavelength_nm).
+
+    An index that the table has not, a table entry that repeats or is not a
+    positive number, and a nominal wavelength in the list that differs from the
+    table's are errors.
+    """
+    once = F.count(F.lit(1)).over(Window.partitionBy("recording", "wavelength_index"))
+    table = wavelengths.select("recording", "wavelength_index", F.col("wavelength_nm").cast("double").alias("nominal"), once.alias("entries"))
+    rows = measurements.join(table, ["recording", "wavelength_index"], "left")
+    text = lambda what: F.raise_error(F.format_string(f"recording %s: {what} %s", F.col("recording").cast("string"), F.col("wavelength_index").cast("string"))).cast("double")
+    sound = (F.col("entries") == 1) & (F.col("nominal") > 0) & (F.col("nominal") < float("inf"))
+    nm = F.when(F.col("entries").isNull(), text("no wavelength has the index")).when(~F.coalesce(sound, F.lit(False)), text("a malformed entry for wavelength"))
+    if "wavelength_nm" in measurements.columns:
+        nm = nm.when(F.col("wavelength_nm").isNotNull() & (F.col("wavelength_nm").cast("double") != F.col("nominal")), text("another nominal wavelength than the table's at index"))
+    rest = [c for c in measurements.columns if c != "wavelength_nm"]
+    return rows.select(*rest, nm.otherwise(F.col("nominal")).alias("wavelength_nm"))
+
+
+def pairs(measurements: DataFrame) -> DataFrame:
+    """The list with pair, from 1 in the order in which source and detector first meet in it, and channel_id S{source}_D{detector}.
+
+    The ordinal is a column, so the order outlives any shuffle.
+    """
+    whole = Window.partitionBy("recording")
+    first = measurements.withColumn("first", F.min("measurement_index").over(Window.partitionBy("recording", "source_index", "detector_index")))
+    out = first.withColumn("pair", F.dense_rank().over(whole.orderBy("first")).cast("long"))
+    return out.withColumn("channel_id", F.format_string("S%d_D%d", "source_index", "detector_index")).drop("first")
+
+
 def renumbered(samples: DataFrame, measurements: DataFrame, stays: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(samples, measurements) of the channels in ``stays`` (recording, channel), counted from 1 again in each recording."""
     kept = measurements.join(stays.select("recording", F.col("channel").alias("measurement_index")).distinct(), ["recording", "measurement_index"], "left_semi")

@@ -109,12 +109,21 @@ def wavelet_correct(samples: DataFrame, iqr: float = 1.5, min_level: int = 4) ->
     return per_channel(samples, each(lambda x: kernels.wavelet_repair(x, iqr, min_level)))
 
 
-def spline_correct(samples: DataFrame, mask: DataFrame, fs: float, p: float = 0.99) -> DataFrame:
-    """Spline repair of masked stretches.  Channels without any pass by the kernel; a mask of another signal is refused where it is bound."""
+def spline_correct(samples: DataFrame, mask: DataFrame, fs: float, p: float = 0.99, lost: str = "error") -> DataFrame:
+    """Spline repair of masked stretches.  Channels without any pass by the kernel; a mask of another signal is refused where it is bound.
+
+    A channel masked from end to end has no level to return to: an error, or
+    with ``lost="null"`` a null for each of its samples.
+    """
+    if lost not in ("error", "null"):
+        raise ValueError("lost must be 'error' or 'null'")
+    whole_ = Window.partitionBy(*KEY)
     rows = samples.join(current(mask, samples), [*KEY, "sample"])
-    touched = rows.withColumn("any", F.max("masked").over(Window.partitionBy(*KEY)))
-    fixed = per_channel(touched.where("any"), each(lambda x, bad: kernels.spline_repair(x, np.arange(len(x)) / fs, bad.astype(bool), fs, p)), "masked")
-    return fixed.unionByName(touched.where("NOT any").select(*KEY, "sample", "value"))
+    touched = rows.withColumns({"any": F.max("masked").over(whole_), "all": F.min("masked").over(whole_)})
+    sent = touched.where("any" if lost == "error" else "any AND NOT all")
+    fixed = per_channel(sent, lambda x, bad: kernels.spline_repair(x, bad.astype(bool), fs, p), "masked")
+    out = fixed.unionByName(touched.where("NOT any").select(*KEY, "sample", "value"))
+    return out if lost == "error" else out.unionByName(touched.where("all").select(*KEY, "sample", F.lit(None).cast("double").alias("value")))
 
 
 def db2_level(samples: DataFrame, length: int) -> DataFrame:

@@ -116,6 +116,20 @@ def judged(scores: DataFrame, metric: str, threshold: float) -> DataFrame:
     return scores.withColumns({"metric": F.lit(metric), "passed": F.col("score") >= threshold})
 
 
+def same_identity(judgements: DataFrame) -> DataFrame:
+    """The judgements, if within each recording all metrics judge the same channels over the same windows; else an error.
+
+    Sets are compared by counts and sums of hashes, which each task adds up for
+    its own rows; nothing is sorted.
+    """
+    key = F.xxhash64("channel", "window")
+    sets = judgements.groupBy("recording", "metric").agg(F.count(F.lit(1)).alias("n"), F.sum(key.cast("decimal(38,0)")).alias("total"), F.bit_xor(key).alias("mixed"))
+    alike = sets.groupBy("recording").agg(F.count_distinct("n", "total", "mixed").alias("kinds"))
+    text = F.concat(F.lit("metrics judge other channels or windows in recording "), F.col("recording").cast("string"))
+    fine = F.when(F.col("kinds") == 1, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+    return judgements.join(alike, "recording").where(fine).select(*judgements.columns)
+
+
 def _verdict(require_all: bool) -> Column:
     return F.bool_and("ok") if require_all else F.bool_or("ok")
 
@@ -123,14 +137,15 @@ def _verdict(require_all: bool) -> Column:
 def prune(judgements: DataFrame, channels: DataFrame, action: str = "mark", require_all: bool = True, source: DataFrame | None = None) -> DataFrame:
     """One row per channel: passed, metrics, failed_windows; ``drop`` judges whole pairs and gives the rows that stay.
 
-    A metric passes where all its windows do.  Judgements bound to a signal are
+    A metric passes where all its windows do; all metrics must judge the same
+    channels and windows.  Judgements bound to a signal are
     refused if ``source`` is another.
     """
     if source is not None:
         judgements = current(judgements, source)
     if action not in ("mark", "drop"):
         raise ValueError("action must be 'mark' or 'drop'")
-    by_metric = judgements.groupBy(*KEY, "metric").agg(F.bool_and("passed").alias("ok"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.format_string("%s:w%04d", "metric", "window")))).alias("failed"))
+    by_metric = same_identity(judgements).groupBy(*KEY, "metric").agg(F.bool_and("passed").alias("ok"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.format_string("%s:w%04d", "metric", "window")))).alias("failed"))
     out = by_metric.groupBy(*KEY).agg(_verdict(require_all).alias("passed"), F.concat_ws(",", F.array_sort(F.collect_list("metric"))).alias("metrics"), F.concat_ws(";", F.array_sort(F.flatten(F.collect_list("failed")))).alias("failed_windows"))
     if action == "mark":
         return out

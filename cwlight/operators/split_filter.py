@@ -90,11 +90,12 @@ def _states(left: DataFrame, a: np.ndarray, backwards: bool, levels: int) -> Dat
     return states.withColumnRenamed("up", "block")
 
 
-def one_pass(rows: DataFrame, b: np.ndarray, a: np.ndarray, size: int, hold: bool, backwards: bool, levels: int = 1) -> DataFrame:
+def one_pass(rows: DataFrame, b: np.ndarray, a: np.ndarray, size: int, hold: bool, backwards: bool, levels: int = 0) -> DataFrame:
     """(recording, channel, block, sample, value) of ``rows`` filtered in one direction.
 
     ``hold``: the pass starts as if its first sample had always been; else from
-    rest.  ``levels`` of the tree serve ``FAN ** (levels + 1)`` blocks a channel.
+    rest.  Without a tree (``levels`` of 0) one group composes the states of a
+    channel, six numbers a block; ``levels`` serve ``FAN ** (levels + 1)`` blocks.
     """
     m, gain = len(a) - 1, float(b.sum() / a.sum())
     led = _leads(rows, size, len(b) - 1, backwards)
@@ -115,7 +116,7 @@ def one_pass(rows: DataFrame, b: np.ndarray, a: np.ndarray, size: int, hold: boo
     return led.groupBy(*KEY, "block").cogroup(_states(left, a, backwards, levels).groupBy(*KEY, "block")).applyInPandas(finish, ROW)
 
 
-def both_ways(samples: DataFrame, b: np.ndarray, a: np.ndarray, ends: str, size: int, levels: int = 1) -> DataFrame:
+def both_ways(samples: DataFrame, b: np.ndarray, a: np.ndarray, ends: str, size: int, levels: int = 0) -> DataFrame:
     """``kernels.both_ways`` of every channel of (recording, channel, sample, value), ``size`` samples at a time."""
     if size < max(len(a), len(b)):
         raise ValueError("a block must hold the filter's memory")

@@ -146,12 +146,22 @@ def _table(plan: Plan, stream: str, rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"sequence": "Int64", "skipped_count": "int64", "time": float, "scheduled": float, "value": float})
 
 
-def replay(samples: DataFrame, plan: Plan) -> DataFrame:
-    """Updates of stored streams: (stream, t, channels array<double>) rows, one stream a group."""
+def replay(samples: DataFrame, plan: Plan, missing: str = "error") -> DataFrame:
+    """Updates of stored streams: (stream, t, channels array<double>) rows, one stream a group.
+
+    A stream without all channels that the plan names is an error, or with
+    ``missing="skip"`` one row with reason ``missing_channels`` and their number.
+    """
+    if missing not in ("error", "skip"):
+        raise ValueError("missing must be 'error' or 'skip'")
+    named = 1 + max(c for cs in plan.regions.values() for c in cs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stream, width = pdf["stream"].iloc[0], min(len(x) for x in pdf["channels"])
+        if width < named and missing == "skip":
+            return _table(plan, stream, [(None, None, None, None, "missing_channels", named - width)])
         pdf = pdf.sort_values("t")
-        return _table(plan, pdf["stream"].iloc[0], advance(plan, State(), pdf["t"].to_numpy(float), np.stack(pdf["channels"].to_numpy())))
+        return _table(plan, stream, advance(plan, State(), pdf["t"].to_numpy(float), np.stack(pdf["channels"].to_numpy())))
 
     return samples.groupBy("stream").applyInPandas(run, UPDATE)
 
