@@ -10,6 +10,7 @@ from cwlight.operators import geometry, measurements, motion, quality, short_sep
 from cwlight.operators.mbll import mbll, with_distance, with_pathlength
 from cwlight.operators.optical_density import intensity_to_od
 from cwlight.plans import recordings as rec
+from cwlight.sources import preparation
 from cwlight.streaming.feedback import Plan, replay
 
 QUERIES: dict = {}
@@ -568,6 +569,24 @@ def stim_events_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements.events(rows).select("recording", "onset", "duration", "type", "value", "position")
 
 
+@query("""WITH e AS (SELECT user_id AS recording, event_id AS id, (event_id % 100) / 10.0 AS onset, 0.5::DOUBLE AS duration, event_type AS type, value::DOUBLE AS value, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS stim FROM events),
+      c AS (SELECT DISTINCT recording FROM e WHERE id % 97 = 0),
+      n AS (SELECT recording, onset, duration, type, value + CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END AS value FROM e SEMI JOIN c USING (recording)),
+      p AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY onset, type, duration, value) AS place FROM n),
+      f AS (SELECT *, min(place) OVER (PARTITION BY recording, type) AS first FROM p)
+      SELECT recording, dense_rank() OVER (PARTITION BY recording ORDER BY first)::INT AS stim_index, row_number() OVER (PARTITION BY recording, type ORDER BY place)::BIGINT AS "row", type AS name, onset AS start, value, 3 AS numbers FROM f
+      UNION ALL SELECT recording, stim, id, type, onset, value, 4 FROM e ANTI JOIN c USING (recording)""")
+def stimuli_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored stimuli with an extra column; events of every 97th row were edited since."""
+    kind = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    onset, value = ((F.col("event_id") % 100) / 10.0).cast("double"), F.col("value").cast("double")
+    rows = rec.table(spark, sf_dir, "events")
+    stored = rows.select(F.col("user_id").alias("recording"), kind.alias("stim_index"), F.col("event_id").alias("row"), F.col("event_type").alias("name"), F.array(onset, F.lit(0.5), value, F.lit(7.0)).alias("data"), F.lit(None).cast("array<string>").alias("data_labels"))
+    now = rows.select(F.col("user_id").alias("recording"), onset.alias("onset"), F.lit(0.5).alias("duration"), F.col("event_type").alias("type"), (value + F.when(F.col("event_id") % 97 == 0, 1.0).otherwise(0.0)).alias("value"))
+    out, _ = preparation.stimuli(now, stored)
+    return out.select("recording", "stim_index", "row", "name", F.col("data")[0].alias("start"), F.col("data")[2].alias("value"), F.size("data_labels").alias("numbers"))
+
+
 @query(f"""WITH {EV}, t AS (SELECT recording, channel, sample, CASE WHEN channel % 5 = 0 AND sample = 3 THEN 0.25 ELSE (sample - 1) / 10.0 END::DOUBLE AS t FROM ev),
       d AS (SELECT recording, channel, t - lag(t) OVER (PARTITION BY recording, channel ORDER BY sample) AS d FROM t), m AS (SELECT recording, channel, d, median(d) OVER (PARTITION BY recording, channel) AS s FROM d WHERE d IS NOT NULL)
       SELECT recording, channel, round(any_value(s), 9) AS step_seconds, min(d) > 0 AND max(abs(d - s)) <= greatest(1e-12, 1e-9 * any_value(s)) AS uniform FROM m GROUP BY 1, 2""")

@@ -11,6 +11,8 @@ from cwlight.functions import kernels
 from cwlight.operators import split_filter
 from cwlight.operators.geometry import nearest_short
 from cwlight.operators.motion import KEY, SIGNAL, per_channel, whole
+from cwlight.sources import context
+from cwlight.sources.tables import Recording
 
 #: Physiological bands in Hz.
 BANDS = {"mayer": (0.07, 0.13), "respiration": (0.15, 0.40), "cardiac": (0.70, 2.00)}
@@ -27,12 +29,15 @@ def exact_lag(lag_seconds: float, fs: float) -> int:
     return lag
 
 
-def regress_nearest(samples: DataFrame, mapped: DataFrame, fs: float, lag_seconds: float = 0.0) -> DataFrame:
+def regress_nearest(samples: DataFrame, mapped: DataFrame, fs: float, lag_seconds: float = 0.0, source: Recording | None = None) -> DataFrame:
     """(recording, channel, sample, value): long channels less what their nearest short channel explains.
 
     A positive lag lets the short sample at t - lag speak for the long sample at
-    t.  Samples without a partner, and short channels, stay as they are.
+    t.  Samples without a partner, and short channels, stay as they are.  A map
+    that ``context.bound`` ties to its recordings is refused if ``source`` is not
+    what it was made from.
     """
+    mapped = context.checked(mapped, source)
     lag = exact_lag(lag_seconds, fs)
     pick = nearest_short(mapped).select("recording", F.col("target").alias("channel"), "short")
     short = samples.select("recording", F.col("channel").alias("short"), (F.col("sample") + lag).alias("sample"), F.col("value").alias("x"))
@@ -46,11 +51,12 @@ def regress_nearest(samples: DataFrame, mapped: DataFrame, fs: float, lag_second
     return out.select(*KEY, "sample", value.alias("value"))
 
 
-def regress_all(samples: DataFrame, mapped: DataFrame, fs: float, lag_seconds: float = 0.0, condition_limit: float = 1e10) -> DataFrame:
+def regress_all(samples: DataFrame, mapped: DataFrame, fs: float, lag_seconds: float = 0.0, condition_limit: float = 1e10, source: Recording | None = None) -> DataFrame:
     """As ``regress_nearest``, on all short channels of the wavelength at once.
 
     A recording's channels of one wavelength are one group.
     """
+    mapped = context.checked(mapped, source)
     lag = exact_lag(lag_seconds, fs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,8 +105,12 @@ def bandpass(samples: DataFrame, fs: float, band: str = "mayer", range_hz: tuple
     return out.select(*KEY, "sample", F.when(F.col("flat"), 0.0).otherwise(F.col("value")).alias("value"))
 
 
-def design_columns(samples: DataFrame, mapped: DataFrame, aggregation: str = "all") -> DataFrame:
-    """(recording, column, sample, value): nuisance regressors from the short channels, one or one mean per wavelength."""
+def design_columns(samples: DataFrame, mapped: DataFrame, aggregation: str = "all", source: Recording | None = None) -> DataFrame:
+    """(recording, column, sample, value): nuisance regressors from the short channels, one or one mean per wavelength.
+
+    A bound map is checked as in ``regress_nearest``.
+    """
+    mapped = context.checked(mapped, source)
     short = samples.join(mapped.where("is_short").select(*KEY, "wavelength_nm", "pair"), KEY)
     if aggregation == "all":
         name = F.concat_ws("_", F.lit("short"), F.format_string("S%d_D%d", "pair", "pair"), F.concat(F.lit("wl"), F.col("wavelength_nm").cast("string")))

@@ -7,6 +7,7 @@ do.  Checks are part of the plan, so a bad row fails the job that reads it.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +32,8 @@ class Recording:
     tags: DataFrame | None = None
     contracts: dict[str, dict] | None = None
     steps: tuple[dict, ...] = ()
+    times: DataFrame | None = None
+    events: DataFrame | None = None
 
     def assay(self, name: str) -> DataFrame:
         """(recording, channel, sample, value) of one assay."""
@@ -133,7 +136,8 @@ def write(rec: Recording, path: str, mode: str = "errorifexists") -> None:
     Ranges hold about the same number of rows, whatever a recording's length,
     and a reader of some recordings skips the other files by their statistics.
     Samples must be finite, the list must agree with the probe, stimuli must be
-    whole rows, and tags are completed.  Spark's commit protocol puts a table in
+    whole rows, and tags are completed.  Events that differ from the stored
+    stimuli replace them, with a warning.  Spark's commit protocol puts a table in
     place once all its tasks have ended.
     """
     fine = F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
@@ -142,6 +146,12 @@ def write(rec: Recording, path: str, mode: str = "errorifexists") -> None:
     samples.repartitionByRange("assay", "recording", "channel").sortWithinPartitions("assay", "recording", "channel", "sample").write.mode(mode).partitionBy("assay").parquet(f"{path}/samples")
     tags = None if rec.tags is None else prepared_tags(rec.tags, rec.measurements)
     stims = None if rec.stims is None else rec.stims.where(measurements.whole_stim())
+    if rec.events is not None and stims is not None:
+        from cwlight.sources.preparation import stimuli
+
+        stims, notes = stimuli(rec.events, stims)
+        for note in notes.select("note").distinct().collect():  # two texts at most
+            warnings.warn(note["note"], stacklevel=2)
     for name, table in zip(NAMES[1:], (measurements.covered(rec.measurements, rec.probe), rec.probe, stims, tags)):
         if table is not None:
             table.write.mode(mode).parquet(f"{path}/{name}")
