@@ -8,6 +8,11 @@ diagonals.  Diagonals are counted in bands of twice that width that overlap by
 half, so one band holds them all; bands with enough hits are verified by
 semi-global alignment within the band.
 
+Items whose plain form has fewer than ``LEAST`` bytes leave no room for edits: they
+are sought as whole words in sequence, exactly, by hashes of word sequences that
+are then compared.  ``matches`` reports them like the others; for ``drop_leaks``
+they count from ``LEAK_WORDS`` words on, as a word or two is no sign of a leak.
+
 Every occurrence counts.  Occurrences of one item that overlap are one region:
 the stretch that those with the fewest edits among them cover.
 
@@ -18,10 +23,10 @@ holds one block however many items there are.  Within a task, hits are counted
 in slices of about ``HITS``, so that a text and an item that repeat one letter
 take time but no memory.
 
-Defined cases: null and empty texts match nothing; items whose plain form is
-shorter than ``LEAST`` bytes say too little and match nothing; repeated items
-and rows are all reported, also with a null id.  Columns other than doc_id, text
-and item_id, text are ignored.
+Defined cases: null and empty texts match nothing, nor do items without a letter
+or digit; repeated items and rows are all reported, also with a null id; no items
+or no documents give no rows.  Columns other than doc_id, text and item_id, text are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cwlight.llm.common import cut, pieces, text_buffer
-from cwlight.llm.wordhash import grams, mix
+from cwlight.llm.wordhash import grams, mix, words
 
 Q, RATE, LEAST, BLOCK_BYTES, PIECE, HITS = 12, 0.05, 24, 4 << 20, 1 << 20, 1 << 20
+#: Words from which a short item, found exactly, makes a document a leak.
+LEAK_WORDS = 3
 FAR = 1 << 30
 MATCH = "doc_id long, item_id long, start long, end long, edits int"
 
@@ -73,6 +80,11 @@ class Index:
         raw, offsets = text_buffer(pa.array([t for _, t in items], pa.string()))
         text, bounds, _ = plain(raw, offsets)
         forms = [text[a:b].tobytes().strip() for a, b in zip(bounds[:-1], bounds[1:])]
+        self.short: dict[int, dict[int, list[tuple[int, bytes]]]] = {}  # words of an item, hash of their sequence
+        for (item_id, _), f in zip(items, forms):
+            if 0 < len(f) < LEAST:
+                h = words(np.frombuffer(f, np.uint8), np.array([0, len(f)]), plain=True)[0]
+                self.short.setdefault(len(h), {}).setdefault(int(grams(h, len(h))[0]), []).append((item_id, f))
         kept = [i for i, f in enumerate(forms) if len(f) >= LEAST]
         self.ids, self.texts = [items[i][0] for i in kept], [np.frombuffer(forms[i], np.uint8) for i in kept]
         self.size = np.array([len(t) for t in self.texts], np.int64)
@@ -90,6 +102,23 @@ class Index:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
+    def short_ones(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item id, start, end in bytes of the row, words) of the exact occurrences of short items."""
+        h, starts, ends, bounds = words(raw, offsets, lower=True, plain=True)
+        for count, known in self.short.items():
+            runs = grams(h, count)
+            keys = np.sort(np.array(list(known), np.uint64))
+            k = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            for i in np.flatnonzero(keys[k] == runs).tolist():
+                row = int(np.searchsorted(bounds, i, "right")) - 1
+                if i + count > bounds[row + 1]:
+                    continue
+                a, b = int(starts[i]), int(ends[i + count - 1])
+                body = plain(raw[a:b], np.array([0, b - a]))[0].tobytes()
+                for item_id, form in known[int(runs[i])]:
+                    if body == form:
+                        yield row, item_id, a - int(offsets[row]), b - int(offsets[row]), count
+
     def candidates(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first diagonal of its band) of the bands with enough hits; diagonals are places in ``text``."""
         h = grams(CODE[text], Q)
@@ -243,11 +272,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out: list[list] = [[] for _ in range(5)]
                 for a, b in pieces(offsets, PIECE):
                     held = raw[offsets[a] : offsets[b]]
-                    for row, item, first, last, edits in _matches(index, held, offsets[a : b + 1] - offsets[a]):
+                    bounds = offsets[a : b + 1] - offsets[a]
+                    found = [(row, index.ids[item], first, last, edits) for row, item, first, last, edits in _matches(index, held, bounds)]
+                    found += [(row, item, first, last, 0) for row, item, first, last, _ in index.short_ones(held, bounds)]
+                    for row, item, first, last, edits in found:
                         body = raw[offsets[a + row] : offsets[a + row + 1]]
                         lead = (body & 0xC0) != 0x80
                         start = int(lead[:first].sum())
-                        for column, value in zip(out, (batch.column(0)[a + row].as_py(), index.ids[item], start, start + int(lead[first:last].sum()), edits)):
+                        for column, value in zip(out, (batch.column(0)[a + row].as_py(), item, start, start + int(lead[first:last].sum()), edits)):
                             column.append(value)
                 types = [pa.int64()] * 4 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -261,21 +293,51 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows in whose text an item occurs; each row is judged by its own text."""
+    """``docs`` without the rows in whose text an item occurs; each row is judged by its own text.
+
+    One block of items is a filter.  With several blocks each marks texts by
+    their hashes (128 bits), and all that are marked go at once, so that no text
+    is written for a block.
+    """
     out = docs.withColumn("text", F.col("text").cast("string"))
 
-    def one_pass(shared) -> DataFrame:
+    def leaks(index: Index, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(offsets) - 1, bool)
+        for a, b in pieces(offsets, PIECE):
+            held, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            rows = [row for row, *_ in _matches(index, held, bounds)]
+            rows += [row for row, *_, count in index.short_ones(held, bounds) if count >= LEAK_WORDS]
+            found[a + np.array(rows, int)] = True
+        return found
+
+    def kept(shared) -> DataFrame:
         def run(batches):
             for batch in batches:
-                raw, offsets = text_buffer(batch.column("text"))
-                keep = np.ones(batch.num_rows, bool)
-                for a, b in pieces(offsets, PIECE):
-                    for row, *_ in _matches(shared.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                        keep[a + row] = False
-                yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(~leaks(shared.value, *text_buffer(batch.column("text")))))
 
         return out.mapInArrow(run, out.schema)
 
-    for left in _passes(benchmark, one_pass):
-        out = left
-    return out
+    def marked(shared) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(leaks(shared.value, *text_buffer(batch.column(0)))))
+
+        texts = out.where("text IS NOT NULL").select("text").mapInArrow(run, "text string")
+        return texts.select(*_hashes("text")).distinct()
+
+    held = blocks(benchmark)
+    first, second = next(held, None), next(held, None)
+    if second is None:
+        return out if first is None else kept(out.sparkSession.sparkContext.broadcast(Index(first)))
+    gone = None
+    for some in _passes(benchmark, marked):
+        gone = some if gone is None else gone.union(some)
+    names = [f"{c}__leak" for c in ("h", "k")]
+    away = gone.distinct().toDF(*names)
+    same = [F.coalesce(h, F.lit(0)) == F.col(n) for h, n in zip(_hashes("text"), names)]
+    return out.join(away, same, "left_anti")
+
+
+def _hashes(text: str) -> list:
+    """Two independent 64-bit hashes of a text."""
+    return [F.xxhash64(F.lit(7), F.col(text)), F.xxhash64(F.col(text), F.lit("leak"))]

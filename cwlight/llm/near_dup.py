@@ -89,7 +89,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128 bits that equal sets share.  The first half names the set's class in the graph of links."""
+    """128 bits that equal sets share."""
     m = mix(shingles + np.uint64(1))
     return m.sum(dtype=np.uint64), mix(m ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64)
 
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(node, shingles): the sorted distinct shingle hashes of each text, and their class."""
+    """(node, check, shingles): the sorted distinct shingle hashes of each text, and their fingerprint."""
 
     def run(batches):
         for batch in batches:
@@ -131,10 +131,10 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
                 sets = list(shingle_sets(batch.column(0).slice(at, 512), width))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                node = np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
+                fp = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "check", "shingles"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, check long, shingles array<long>")
 
 
 def estimate(a: str, b: str) -> F.Column:
@@ -257,9 +257,10 @@ def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[Dat
     """(signatures of all rows; (node, check, rep, c) of every class of equal sets: smallest doc_id and label of the component)."""
     sigs = cut(signatures(docs, width))
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("node", "check").agg(F.min("doc_id").alias("rep")))
-    heads = classes.select("node", "check", F.col("rep").alias("doc_id"))
-    reps = full.join(heads, ["node", "check", "doc_id"], "left_semi").dropDuplicates(["node"])
+    # Classes have all 128 bits; from here on a number of its own, written once, is the node of a class.
+    classes = cut(full.groupBy("node", "check").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()))
+    heads = classes.select("node", "check", F.col("rep").alias("doc_id"), "id")
+    reps = full.join(heads, ["node", "check", "doc_id"]).dropDuplicates(["id"]).drop("node", "check").withColumnRenamed("id", "node")
 
     member = reps.select("node", F.explode("bands").alias("key"))
     # Small sides are written first: a join of two plain exchanges is one whose large keys Spark can split.
@@ -279,7 +280,9 @@ def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[Dat
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     ids = reps.join(wanted, "node", "left_semi").select("doc_id").distinct()
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = cut(full_sets(chosen, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    named = classes.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select("node", "check", "id")
+    sets = full_sets(chosen, width).join(named, ["node", "check"]).dropDuplicates(["node", "check"])
+    sets = cut(sets.select(F.col("id").alias("node"), "shingles"))
     links = cut(confirm(pairs, sets, percent))
     found = components(links)
 
@@ -292,7 +295,7 @@ def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[Dat
         if not more.isEmpty():
             found = components(links.union(more))
 
-    tree = classes.join(found, "node", "left").select("node", "check", "rep", F.coalesce("c", "node").alias("c"))
+    tree = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "check", "rep", F.coalesce("c", "id").alias("c"))
     return sigs, tree
 
 

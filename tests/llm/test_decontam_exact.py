@@ -95,3 +95,12 @@ def test_blocks_and_odd_rows(spark, monkeypatch):
     assert sorted((r.doc_id or -1, r.item_id or -1, r.start, r.end, r.edits) for r in decontam.matches(docs, bench).collect()) == want
     assert sorted(map(tuple, decontam.drop_leaks(docs, bench).collect())) == kept and {r[0] for r in kept} == {3, 4}
     assert decontam.drop_leaks(docs.limit(0), bench).count() == 0 and decontam.drop_leaks(docs, bench.limit(0)).count() == 6
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "Faust"), (3, "?!"), (4, "an apple"), (5, "Who wrote Faust?"), (6, "ça va bien")], "item_id long, text string")
+    texts = [(1, "He asked: who  wrote, FAUST and when"), (2, "who wrote faustina"), (3, "Faust! faust."), (4, "banan apple; an\napple"), (5, "who wrote"), (6, None), (7, "wrote Faust? Who"), (8, "oui, ça va BIEN 😀")]
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontam.matches(documents(spark, texts), bench).collect())
+    assert got == [(1, 1, 10, 27, 0), (1, 2, 22, 27, 0), (1, 5, 10, 27, 0), (3, 2, 0, 5, 0), (3, 2, 7, 12, 0), (4, 4, 13, 21, 0), (7, 2, 6, 11, 0), (8, 6, 5, 15, 0)]
+    # A word or two makes no leak; three do.
+    assert sorted(r.doc_id for r in decontam.drop_leaks(documents(spark, texts), bench).collect()) == [2, 3, 4, 5, 6, 7]

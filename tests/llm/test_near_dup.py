@@ -103,3 +103,16 @@ def test_one_row_of_each_component_stays_where_ids_repeat(spark):
     assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert got == sorted([(3, a), (7, b), (11, near.upper()), (5, None), (5, None), (6, " "), (None, a), (None, a)], key=repr)
     assert near_dup.keep_one(documents(spark, [])).count() == 0
+
+
+def test_sets_that_share_half_of_a_fingerprint_stay_apart(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    rows = family(12)
+    real = near_dup.signatures
+    monkeypatch.setattr(near_dup, "signatures", lambda docs, width=5: real(docs, width).withColumn("node", F.lit(5).cast("long")))
+    sets = near_dup.full_sets
+    monkeypatch.setattr(near_dup, "full_sets", lambda docs, width=5: sets(docs, width).withColumn("node", F.lit(5).cast("long")))
+    want, _ = brute(rows)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == want
