@@ -394,6 +394,37 @@ def _spline_sql() -> str:
       SELECT recording, channel, unnest(range(a, a + n)) AS sample, round(unnest(x) + lift, 6) + 0.0 AS value FROM rise"""
 
 
+def _wavelet_tree_sql(levels: int, min_level: int) -> str:
+    """The tree by joins with the taps, level by level; what lies beyond the fences of its block is carried back up and taken off."""
+    low = [(1 + 3**0.5) / 32**0.5, (3 + 3**0.5) / 32**0.5, (3 - 3**0.5) / 32**0.5, (1 - 3**0.5) / 32**0.5]
+    high = [low[3], -low[2], low[1], -low[0]]
+    key = "recording, channel"
+    out = f"""WITH {EV}, size AS (SELECT {key}, count(*) AS n, CASE WHEN count(*) = 1 THEN 0 ELSE ceil(log2(count(*)))::INT END AS e, list(value ORDER BY sample) AS v FROM ev GROUP BY ALL),
+      pad AS (SELECT {key}, n, e - {min_level} AS depth, list_concat(v, list_transform(range(n, (1 << e)), lambda i: 0.0::DOUBLE)) AS v FROM size),
+      b0 AS (SELECT {key}, n, depth, 0 AS block, [x - list_avg(v) for x in v] AS xs FROM pad)"""
+    read = lambda taps: "[" + " + ".join(f"({t!r}) * xs[(2 * j + {i} - 1 + m) % m + 1]" for i, t in enumerate(taps)) + " for j in range(0, m // 2)]"
+    for k in range(levels):
+        out += f""",
+      r{k} AS (SELECT {key}, n, depth, block, s, len(xs) AS m, CASE s WHEN 0 THEN xs ELSE list_concat([xs[len(xs)]], xs[1:len(xs) - 1]) END AS xs FROM b{k}, range(0, 2) t(s) WHERE depth > {k}),
+      d{k} AS (SELECT {key}, n, depth, block, s, m, {read(low)} AS low, {read(high)} AS high FROM r{k}),
+      b{k + 1} AS (SELECT {key}, n, depth, 2 * block + s AS block, low AS xs FROM d{k}),
+      q{k} AS (SELECT *, list_aggregate(high[1:least(n >> {k + 1}, m // 2)], 'quantile_cont', 0.25) AS q1, list_aggregate(high[1:least(n >> {k + 1}, m // 2)], 'quantile_cont', 0.75) AS q3 FROM d{k}),
+      g{k} AS (SELECT {key}, block, s, m, [CASE WHEN depth - 1 > {k} AND (h < q1 - 1.5 * (q3 - q1) OR h > q3 + 1.5 * (q3 - q1)) THEN h ELSE 0 END for h in high] AS gone FROM q{k})"""
+    tap = lambda t: f"(CASE WHEN (i + 1 - {t} + m) % 2 = 0 THEN ({low[t]!r}) * coalesce(up[((i + 1 - {t} + m) % m) // 2 + 1], 0) + ({high[t]!r}) * gone[((i + 1 - {t} + m) % m) // 2 + 1] ELSE 0 END)"
+    for k in reversed(range(levels)):
+        above = f"SELECT g.*, c.xs AS up FROM g{k} g LEFT JOIN c{k + 1} c ON c.recording = g.recording AND c.channel = g.channel AND c.block = 2 * g.block + g.s" if k + 1 < levels else f"SELECT *, NULL::DOUBLE[] AS up FROM g{k}"
+        out += f""",
+      m{k} AS (SELECT {key}, block, s, m, [{' + '.join(tap(t) for t in range(4))} for i in range(0, m)] AS xs FROM ({above})),
+      c{k} AS (SELECT x.recording, x.channel, x.block, [(x.xs[i + 1] + y.xs[(i + 1) % x.m + 1]) / 2 for i in range(0, x.m)] AS xs FROM m{k} x JOIN m{k} y ON x.recording = y.recording AND x.channel = y.channel AND x.block = y.block AND x.s = 0 AND y.s = 1)"""
+    return out + " SELECT ev.recording, ev.channel, sample, round(value - xs[sample], 6) + 0.0 AS value FROM ev JOIN c0 USING (recording, channel)"
+
+
+@query(_wavelet_tree_sql(9, 1))
+def wavelet_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of some 40 to 100 samples: four levels or more are judged, each block by its own fences."""
+    return _rounded(motion.wavelet_correct(rec.event_samples(spark, sf_dir), min_level=1), 6)
+
+
 @query(_spline_sql())
 def spline_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(motion.spline_correct(rec.vector_samples(spark, sf_dir), motion_mask_grouped(spark, sf_dir), FS, lost="null"), 6)

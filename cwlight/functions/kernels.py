@@ -195,22 +195,24 @@ def db2_merge(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def wavelet_repair(x: np.ndarray, iqr: float = 1.5, min_level: int = 4) -> np.ndarray:
     """Coefficients of a shift-invariant tree beyond the quartile fences are set to zero.
 
-    A level holds all blocks as rows; each block gives two, from itself and
-    from itself moved by one sample.  The deepest level stays as it is.
+    Columns are channels.  A level holds all blocks of a channel; each block
+    gives two, from itself and from itself moved by one sample.  The deepest
+    level stays as it is.
     """
     n, size = len(x), 1 << max(0, math.ceil(math.log2(len(x))))
     depth = int(math.log2(size)) - min_level
     if depth < 2:
         raise ValueError(f"the signal is too short for min_level: {size} samples after padding, {1 << (min_level + 2)} needed")
-    padded = np.zeros(size)
-    padded[:n] = x
-    base = padded.mean()
-    blocks, details = (padded - base)[None, :], []
+    columns = x[:, None] if x.ndim == 1 else x
+    padded = np.zeros((columns.shape[1], size))
+    padded[:, :n] = columns.T
+    base = padded.mean(axis=1)
+    blocks, details = (padded - base[:, None])[:, None, :], []
     for _ in range(depth):
-        pair = np.stack([blocks, np.roll(blocks, 1, axis=1)], axis=1)
+        pair = np.stack([blocks, np.roll(blocks, 1, axis=2)], axis=2)
         low, high = db2_level(pair)
         details.append(high)
-        blocks = low.reshape(-1, low.shape[-1])
+        blocks = low.reshape(len(low), -1, low.shape[-1])
     for level in range(depth - 1):
         # The two halves of a block are blocks of the next level.
         own = details[level].reshape(-1, details[level].shape[-1])
@@ -219,8 +221,9 @@ def wavelet_repair(x: np.ndarray, iqr: float = 1.5, min_level: int = 4) -> np.nd
         own[(own < q1 - iqr * (q3 - q1)) | (own > q3 + iqr * (q3 - q1))] = 0
     for high in reversed(details):
         both = db2_merge(blocks.reshape(high.shape), high)
-        blocks = (both[:, 0] + np.roll(both[:, 1], -1, axis=1)) / 2
-    return blocks[0, :n] + base
+        blocks = (both[:, :, 0] + np.roll(both[:, :, 1], -1, axis=2)) / 2
+    out = blocks[:, 0, :n].T + base
+    return out[:, 0] if x.ndim == 1 else out
 
 
 def smoothing_spline(t: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:

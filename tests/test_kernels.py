@@ -35,6 +35,12 @@ def test_wavelet_repair_without_outliers_changes_nothing():
         k.wavelet_repair(np.ones(20))
 
 
+def test_wavelet_repair_of_many_channels_is_that_of_each():
+    x = np.random.default_rng(5).standard_t(2, size=(90, 5))
+    both = k.wavelet_repair(x, 1.5, 2)
+    assert np.allclose(both, np.stack([k.wavelet_repair(c, 1.5, 2) for c in x.T], axis=1)) and not np.allclose(both, x)
+
+
 def test_tddr_has_the_pinned_values():
     x = np.sin(2 * np.pi * 0.1 * np.arange(128) / 10)
     x[39:45] += 2
