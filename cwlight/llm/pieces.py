@@ -5,13 +5,20 @@ character, no piece crosses the start of a marked word, so a text's ids are
 those of its words, one after the other.  Each task keeps a table from a marked
 word to its ids and its decoded text; a text is cut at the markers, unknown
 words are segmented together by the library, and ids are joined back by
-position.  The table is emptied when it holds ``TABLE`` words.
+position.  The table has two halves of ``TABLE / 2`` words: when the young one is
+full it becomes the old one, and words of the old one that come again move to
+the young.  So what recurs stays, however many rare words pass by, and is
+segmented once in a task.  (A table of all words made by Spark would shuffle each
+word of each text with its place, some six times the input.)
 
 A model with pieces across markers, or with a normaliser that does more than
 marking blanks, is run on whole texts.
 
-Defined cases: a null text counts as empty and has the end id only.  Columns
-other than doc_id and text are ignored.
+Defined cases: a null text counts as empty, and an empty one has the end id
+only; a text of any length is encoded whole, and one with more distinct words
+than half a table holds its own words besides; repeated rows and ids, also null
+ones, each give a row; an empty table gives no rows.  Columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -63,13 +70,14 @@ class Encoder:
         self.by_word = splits_at_marks(path)
         self.lone = (str(self.model.piece_to_id(MARK)), 1, " ")  # no input of the library gives a marker alone
         self.table: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
+        self.segmented = 0
         # A decoded text loses its dummy blank; behind any other piece nothing is lost.
         self.lead = self.model.encode("a")
         self.lead_text = self.model.decode(self.lead)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.table) + len(words) > TABLE:
-            self.table.clear()
+        self.segmented += len(words)
         # The library puts a marker before each input: words start with one, which is taken off.
         ids = self.model.encode([w[1:] for w in words], num_threads=1)
         texts = self.model.decode([self.lead + x for x in ids], num_threads=1)
@@ -84,13 +92,19 @@ class Encoder:
             ids = self.model.encode(text) + [end]
             return " ".join(map(str, ids)), len(ids), self.model.decode(ids)
         words = WORD.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = [w for w in dict.fromkeys(words) if w not in table]
+        table, old, new = self.table, self.old, []
+        for w in dict.fromkeys(words):
+            if w not in table:
+                known = old.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    table[w] = known
         if new:
-            if len(new) + len(table) > TABLE:
-                new = list(dict.fromkeys(words))
             self._learn(new)
         found = [table[w] for w in words]
+        if len(table) > TABLE // 2:
+            self.old, self.table = table, {}
         decoded = "".join([x[2] for x in found])
         return " ".join([x[0] for x in found] + [str(end)]), sum([x[1] for x in found]) + 1, decoded[1:]
 

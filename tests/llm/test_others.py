@@ -183,6 +183,19 @@ def test_table_may_overflow(monkeypatch):
     assert [small.run(t) for t in texts] == want
 
 
+def test_words_that_recur_are_segmented_once(monkeypatch):
+    from cwlight.llm import pieces
+
+    monkeypatch.setattr(pieces, "TABLE", 60)
+    hot = [f"hot{i}" for i in range(10)]
+    encoder = Encoder(tokenizer_path())
+    texts = [" ".join([*hot, *(f"rare{k}x{i}" for i in range(5))]) for k in range(100)]
+    got = [encoder.run(t) for t in texts]
+    assert encoder.segmented == 10 + 500  # each distinct word once, though the table overflowed many times
+    assert len(encoder.table) + len(encoder.old) <= 60 + 15
+    assert got[-1] == Encoder(tokenizer_path()).run(texts[-1])
+
+
 def test_token_rows(spark):
     got = encode_decode(documents(spark), tokenizer_path()).collect()
     assert len(got) == 12 and all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest() for r in got)
