@@ -245,8 +245,7 @@ def _mbll_sql(factor: str = "6", distance: str = "d") -> str:
 
 def _mbll(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
     """Every pair has rows; one with a single wavelength has nulls."""
-    grid = spark.createDataFrame([(float(k), a, b) for k, (a, b) in optics.EXTINCTION.items()], "nm double, hbo double, hbr double")
-    return _rounded(mbll(rec.vector_samples(spark, sf_dir).withColumnRenamed("value", "od"), optics.extinction(placed, grid), incomplete="null"), 6)
+    return _rounded(mbll(rec.vector_samples(spark, sf_dir).withColumnRenamed("value", "od"), optics.extinction(placed, _grid(spark)), incomplete="null"), 6)
 
 
 @query(_mbll_sql())
@@ -273,6 +272,34 @@ def mbll_distance_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mbll(spark, sf_dir, with_distance(placed, table))
 
 
+def _hbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oxygenated haemoglobin as a signal of pairs; pairs of one wavelength have none."""
+    rows = mbll(rec.vector_samples(spark, sf_dir).withColumnRenamed("value", "od"), optics.extinction(with_pathlength(_placed(spark, sf_dir), 6.0), _grid(spark)), incomplete="null")
+    return rows.where("hbo IS NOT NULL").select("recording", F.col("pair").alias("channel"), "sample", F.col("hbo").alias("value"))
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(float(k), a, b) for k, (a, b) in optics.EXTINCTION.items()], "nm double, hbo double, hbr double")
+
+
+HBO = _mbll_sql().replace("SELECT recording, pair, sample, round(hbo, 6)", "SELECT recording, pair AS channel, sample, hbo AS value, round(hbo, 6)")
+HBO_ROWS = f"hb AS (SELECT recording, channel, sample, value FROM ({HBO}) WHERE value IS NOT NULL), pr AS (SELECT DISTINCT recording, pair, d, 0.5 * d AS mid FROM (SELECT vec_id // 24 AS recording, (vec_id % 24) // 2 AS pair, [0.008, 0.009, 0.03][((vec_id % 24) // 2) % 3 + 1] AS d FROM embeddings))"
+
+
+@query(f"""WITH {HBO_ROWS}, near AS (SELECT t.recording, t.pair AS target, s.pair AS short FROM pr t JOIN pr s ON t.recording = s.recording AND t.d >= 0.01 AND s.d < 0.01
+        QUALIFY row_number() OVER (PARTITION BY t.recording, t.pair ORDER BY round(sqrt(pow(t.pair - s.pair, 2) + pow(t.mid - s.mid, 2)), 11), s.pair) = 1),
+      j AS (SELECT v.recording, v.channel, v.sample, v.value, x.value AS x FROM hb v LEFT JOIN near n ON v.recording = n.recording AND v.channel = n.target LEFT JOIN hb x ON x.recording = v.recording AND x.channel = n.short AND x.sample = v.sample),
+      b AS (SELECT recording, channel, regr_slope(value, x) AS slope, avg(x) AS m FROM j WHERE x IS NOT NULL GROUP BY 1, 2)
+      SELECT j.recording, j.channel, j.sample, round(CASE WHEN x IS NULL THEN value ELSE value - (x - m) * slope END, 5) + 0.0 AS value FROM j LEFT JOIN b ON j.recording = b.recording AND j.channel = b.channel""")
+def short_regress_hbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(short_separation.regress_nearest(_hbo(spark, sf_dir), geometry.pair_map(_placed(spark, sf_dir)), FS), 5)
+
+
+@query(f"""WITH {HBO_ROWS} SELECT hb.recording, 'short_mean' AS "column", sample, round(avg(value), 6) + 0.0 AS value FROM hb JOIN pr ON hb.recording = pr.recording AND hb.channel = pr.pair WHERE d < 0.01 GROUP BY ALL""")
+def design_hbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(short_separation.design_columns(_hbo(spark, sf_dir), geometry.pair_map(_placed(spark, sf_dir)), "mean"), 6)
+
+
 _AHEAD = "greatest(max(value) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) - value, value - min(value) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"
 
 

@@ -309,12 +309,13 @@ def spline_repair(y: np.ndarray, bad: np.ndarray, fs: float, p: float = 0.99) ->
 
 
 def spectrum(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and one-sided power density under a Hamming window."""
-    n = len(x)
+    """Frequencies and one-sided power density under a Hamming window, along the last axis."""
+    n = x.shape[-1]
     w = np.hamming(n)
-    power = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (fs * (w @ w))
-    power[1 : len(power) - (n % 2 == 0)] *= 2
-    return np.arange(len(power)) * fs / n, power
+    power = np.abs(np.fft.rfft((x - x.mean(axis=-1, keepdims=True)) * w)) ** 2 / (fs * (w @ w))
+    lines = power.shape[-1]
+    power[..., 1 : lines - (n % 2 == 0)] *= 2
+    return np.arange(lines) * fs / n, power
 
 
 def band_power(f: np.ndarray, p: np.ndarray, bands: list[tuple[float, float]]) -> float:
@@ -334,12 +335,15 @@ def snr_db(x: np.ndarray, fs: float, cardiac: tuple[float, float], noise: list[t
     return 10 * math.log10(signal / rest)
 
 
-def peak_power(x: np.ndarray, y: np.ndarray, fs: float) -> float:
-    """Highest power density of the cross-correlation of two scaled signals."""
-    if near_constant(x) or near_constant(y):
-        return 0.0
-    n = len(x)
+def peak_power(x: np.ndarray, y: np.ndarray, fs: float) -> np.ndarray | float:
+    """Highest power density of the cross-correlation of two scaled signals, along the last axis; 0 where one hardly varies."""
+    n = x.shape[-1]
+    sd = [v.std(axis=-1, ddof=1) for v in (x, y)]
+    flat = [s <= ROOT_EPS * np.maximum(1.0, np.abs(v).max(axis=-1)) for s, v in zip(sd, (x, y))]
+    live = ~(flat[0] | flat[1])
+    unit = [v / np.where(live, s, 1.0)[..., None] for s, v in zip(sd, (x, y))]
     size = 1 << (2 * n - 1).bit_length()  # circular without overlap
-    ring = np.fft.irfft(np.fft.rfft(x / x.std(ddof=1), size) * np.conj(np.fft.rfft(y / y.std(ddof=1), size)), size)
-    both = np.concatenate([ring[size - n + 1 :], ring[:n]]) / n
-    return float(spectrum(both, fs)[1].max())
+    ring = np.fft.irfft(np.fft.rfft(unit[0], size) * np.conj(np.fft.rfft(unit[1], size)), size)
+    both = np.concatenate([ring[..., size - n + 1 :], ring[..., :n]], axis=-1) / n
+    out = np.where(live, spectrum(both, fs)[1].max(axis=-1), 0.0)
+    return float(out) if out.ndim == 0 else out

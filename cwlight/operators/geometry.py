@@ -59,15 +59,29 @@ def short_map(placed: DataFrame, threshold_m: float = 0.01) -> DataFrame:
     return placed.withColumn("is_short", F.col("distance_m") < threshold_m)
 
 
+def pair_map(placed: DataFrame, threshold_m: float = 0.01) -> DataFrame:
+    """``short_map`` for signals of pairs, such as haemoglobin: channel is the pair, and wavelengths (null) have no say.
+
+    Channels of a pair must agree on its distance.
+    """
+    axes = [c for c in placed.columns if c.startswith("midpoint_")]
+    pairs = placed.groupBy("recording", "pair").agg(F.avg("distance_m").alias("distance_m"), F.min("distance_m").alias("low"), F.max("distance_m").alias("high"), *(F.min(a).alias(a) for a in axes))
+    agree = F.col("high") - F.col("low") <= F.greatest(F.lit(1e-12), 1e-8 * F.col("high"))
+    wrong = F.raise_error(F.concat(F.lit("the channels of a pair disagree on its distance: pair "), F.col("pair").cast("string"))).cast("double")
+    rows = pairs.select("recording", F.col("pair").alias("channel"), "pair", F.lit(None).cast("int").alias("wavelength_nm"), F.when(agree, F.col("distance_m")).otherwise(wrong).alias("distance_m"), *axes)
+    return short_map(rows, threshold_m)
+
+
 def nearest_short(mapped: DataFrame) -> DataFrame:
     """(recording, target, short, between_m): for each long channel the short one of its wavelength with the nearest midpoint.
 
     Midpoints within max(1e-12, 1e-12 * the least) tie; the lowest channel wins.
-    The join is within a recording and wavelength, so it grows with the channels
-    of one probe, not with the number of recordings.
+    Without a wavelength (signals of pairs) all short ones may serve.  The join is
+    within a recording and wavelength, so it grows with the channels of one probe,
+    not with the number of recordings.
     """
     axes = [c for c in mapped.columns if c.startswith("midpoint_")]
-    side = lambda tag, keep: mapped.where(keep).select("recording", "wavelength_nm", F.col("channel").alias(tag), *(F.col(a).alias(f"{tag}_{a}") for a in axes))
+    side = lambda tag, keep: mapped.where(keep).select("recording", F.coalesce("wavelength_nm", F.lit(0)).alias("wavelength_nm"), F.col("channel").alias(tag), *(F.col(a).alias(f"{tag}_{a}") for a in axes))
     pairs = side("target", ~F.col("is_short")).join(side("short", F.col("is_short")), ["recording", "wavelength_nm"], "left")
     pairs = pairs.withColumn("between_m", _norm(*(F.col(f"target_{a}") - F.col(f"short_{a}") for a in axes)))
     pairs = pairs.withColumn("least", F.min("between_m").over(Window.partitionBy("recording", "target")))

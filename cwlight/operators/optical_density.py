@@ -7,9 +7,14 @@ those it names.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from cwlight.sources.tables import Recording
+
 KEY = ["recording", "channel"]
 
 
@@ -72,3 +77,18 @@ def intensity_to_od(
     empty = F.raise_error(F.lit("the baseline interval holds no sample of a channel")).cast("double")
     rows = rows.join(zero, KEY, "left").withColumn("zero", F.coalesce("zero", empty))
     return rows.select(*KEY, "sample", (F.ln("zero") - F.ln("value")).alias("od"))
+
+
+def optical_density(rec: Recording, assay: str | None = None, output: str = "OD", **options) -> Recording:
+    """``rec`` with the optical density of its intensity: ``assay``, or the only one of that kind.
+
+    Every channel must be listed as continuous-wave amplitude.  ``options`` are
+    those of ``intensity_to_od``; they go into the step of provenance.
+    """
+    name = assay or rec.only("continuous_wave_intensity")
+    kind = (rec.contracts or {}).get(name, {}).get("kind", "continuous_wave_intensity")
+    if kind != "continuous_wave_intensity":
+        raise ValueError(f"{name} is {kind}, not intensity")
+    rows = intensity_to_od(rec.assay(name), measurements=rec.measurements, **options)
+    contract = {"kind": "optical_density", "unit": "1", "log": "natural", "source": name}
+    return rec.add(output, rows, contract, "intensity_to_od", input_assay=name, **{k: v for k, v in options.items() if isinstance(v, (str, int, float, tuple, type(None)))})

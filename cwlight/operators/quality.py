@@ -15,6 +15,8 @@ from cwlight.operators.motion import KEY, block, by_length, per_channel
 from cwlight.sources.tables import current
 
 EPS = float(np.finfo(float).eps)
+#: Pairs of a recording whose windows are scored together.
+PAIRS = 8
 SCORE = "recording long, channel long, window int, score double"
 
 
@@ -97,18 +99,29 @@ def peak_power(samples: DataFrame, channels: DataFrame, fs: float, n: int, size:
     step, count = step or size, windows(n, size, step or size)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="sample", columns="channel", values="value").sort_index()
-        x = wide.to_numpy(float)
-        out = []
-        for w in range(count):
-            cut = x[w * step : w * step + size]
-            scores = [kernels.peak_power(cut[:, i], cut[:, j], fs) for i, j in combinations(range(cut.shape[1]), 2)]
-            least = min(scores) if scores and np.isfinite(scores).all() else 0.0
-            out += [(pdf["recording"].iloc[0], c, w + 1, least) for c in wide.columns]
-        return pd.DataFrame(out, columns=["recording", "channel", "window", "score"]).astype({"window": np.int32})
+        pdf = pdf.sort_values(["pair", "channel", "sample"], ignore_index=True)
+        heads = pdf.groupby(["pair", "channel"], sort=True).agg(n=("sample", "size")).reset_index()
+        starts = np.concatenate([[0], np.cumsum(heads["n"])])
+        value, alike, out = pdf["value"].to_numpy(float), {}, []
+        for pair, rows in heads.groupby("pair").indices.items():
+            lengths = heads["n"].to_numpy()[rows]
+            # Pairs of one shape are scored together; channels that do not cover the windows score 0.
+            shape = (len(rows), int(lengths[0])) if (lengths == lengths[0]).all() and lengths[0] >= (count - 1) * step + size else (len(rows), 0)
+            alike.setdefault(shape, []).append(rows)
+        for (k, m), pairs in alike.items():
+            rows = np.array(pairs)
+            least = np.zeros((len(rows), count))
+            if k > 1 and m:
+                x = np.stack([value[starts[r] : starts[r] + m] for r in rows.ravel()]).reshape(len(rows), k, m)
+                cuts = np.stack([x[:, :, w * step : w * step + size] for w in range(count)], axis=2)
+                scores = np.stack([kernels.peak_power(cuts[:, i], cuts[:, j], fs) for i, j in combinations(range(k), 2)])
+                least = np.where(np.isfinite(scores).all(axis=0), scores.min(axis=0), 0.0)
+            channel = heads["channel"].to_numpy()[rows.ravel()]
+            out.append(pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": np.repeat(channel, count), "window": np.tile(np.arange(1, count + 1, dtype=np.int32), len(channel)), "score": np.repeat(least, k, axis=0).ravel()}))
+        return pd.concat(out)
 
     rows = quality_filter(samples, fs, *cardiac, order).join(channels.select(*KEY, "pair"), KEY)
-    return rows.groupBy("recording", "pair").applyInPandas(run, SCORE)
+    return rows.groupBy("recording", F.floor(F.col("pair") / PAIRS).alias("part")).applyInPandas(run, SCORE)
 
 
 def judged(scores: DataFrame, metric: str, threshold: float) -> DataFrame:

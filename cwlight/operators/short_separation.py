@@ -113,11 +113,11 @@ def design_columns(samples: DataFrame, mapped: DataFrame, aggregation: str = "al
     mapped = context.checked(mapped, source)
     short = samples.join(mapped.where("is_short").select(*KEY, "wavelength_nm", "pair"), KEY)
     if aggregation == "all":
-        name = F.concat_ws("_", F.lit("short"), F.format_string("S%d_D%d", "pair", "pair"), F.concat(F.lit("wl"), F.col("wavelength_nm").cast("string")))
+        name = F.concat_ws("_", F.lit("short"), F.format_string("S%d_D%d", "pair", "pair"), F.concat(F.lit("wl"), F.col("wavelength_nm").cast("string")))  # null, and left out, for pairs
         return short.select("recording", name.alias("column"), "sample", "value")
     if aggregation != "mean":
         raise ValueError("aggregation must be 'all' or 'mean'")
-    name = F.concat(F.lit("short_mean_wl"), F.col("wavelength_nm").cast("string"))
+    name = F.concat_ws("_", F.lit("short_mean"), F.concat(F.lit("wl"), F.col("wavelength_nm").cast("string")))
     return short.groupBy("recording", name.alias("column"), "sample").agg(F.avg("value").alias("value"))
 
 

@@ -90,3 +90,30 @@ def test_metrics_over_other_channels_or_windows_are_refused(spark, channels):
     for other in (b.where("window = 1"), b.where("channel < 5"), b.withColumn("window", b.window + 1), b.withColumn("channel", (b.channel + 1) % 6 + 10)):
         with pytest.raises(Exception, match="other channels or windows"):
             quality.prune(a.unionByName(other), channels).collect()
+
+
+def test_od_of_recordings_always_checks_the_data_type(spark):
+    from cwlight.operators.optical_density import optical_density
+    from cwlight.sources.tables import Recording
+
+    samples = spark.createDataFrame([(1, "raw", c, s, 1.0 + c + s) for c in (1, 2) for s in (1, 2, 3)], "recording long, assay string, channel long, sample long, value double")
+    listed = spark.createDataFrame([(1, 1, 1, 760.0), (1, 2, 1, 850.0)], "recording long, measurement_index int, data_type int, wavelength_nm double")
+    rec = Recording(samples, listed, None, contracts={"raw": {"kind": "continuous_wave_intensity"}})
+    out = optical_density(rec, baseline="median")
+    assert out.assay("OD").count() == 6 and out.contracts["OD"]["kind"] == "optical_density" and rec.contracts == {"raw": {"kind": "continuous_wave_intensity"}}
+    assert out.steps[-1]["parameters"] == {"input_assay": "raw", "baseline": "median"}
+    wrong = Recording(samples, listed.selectExpr("recording", "measurement_index", "data_type + measurement_index - 1 AS data_type", "wavelength_nm"), None, contracts=rec.contracts)
+    with pytest.raises(Exception, match="not continuous-wave amplitude: recording 1, channel 2"):
+        optical_density(wrong).samples.collect()
+    for again, text in ((lambda: optical_density(out), "already exists"), (lambda: optical_density(out, "OD", "x"), "not intensity"), (lambda: optical_density(out, "none"), "no assay")):
+        with pytest.raises(ValueError, match=text):
+            again()
+
+
+def test_pairs_must_agree_on_their_distance(spark):
+    from cwlight.operators.geometry import pair_map
+
+    rows = spark.createDataFrame([(1, 1, 1, 0.03, 0.0), (1, 2, 1, 0.03, 0.0), (1, 3, 2, 0.008, 1.0)], "recording long, channel long, pair long, distance_m double, midpoint_x_m double")
+    assert [(r.channel, r.is_short) for r in pair_map(rows).orderBy("channel").collect()] == [(1, False), (2, True)]
+    with pytest.raises(Exception, match="disagree"):
+        pair_map(rows.withColumn("distance_m", rows.distance_m + rows.channel / 1000)).collect()
