@@ -97,3 +97,39 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b F
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN comp USING (doc_id) LEFT JOIN sized USING (doc_id)
 """
+
+
+def _base(kinds: list[tuple[str, str, str]]) -> str:
+    """Counts and digest of fixed patterns: (kind, pattern, condition on a match ``x``), in the order of the contract.
+
+    A match's place follows from what a split at the same matches leaves between them.
+    """
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, '{kind}' AS kind, unnest(xs) AS x, unnest([list_sum([len(p) for p in ps[1:j]]) + coalesce(list_sum([len(y) for y in xs[1:j - 1]]), 0) for j in range(1, len(xs) + 1)])::BIGINT AS a "
+        f"FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS xs, regexp_split_to_array(text, '{pattern}') AS ps FROM t)"
+        for i, (kind, pattern, _) in enumerate(kinds)
+    )
+    good = " OR ".join(f"(kind = '{kind}' AND {condition})" for kind, _, condition in kinds)
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in kinds)
+    shown = ", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind, *_ in kinds)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({found}),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + len(x)), ',' ORDER BY a, k) AS listed FROM m WHERE {good} GROUP BY doc_id)
+SELECT doc_id, {shown}, sha256(coalesce(listed, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+_KEY = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+_ASSIGN = rf"""(?:{_KEY})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRETS_BASE = _base([("assign", _ASSIGN, f"len(regexp_extract(x, '{_ASSIGN}', 1)) >= 6"), ("access", "AKIA[A-Z0-9]{16,}", "true"), ("hex", "[0-9a-f]{24,}", "true")])
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN j % 2 = 1 THEN d ELSE 2 * d - CASE WHEN d > 4 THEN 9 ELSE 0 END END for d, j in [ord(c) - 48 for c in list_reverse(string_split({_DIGITS}, ''))]]) % 10 = 0"
+PII_BASE = _base(
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and([len(ltrim(y, '0')) <= 3 AND coalesce(TRY_CAST(y AS HUGEINT), 0) <= 255 for y in string_split(x, '.')])"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 10 AND 15"),
+    ]
+)

@@ -73,6 +73,16 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed patterns of op3 find, which SQL can say too."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), words=[]).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed patterns of op5 find, which SQL can say too."""
+    return pii.find(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_nearest": op2_nearest,
@@ -87,6 +97,8 @@ QUERIES = {
     "op11_periodic": op11_periodic,
     "op12_divergence": op12_divergence,
     "op13_jaccard": op13_jaccard,
+    "secrets_base": secrets_base,
+    "pii_base": pii_base,
 }
 ORACLE = {
     "op6_substring": oracle.SUBSTRING,
@@ -95,4 +107,6 @@ ORACLE = {
     "op11_periodic": oracle.PERIODIC,
     "op12_divergence": oracle.DIVERGENCE,
     "op13_jaccard": oracle.JACCARD,
+    "secrets_base": oracle.SECRETS_BASE,
+    "pii_base": oracle.PII_BASE,
 }

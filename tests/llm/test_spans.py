@@ -109,3 +109,10 @@ def test_whole_tables_equal_the_stated_patterns(spark, data):
             want = plain(docs[r.doc_id], kinds)
             assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
             assert all(getattr(r, f"n_{k}") == want.count(f"{k}:") for k in kinds)
+
+
+def test_base_spans_equal_sql(spark, data, oracle, same):
+    from cwlight.llm.queries import ORACLE, QUERIES
+
+    for name in ("secrets_base", "pii_base"):
+        same(QUERIES[name](spark, data).toPandas(), oracle(ORACLE[name]))
