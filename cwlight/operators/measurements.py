@@ -45,6 +45,35 @@ def covered(measurements: DataFrame, probe: DataFrame) -> DataFrame:
     return out
 
 
+def sound_probe(probe: DataFrame) -> DataFrame:
+    """The probe (recording, role, idx, x, y, z[, label]), if it is whole; else an error that says what is wrong.
+
+    A recording has sources and detectors, each index once; places are finite;
+    z is given for all of them or for none; landmarks are labelled all or none.
+    """
+    place = F.col("role").isin("source", "detector")
+    off = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    labelled = F.col("label").isNotNull() & (F.length("label") > 0) if "label" in probe.columns else F.lit(True)
+    facts = probe.groupBy("recording").agg(
+        F.count_if(F.col("role") == "source").alias("sources"), F.count_if(F.col("role") == "detector").alias("detectors"),
+        F.count_if(~F.col("role").isin("source", "detector", "landmark") | F.col("role").isNull()).alias("unknown"),
+        F.count_if(F.col("x").isNull() | F.col("y").isNull() | off("x") | off("y") | F.coalesce(off("z"), F.lit(False))).alias("astray"),
+        F.count_if(place & F.col("z").isNull()).alias("flat"), F.count_if(place).alias("places"), F.count_distinct(F.when(place, F.struct("role", "idx"))).alias("distinct"),
+        F.count_if((F.col("role") == "landmark") & labelled).alias("named"), F.count_if(F.col("role") == "landmark").alias("landmarks"),
+    )
+    wrong = (
+        F.when((F.col("sources") == 0) | (F.col("detectors") == 0), "sources and detectors must both have places")
+        .when(F.col("unknown") > 0, "an unknown role")
+        .when(F.col("astray") > 0, "a place that is not finite")
+        .when((F.col("flat") > 0) & (F.col("flat") < F.col("places")), "places in space for some sources and detectors only")
+        .when(F.col("distinct") < F.col("places"), "a source or detector with two places")
+        .when((F.col("named") > 0) & (F.col("named") < F.col("landmarks")), "labels for some landmarks only")
+    )
+    text = F.concat(F.lit("probe of recording "), F.col("recording").cast("string"), F.lit(": "), F.col("wrong"))
+    fine = F.when(F.col("wrong").isNull(), F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+    return probe.join(facts.select("recording", wrong.alias("wrong")), "recording").where(fine).select(*probe.columns)
+
+
 def with_wavelengths(measurements: DataFrame, wavelengths: DataFrame) -> DataFrame:
     """The list with wavelength_nm from a recording's table (recording, wavelength_index, wavelength_nm).
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cwlight.functions import kernels
-from cwlight.sources.tables import current
+from cwlight.sources import context
+from cwlight.sources.tables import Recording, current
 
 KEY = ["recording", "channel"]
 SIGNAL = "recording long, channel long, sample long, value double"
@@ -103,15 +104,20 @@ def wavelet_correct(samples: DataFrame, iqr: float = 1.5, min_level: int = 4) ->
     return per_channel(samples, lambda x: kernels.wavelet_repair(x, iqr, min_level))
 
 
-def spline_correct(samples: DataFrame, mask: DataFrame, fs: float, p: float = 0.99, lost: str = "error") -> DataFrame:
+def spline_correct(samples: DataFrame, mask: DataFrame, fs: float, p: float = 0.99, lost: str = "error", source: Recording | None = None, assay: str | None = None) -> DataFrame:
     """Spline repair of masked stretches.  Channels without any pass by the kernel; a mask of another signal is refused where it is bound.
 
+    A mask bound by ``context.bound`` to an ``assay`` of ``source`` (its samples,
+    contract, clock and list) is refused where one of these has changed.
+
     A channel masked from end to end has no level to return to: an error, or
     with ``lost="null"`` a null for each of its samples.
     """
     if lost not in ("error", "null"):
         raise ValueError("lost must be 'error' or 'null'")
     whole_ = Window.partitionBy(*KEY)
+    if "context" in mask.columns:
+        mask = context.checked(mask, source, None if source is None else context.of_assay(source, assay or source.only("optical_density")))
     rows = samples.join(current(mask, samples), [*KEY, "sample"])
     touched = rows.withColumns({"any": F.max("masked").over(whole_), "all": F.min("masked").over(whole_)})
     sent = touched.where("any" if lost == "error" else "any AND NOT all")

@@ -67,9 +67,14 @@ def contexts(rec: Recording, only: Iterable[str] | None = None) -> DataFrame:
     return leaves(rec, only).groupBy("recording").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("leaf", "hash")))).alias("context"))
 
 
-def bound(derived: DataFrame, rec: Recording) -> DataFrame:
-    """``derived`` (recording, any others) with the leaves of the recording it was made from."""
-    return derived.join(contexts(rec), "recording")
+def of_assay(rec: Recording, name: str) -> list[str]:
+    """The leaves that what is made from one assay depends on: a mask, say."""
+    return [f"assay {name}", f"contract {name}", "list"] + ["clock"] * (rec.times is not None)
+
+
+def bound(derived: DataFrame, rec: Recording, only: Iterable[str] | None = None) -> DataFrame:
+    """``derived`` (recording, any others) with the leaves, all or those named, of the recording it was made from."""
+    return derived.join(contexts(rec, only), "recording")
 
 
 def checked(derived: DataFrame, rec: Recording | None, only: Iterable[str] | None = None) -> DataFrame:

@@ -55,9 +55,10 @@ class Recording:
             raise ValueError(f"the assay already exists: {name}")
         if contract.get("kind") not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}")
-        new = rows.select("recording", F.lit(name).alias("assay"), "channel", "sample", F.col(rows.columns[-1]).alias("value"))
+        new = finite_samples(rows.select("recording", F.lit(name).alias("assay"), "channel", "sample", F.col(rows.columns[-1]).alias("value")))
+        taken = F.raise_error(F.lit(f"stored samples already have an assay {name}")).cast("boolean")
         step = {"activity": activity, "output_assay": name, "parameters": parameters}
-        return replace(self, samples=self.samples.unionByName(new), contracts={**known, name: contract}, steps=(*self.steps, step))
+        return replace(self, samples=self.samples.where(F.when(F.col("assay") == name, taken).otherwise(F.lit(True))).unionByName(new), contracts={**known, name: contract}, steps=(*self.steps, step))
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
@@ -116,10 +117,29 @@ def prepared_tags(tags: DataFrame, recordings: DataFrame, length_unit: str = "m"
     return given.join(wanted, ["recording", "name"], "full").select("recording", "name", F.coalesce(fixed, "value", "usual").alias("value"))
 
 
+def finite_samples(samples: DataFrame) -> DataFrame:
+    """The samples, if all are finite; else an error naming one that is not."""
+    fine = F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
+    text = F.format_string("a sample that is not finite: recording %s, channel %s, sample %s", *(F.col(c).cast("string") for c in ("recording", "channel", "sample")))
+    return samples.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+
+
+def full_tags(tags: DataFrame, recordings: DataFrame) -> DataFrame:
+    """The tags, if every recording carries the required ones; else an error naming one it lacks."""
+    text = F.concat(F.lit("recording "), F.col("recording").cast("string"), F.lit(" lacks the tag "), F.col("name"))
+    lost = missing_tags(tags, recordings.select("recording").distinct()).select("recording", "name", F.raise_error(text).alias("value"))
+    return tags.unionByName(lost, allowMissingColumns=True)
+
+
 def read(spark: SparkSession, path: str, contracts: dict[str, dict] | None = None) -> Recording:
-    """The recordings under ``path``, measurement lists checked, held against the probe and labelled."""
+    """The recordings under ``path``, checked where they are read.
+
+    Measurement lists must be in order, agree with a whole probe, and are
+    labelled; samples must be finite, stimuli whole rows, tags complete.
+    """
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in NAMES[:3]}
-    listed = measurements.labels(measurements.covered(measurements.checked(tables["measurements"].drop("channel_label")), tables["probe"]))
+    probe = measurements.sound_probe(tables["probe"])
+    listed = measurements.labels(measurements.covered(measurements.checked(tables["measurements"].drop("channel_label")), probe))
     more = {}
     for name in NAMES[3:]:
         try:
@@ -127,7 +147,10 @@ def read(spark: SparkSession, path: str, contracts: dict[str, dict] | None = Non
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    return Recording(tables["samples"], listed, tables["probe"], more.get("stims"), more.get("tags"), contracts)
+    stims, tags = more.get("stims"), more.get("tags")
+    return Recording(
+        finite_samples(tables["samples"]), listed, probe, None if stims is None else stims.where(measurements.whole_stim()), None if tags is None else full_tags(tags, tables["measurements"]), contracts
+    )
 
 
 def write(rec: Recording, path: str, mode: str = "errorifexists") -> None:
@@ -140,10 +163,7 @@ def write(rec: Recording, path: str, mode: str = "errorifexists") -> None:
     stimuli replace them, with a warning.  Spark's commit protocol puts a table in
     place once all its tasks have ended.
     """
-    fine = F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
-    text = F.format_string("a sample that is not finite: recording %s, channel %s, sample %s", *(F.col(c).cast("string") for c in ("recording", "channel", "sample")))
-    samples = rec.samples.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
-    samples.repartitionByRange("assay", "recording", "channel").sortWithinPartitions("assay", "recording", "channel", "sample").write.mode(mode).partitionBy("assay").parquet(f"{path}/samples")
+    finite_samples(rec.samples).repartitionByRange("assay", "recording", "channel").sortWithinPartitions("assay", "recording", "channel", "sample").write.mode(mode).partitionBy("assay").parquet(f"{path}/samples")
     tags = None if rec.tags is None else prepared_tags(rec.tags, rec.measurements)
     stims = None if rec.stims is None else rec.stims.where(measurements.whole_stim())
     if rec.events is not None and stims is not None:
@@ -152,6 +172,6 @@ def write(rec: Recording, path: str, mode: str = "errorifexists") -> None:
         stims, notes = stimuli(rec.events, stims)
         for note in notes.select("note").distinct().collect():  # two texts at most
             warnings.warn(note["note"], stacklevel=2)
-    for name, table in zip(NAMES[1:], (measurements.covered(rec.measurements, rec.probe), rec.probe, stims, tags)):
+    for name, table in zip(NAMES[1:], (measurements.covered(rec.measurements, rec.probe), measurements.sound_probe(rec.probe), stims, tags)):
         if table is not None:
             table.write.mode(mode).parquet(f"{path}/{name}")

@@ -304,6 +304,12 @@ class Feedback:
         rows = self._spark.table(self.name) if self.ledger is None else self.ledger.updates()
         return rows.orderBy(F.desc("time"), "stream", "target").limit(last)
 
+    def snapshot(self) -> dict:
+        """The loop in plain numbers: status, chunks that wait, and of updates kept the number, the last sequence and the last time."""
+        sent = self.state(2**31 - 1).where("skipped IS NULL").select("stream", "sequence", "time").distinct()
+        facts = sent.agg(F.count(F.lit(1)).alias("updates"), F.count_distinct("stream").alias("streams"), F.max("sequence").alias("last_sequence"), F.max("time").alias("last_time")).first()
+        return {"status": self.status, "waiting": None if self.queue is None else self.queue.waiting(), **facts.asDict()}
+
     def stop(self) -> None:
         if self.status == "running":
             if self.query is not None:

@@ -50,6 +50,8 @@ def test_steps_over_a_queue_equal_a_replay_with_restarts(spark, tmp_path):
     assert 0 < kept.count() <= 2 * (int(PLAN.smoothing_seconds * PLAN.fs) + 2)
     late = loop.ledger.undelivered({"a": 3})
     assert sorted(r.sequence for r in late.collect()) == list(range(3, late.count() + 3))
+    facts = loop.snapshot()
+    assert facts["status"] == "running" and facts["waiting"] == 0 and facts["streams"] == 2 and facts["updates"] == 2 * (facts["last_sequence"] + 1)
     loop.stop()
 
 
