@@ -270,11 +270,11 @@ def _reach(n: int, fs: float) -> int:
     return max(1, int(0.3 * fs) if n < 3 * fs else n // 10)
 
 
-def spline_repair(y: np.ndarray, bad: np.ndarray, fs: float, p: float = 0.99) -> np.ndarray:
+def spline_repair(y: np.ndarray, t: np.ndarray, bad: np.ndarray, fs: float, p: float = 0.99) -> np.ndarray:
     """Masked stretches lose their smooth part; then every stretch is set to the level where the last one ends.
 
     Columns are channels.  Masked stretches of one length, of whatever channel,
-    are fitted together.
+    are fitted together, where the times ``t`` are even.
     """
     one = y.ndim == 1
     y, bad = (y[:, None], bad[:, None]) if one else (y, bad)
@@ -282,15 +282,17 @@ def spline_repair(y: np.ndarray, bad: np.ndarray, fs: float, p: float = 0.99) ->
         raise ValueError("spline repair needs at least one clean sample")
     out = y.astype(float).copy()
     edges = [np.concatenate([[0], np.flatnonzero(np.diff(column)) + 1, [len(y)]]).tolist() for column in bad.T]
-    by_size: dict[int, list[tuple[int, int]]] = {}
+    steps = np.diff(t)
+    even = bool(np.allclose(steps, steps[:1], rtol=1e-9, atol=0)) if len(steps) else True
+    by_size: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for c, cuts in enumerate(edges):
         for a, b in zip(cuts[:-1], cuts[1:]):
             if bad[a, c]:
-                by_size.setdefault(b - a, []).append((a, c))
-    for size, places in by_size.items():
+                by_size.setdefault((b - a, 0 if even else a), []).append((a, c))
+    for (size, first), places in by_size.items():
         at = np.array([a for a, _ in places]) + np.arange(size)[:, None]
         column = np.array([c for _, c in places])
-        out[at, column] -= smoothing_spline(np.arange(size) / fs, y[at, column], p)
+        out[at, column] -= smoothing_spline(t[first : first + size], y[at, column], p)
     for c, cuts in enumerate(edges):
         stretches = list(zip(cuts[:-1], cuts[1:]))
         if len(stretches) == 1:

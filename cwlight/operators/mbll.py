@@ -20,8 +20,8 @@ def resolved(channels: DataFrame, given: float | dict | Sequence[float] | DataFr
     table (channel or pair or wavelength_nm, ``name``, perhaps recording) is joined.
     What leaves a channel without a number is an error.
     """
-    kind, wrong = ("wavelength_nm" if by_wavelength else "pair"), f"no {name} is given for channel "
-    missing = F.raise_error(F.concat(F.lit(wrong), F.col("channel").cast("string"), F.lit(" of recording "), F.col("recording").cast("string"))).cast("double")
+    kind = "wavelength_nm" if by_wavelength else "pair"
+    missing = F.raise_error(F.format_string(f"no {name} is given for channel %s, {kind} %s, of recording %s", *(F.col(c).cast("string") for c in ("channel", kind, "recording")))).cast("double")
     rest = [c for c in channels.columns if c != name]
     if isinstance(given, DataFrame):
         keys = [c for c in given.columns if c != name]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def spline_correct(samples: DataFrame, mask: DataFrame, fs: float, p: float = 0.
     rows = samples.join(current(mask, samples), [*KEY, "sample"])
     touched = rows.withColumns({"any": F.max("masked").over(whole_), "all": F.min("masked").over(whole_)})
     sent = touched.where("any" if lost == "error" else "any AND NOT all")
-    fixed = per_channel(sent, lambda x, bad: kernels.spline_repair(x, bad.astype(bool), fs, p), "masked")
+    fixed = per_channel(sent, lambda x, bad: kernels.spline_repair(x, np.arange(len(x)) / fs, bad.astype(bool), fs, p), "masked")
     out = fixed.unionByName(touched.where("NOT any").select(*KEY, "sample", "value"))
     return out if lost == "error" else out.unionByName(touched.where("all").select(*KEY, "sample", F.lit(None).cast("double").alias("value")))
 

@@ -73,14 +73,14 @@ def test_snr_of_two_tones_is_20_db():
 
 def test_spline_repair():
     rng = np.random.default_rng(2)
-    y, bad = rng.normal(0, 0.01, 200), np.zeros(200, bool)
-    assert (k.spline_repair(y, bad, 10) == y).all()
+    t, y, bad = np.arange(200) / 10, rng.normal(0, 0.01, 200), np.zeros(200, bool)
+    assert (k.spline_repair(y, t, bad, 10) == y).all()
     bad[50:60] = bad[120:150] = True
     y[50:60] += 5
-    got = k.spline_repair(y, bad, 10)
+    got = k.spline_repair(y, t, bad, 10)
     assert np.abs(got).max() < 0.5 and np.isfinite(got).all()
     with pytest.raises(ValueError, match="clean"):
-        k.spline_repair(y, np.ones(200, bool), 10)
+        k.spline_repair(y, t, np.ones(200, bool), 10)
 
 
 def test_spline_repair_of_many_channels_is_that_of_each():
@@ -89,8 +89,9 @@ def test_spline_repair_of_many_channels_is_that_of_each():
     for c, cuts in enumerate([(0, 9), (30, 39), (100, 120), (5, 6), (60, 62), ()]):
         bad[slice(*cuts) if cuts else slice(0, 0), c] = True
     bad[70:79, 0] = bad[50:59, 3] = True
-    both = k.spline_repair(y, bad, 10)
-    assert np.allclose(both, np.stack([k.spline_repair(y[:, c], bad[:, c], 10) for c in range(6)], axis=1), atol=1e-12)
+    for t in (np.arange(120) / 10, np.cumsum(rng.uniform(0.05, 0.15, 120))):
+        both = k.spline_repair(y, t, bad, 10)
+        assert np.allclose(both, np.stack([k.spline_repair(y[:, c], t, bad[:, c], 10) for c in range(6)], axis=1), atol=1e-12)
     sites = np.arange(9) / 10
     assert np.allclose(k.smoothing_spline(sites, y[:9], 0.9), np.stack([k.smoothing_spline(sites, y[:9, c], 0.9) for c in range(6)], axis=1), atol=1e-12)
 
