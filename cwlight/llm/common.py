@@ -86,3 +86,12 @@ def small(df: DataFrame, most: int) -> DataFrame:
 def total_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to all cores, where the table has too few partitions for half of them; else as it is.
+
+    A table of one file and row group would otherwise be one Python task.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() <= cores else docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cwlight.llm import ann, decontam, divergence, langid, oracle, periodic, pieces, pii, secrets, toxicity, warc
+from cwlight.llm.common import spread
 from cwlight.llm.jaccard_join import jaccard_components
 from cwlight.llm.near_dup import near_duplicates
 from cwlight.llm.substring import remove_repeats
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where they lie in too few partitions."""
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the public tokenizer files lie on this machine and on the workers."""
     import public_tokenizers
@@ -22,7 +28,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.languages(_table(spark, sf_dir, "documents"))
+    return langid.languages(_documents(spark, sf_dir))
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +36,15 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(_table(spark, sf_dir, "documents"))
+    return pii.find(_documents(spark, sf_dir))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, with_text=False)
+    return pieces.encode_decode(_documents(spark, sf_dir), tokenizer_path(), with_ids=False, with_text=False)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return periodic.runs_in(periodic.with_echoes(_table(spark, sf_dir, "documents")), with_runs=False, with_text=False)
+    return periodic.runs_in(periodic.with_echoes(_documents(spark, sf_dir)), with_runs=False, with_text=False)
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +81,12 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fixed patterns of op3 find, which SQL can say too."""
-    return secrets.scan(_table(spark, sf_dir, "documents"), words=[]).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    return secrets.scan(_documents(spark, sf_dir), words=[]).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fixed patterns of op5 find, which SQL can say too."""
-    return pii.find(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    return pii.find(_documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
 QUERIES = {
