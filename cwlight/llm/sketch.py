@@ -28,8 +28,10 @@ def add(sketch: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> None
 def merged(rows: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], cells: int, kind: type, tasks: int) -> np.ndarray:
     """The sum of what ``fill(batches, sketch)`` counts in each task, on the driver: ``cells`` numbers of type ``kind``.
 
-    At most ``tasks`` tasks read ``rows``, as each sends a sketch; ranges of
-    cells are added up by the executors.  ``cells`` is a multiple of ``CELLS``.
+    At most ``tasks`` tasks read ``rows``, as each sends a sketch; callers derive
+    them from ``defaultParallelism``, so where executors come and go,
+    ``spark.default.parallelism`` should name the cores of the whole cluster.
+    Ranges of cells are added up by the executors.  ``cells`` is a multiple of ``CELLS``.
     """
     most = np.iinfo(kind).max
 
