@@ -10,9 +10,9 @@
 4. The packed bits give a collision-corrected similarity by bit counts; pairs
    far below the threshold go, the rest are confirmed on the full sets.
 5. Members of large buckets that are still apart from their bucket's main
-   component are searched exactly: with shingles in one order, those of the
-   most connected members last, a pair of enough overlap shares one early
-   enough in both sets for the overlap to fit.
+   component are searched exactly: with shingles in one order, those in many
+   of the searched sets last, a pair of enough overlap shares one early enough
+   in both sets for the overlap to fit.
 6. Components are found by rounds of label passing with shortcuts.
 
 Two similar texts miss all 32 bands with probability (1 - s**4)**32, that is
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from cwlight.llm import sketch
 from cwlight.llm.common import cut, pieces, text_buffer
 from cwlight.llm.common import small as few_rows
 from cwlight.llm.wordhash import grams, mix, words
@@ -41,8 +42,8 @@ HASHES, BANDS, BITS = 128, 32, 4
 SMALL = 64
 #: Rows that keep_one names (three numbers each) and broadcasts at most.
 FEW = 1 << 18
-#: Bounds of what the driver holds to order the search in larger buckets.
-LEADERS, LEADER_SHINGLES = 256, 4096
+#: Cells of the sketch that orders the search in larger buckets at most, of two bytes each: 16 MB, broadcast.
+WIDTH = 1 << 23
 #: Standard deviations by which the estimate may fall short of the threshold.
 SLACK = 5.0
 SIGNATURE = "doc_id long, n_shingles long, node long, check long, bands array<long>, packed array<long>"
@@ -198,19 +199,35 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.join(jump, labels.c == jump.r, "left").select("node", F.coalesce("up", "c").alias("c"))
 
 
-def _prefixes(members: DataFrame, sets: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
-    """(node, c, apart, n, p, s): the first shingles of each set, those of ``common`` last, p from 1."""
-    shared = members.sparkSession.sparkContext.broadcast(common)
+def _often(members: DataFrame) -> np.ndarray:
+    """In how many sets of ``members`` (shingles, any others) the shingles of each cell occur, up to 65535.
+
+    It only orders the search that follows, so shared cells drop no pair.
+    """
+    total = members.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first()["n"]
+    cells = sketch.width_for(total // 4, sketch.CELLS, WIDTH)
+
+    def fill(batches, counts):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                flat = batch.column(0).slice(at, 512).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                sketch.add(counts, (flat & np.uint64(cells - 1)).astype(np.int64))
+
+    return sketch.merged(members.select("shingles"), fill, cells, np.uint16, 2 * members.sparkSession.sparkContext.defaultParallelism)
+
+
+def _prefixes(members: DataFrame, percent: int, often: np.ndarray) -> DataFrame:
+    """(node, c, apart, n, p, s): the first shingles of each set, the rarest by ``often`` first, p from 1."""
+    shared = members.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
         for batch in batches:
             at, place, shingle, size = [], [], [], []
             for i, held in enumerate(batch.column(3)):
                 s = np.frombuffer(held.values.buffers()[1], np.int64)[held.values.offset : held.values.offset + len(held.values)].view(np.uint64)
-                k = np.searchsorted(shared.value, s)
-                late = shared.value[np.minimum(k, len(shared.value) - 1)] == s if len(shared.value) else np.zeros(len(s), bool)
+                count = shared.value[(s & np.uint64(len(shared.value) - 1)).astype(np.int64)]
                 reach = len(s) - -(-len(s) * percent // 100) + 1
-                first = np.concatenate([s[~late], s[late]])[:reach]
+                first = s[np.lexsort((s, count))[:reach]]
                 at.append(np.full(len(first), i))
                 place.append(np.arange(1, len(first) + 1))
                 shingle.append(first)
@@ -220,11 +237,11 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int, common: np.ndar
                 rest = [pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(shingle).view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*own.columns, *rest], names=["node", "c", "apart", "n", "p", "s"])
 
-    return members.join(sets, "node").select("node", "c", "apart", "shingles").mapInArrow(run, "node long, c long, apart boolean, n long, p long, s long")
+    return members.select("node", "c", "apart", "shingles").mapInArrow(run, "node long, c long, apart boolean, n long, p long, s long")
 
 
-def _ordered_pairs(members: DataFrame, sets: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
-    """Pairs across components among ``members`` (node, c, apart) that may overlap enough.
+def _ordered_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components among ``members`` (node, c, apart), a written table, that may overlap enough.
 
     With shingles in one order for all sets, an overlap of
     t = ceil(percent * (|a| + |b|) / (100 + percent)) leaves each pair a first
@@ -233,7 +250,8 @@ def _ordered_pairs(members: DataFrame, sets: DataFrame, percent: int, common: np
     whatever the order; with frequent shingles last it meets few pairs.  Only
     rows marked ``apart`` search.
     """
-    prefix = cut(_prefixes(members, sets, percent, common))
+    held = cut(sets.join(few_rows(members, FEW), "node"))
+    prefix = cut(_prefixes(held, percent, _often(held)))
     x = prefix.where("apart").select(*(F.col(k).alias(f"{k}x") for k in ("node", "c", "n", "p")), "s")
     y = prefix.select(*(F.col(k).alias(f"{k}y") for k in ("node", "c", "apart", "n", "p")), "s")
     need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100.0 + percent))
@@ -243,16 +261,6 @@ def _ordered_pairs(members: DataFrame, sets: DataFrame, percent: int, common: np
     return hits.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
-def _common(middle: DataFrame, sets: DataFrame) -> np.ndarray:
-    """Shingles of the most connected members of the largest buckets: at most ``LEADERS * LEADER_SHINGLES``.
-
-    They only order the search that follows, so the bound drops no pair.
-    """
-    top = middle.groupBy(F.col("middle").alias("node")).agg(F.max("degree").alias("degree")).orderBy(F.desc("degree"), "node").limit(LEADERS)
-    rows = sets.join(top, "node").select(F.slice("shingles", 1, LEADER_SHINGLES).alias("s")).collect()
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r["s"], np.int64) for r in rows)]).view(np.uint64))
-
-
 def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows; (node, check, rep, c) of every class of equal sets: smallest doc_id and label of the component)."""
     sigs = cut(signatures(docs, width))
@@ -270,7 +278,7 @@ def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[Dat
     few = low.select("key", F.col("node").alias("a")).join(low.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     large = cut(shared.where(F.col("n") > small).join(degree, "node"))
-    middle = cut(large.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("middle"), (-F.col("m.d")).alias("degree")))
+    middle = cut(large.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("middle")))
     star = large.select("key", "node").join(middle, "key").where("node != middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
     packed = reps.select("node", "packed")
     pairs = few.union(star).distinct()
@@ -291,7 +299,7 @@ def _classed(docs: DataFrame, width: int, percent: int, small: int) -> tuple[Dat
     main = cut(tally.groupBy("key").agg(F.min(F.struct(-F.col("n"), F.col("c"))).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.c").alias("main")))
     split = cut(placed.join(main, "key").groupBy("node", "c").agg(F.max(F.col("c") != F.col("main")).alias("apart")))
     if not split.isEmpty():
-        more = cut(confirm(_ordered_pairs(split, sets, percent, _common(middle, sets)), sets, percent))
+        more = cut(confirm(_ordered_pairs(split, sets, percent), sets, percent))
         if not more.isEmpty():
             found = components(links.union(more))
 

@@ -65,6 +65,21 @@ def test_families_equal_brute_force_in_small_and_large_buckets(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_family_led_by_an_edited_copy_is_searched_by_rare_shingles(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    led = edited(rng, base, 2).split()
+    rows = [(i, edited(rng, led, i % 2)) for i in range(40)] + [(i, edited(rng, base, 10)) for i in range(40, 100)]
+    # Rows 98 and 99 link to each other only.
+    rows[99] = (99, edited(rng, rows[98][1].split(), 1))
+    tried, real = [], near_dup.confirm
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, sets, percent: tried.append(pairs.count()) or real(pairs, sets, percent))
+    want, _ = brute(rows)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows), small=20).collect()}
+    assert got == want and want[99] == 98
+    assert len(tried) == 2 and tried[1] <= 60
+
+
 def test_odd_rows(spark):
     got = near_dup.near_duplicates(documents(spark)).collect()
     assert len(got) == 12
