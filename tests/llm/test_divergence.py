@@ -90,6 +90,17 @@ def test_sketch_never_underestimates_and_drops_lone_terms(spark):
     assert low > 300
 
 
+def test_terms_of_a_piece_are_made_distinct_by_sorting(monkeypatch):
+    texts = ["b a b c", "", "a A b", "c"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(np, "unique", lambda *a, **k: pytest.fail("np.unique hashes numbers, which costs more than a sort"))
+    piece = dv._Piece((raw, offsets), pa.array(["en"] * 4), pa.array(["s"] * 4))
+    words = piece.words.to_pylist()
+    assert sorted((k // 3, words[k % 3]) for k in piece.once.tolist()) == [(0, "a"), (0, "b"), (0, "c"), (2, "a"), (2, "b"), (3, "c")]
+    assert dv.distinct(np.array([5, -1, 5, 2, -1])).tolist() == [-1, 2, 5] and len(dv.distinct(np.zeros(0, np.int64))) == 0
+
+
 def test_cells_stop_at_their_top():
     counts = np.zeros(8, np.uint8)
     sketch.add(counts, np.array([1, 1, 2]), np.array([200, 100, 7]))
