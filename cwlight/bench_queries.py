@@ -478,7 +478,7 @@ for _name in short_separation.BANDS:
 
 
 def bandpass_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The respiration band of channels cut into blocks, none of which a task sees whole."""
+    """The respiration band of channels cut into blocks, which are dealt out and filtered apart."""
     return _rounded(short_separation.bandpass(rec.vector_samples(spark, sf_dir), FS, "respiration", split=48), 5)
 
 

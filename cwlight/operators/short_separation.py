@@ -89,7 +89,7 @@ def bandpass(samples: DataFrame, fs: float, band: str = "mayer", range_hz: tuple
     """Each channel's zero-phase Butterworth band.
 
     With ``split`` a channel is filtered in blocks of that many samples, so that
-    no task holds a whole one; else channels go to tasks whole.
+    no task needs a whole one; else channels go to tasks whole.
     """
     edges = range_hz or BANDS[band]
     if not 0 < edges[0] < edges[1] < fs / 2:
